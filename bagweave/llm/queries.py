@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bagweave.llm import chat, decontamination, jaccard, mixing, quality_knn, quality_rules, secrets, warc
+from bagweave.llm import chat, decontamination, jaccard, mixing, quality_knn, quality_rules, secrets, suffixes, warc
 from bagweave.llm.common import fresh_dir, table
 
 
@@ -20,6 +20,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,6 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scans, op2_quality_classifier, op3_benchmark_decontamination, op5_ngram_jaccard_join, op6_warc, op7_chat_formatting, op8_quality_rules, op9_source_mixing,
+    op1_secret_scans, op2_quality_classifier, op3_benchmark_decontamination, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_warc, op7_chat_formatting, op8_quality_rules, op9_source_mixing,
 )}
 ORACLES: dict[str, str] = {}
