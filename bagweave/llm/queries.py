@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bagweave.llm import chat, decontamination, jaccard, mixing, quality_knn, quality_rules, secrets, suffixes, warc
+from bagweave.llm import chat, decontamination, html_text, jaccard, mixing, quality_knn, quality_rules, secrets, suffixes, warc
 from bagweave.llm.common import fresh_dir, table
 
 
@@ -48,7 +48,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scans, op2_quality_classifier, op3_benchmark_decontamination, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_warc, op7_chat_formatting, op8_quality_rules, op9_source_mixing,
+    op1_secret_scans, op2_quality_classifier, op3_benchmark_decontamination, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_warc, op7_chat_formatting, op8_quality_rules, op9_source_mixing, op10_html_extraction,
 )}
 ORACLES: dict[str, str] = {}

@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bagweave.llm import mixing, secrets
+from bagweave.llm import decontamination, jaccard, mixing, quality_knn, secrets
 from bagweave.llm.common import fresh_dir, table
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality_knn.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies stays, that with the least doc_id."""
+    return jaccard.representatives(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found secrets give way to a mark; every document stays."""
     return secrets.redact_secrets(docs)
@@ -18,7 +33,13 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("secret scans", secret_scans), ("source mixing", source_mixing)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("source mixing", source_mixing),
+]
 
 #: The stages hold a trained model and Python operators; tests compare them with brute force.
 ORACLE_SQL = None
