@@ -8,3 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    """Registers a function under its name, with its SQL if there is one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if oracle is not None:
+            ORACLES[key] = oracle
+        return f
+
+    return add
+
+
+from bagweave.plans import bag_queries, link_queries, policy_queries, record_queries, spatial_queries, strata_queries  # noqa: E402, F401
