@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bagweave.functions.lineage import cut
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) for every vertex of an edge, component being the least id reachable.
@@ -15,7 +17,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull())
     loops = e.filter("u = v").select("u").distinct()
-    e = e.filter("u != v").distinct().checkpoint()
+    e = e.filter("u != v").distinct().transform(cut)
     before = None
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +25,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = both.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lower.select("u", F.col("m").alias("v")))
-        e = small.distinct().checkpoint()
+        e = small.distinct().transform(cut)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
@@ -32,3 +34,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     stars = e.unionAll(roots)
     alone = loops.join(stars, "u", "left_anti").select("u", F.col("u").alias("v"))
     return stars.unionAll(alone).select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+
+def bounded_depths(edges: DataFrame, sources: DataFrame, limit: int) -> DataFrame:
+    """(src, dst, depth): the least number of edges from each source, up to the limit; each step expands only the last one's new pairs."""
+    frontier = sources.select(F.col(sources.columns[0]).alias("src"), F.col(sources.columns[0]).alias("dst"), F.lit(0).alias("depth"))
+    found = frontier
+    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct()
+    for depth in range(1, limit + 1):
+        new = frontier.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
+        frontier = new.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)).transform(cut)
+        found = found.unionAll(frontier)
+    return found
