@@ -56,6 +56,12 @@ def partitions(spark: SparkSession) -> int:
 MIN_BITS, MAX_BITS = 16, 28
 
 
+def probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each key in a bit map."""
+    first = mix(keys.view(np.uint64))
+    return first >> np.uint64(64 - bits), mix(first + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
 class Members:
     """A bit map of hashed 64-bit keys: never misses a key, may admit others."""
 
@@ -63,17 +69,17 @@ class Members:
         self.words, self.bits = words, bits
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        place = mix(keys.view(np.uint64)) >> np.uint64(64 - self.bits)
-        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        one, two = ((self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1 for p in probes(keys, self.bits))
+        return one & two
 
 
 def members(keys: DataFrame, column: str, n: int) -> Members:
-    """The filter of a column of longs, with 16 bits for each of n keys within MIN_BITS..MAX_BITS; the driver gets the bit map alone."""
-    bits = min(MAX_BITS, max(MIN_BITS, int(n * 16).bit_length()))
+    """The filter of a column of longs, with 32 bits for each of n keys within MIN_BITS..MAX_BITS; the driver gets the bit map alone."""
+    bits = min(MAX_BITS, max(MIN_BITS, int(n * 32).bit_length()))
 
     def places(batches):
         for batch in batches:
-            place = np.unique(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - bits))
+            place = np.unique(np.concatenate(probes(batch.column(0).to_numpy(zero_copy_only=False), bits)))
             yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], ["word", "mask"])
 
     rows = keys.select(column).mapInArrow(places, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()

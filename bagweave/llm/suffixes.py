@@ -13,8 +13,8 @@ anchor's context. Runs are dealt by anchor:
 *   The first of each of several contexts with one anchor, cut into the strings that hold HALF bytes left of the anchor and the others,
     goes to suffix arrays over the cut contexts that share those bytes too. Neighbours in the suffix order that agree in SPAN bytes are
     one string, of which all but the earliest start are removed.
-*   A group of more than BLOCK contexts is dealt over blocks with a suffix array each; the earliest starts of
-    the blocks meet by the digest of their string.
+*   The contexts of an anchor with more than BLOCK of them are dealt over blocks with a suffix array each; the earliest
+    starts of the blocks meet by the digest of their string.
 
 Positions are on the input texts. The texts themselves are dealt only if something is removed from them.
 """
@@ -33,7 +33,10 @@ from bagweave.llm.common import BASE, BYTE, INVERSE, cut, members, mix, pieces,
 
 SPAN, GRAM = 100, 32
 HALF = (SPAN - GRAM) // 2
-BLOCK = 1024
+#: Contexts of one anchor that one suffix array takes; with FAN times as many they are dealt over FAN times as many blocks.
+BLOCK, FAN, LEVELS = 1024, 8, 8
+#: Places a run's number of strings takes.
+PLACES = 128
 #: Bytes that one suffix array takes, but for a single group.
 ARRAY_BYTES = 1 << 16
 #: Stands for a null doc_id, which counts as the last.
@@ -65,7 +68,7 @@ def suffix_order(text: list[int]) -> list[int]:
             while p >= 0 and group[p] >= start:
                 p = smaller[p]
             smaller[s] = p
-            if p >= 0:
+            if p >= 0 and size[group[p]] > 1:  # alone in its group, it stays where it is
                 count[p] = count.get(p, 0) + 1
         end = start
         if not count:
@@ -196,19 +199,20 @@ def all_runs(docs: DataFrame) -> DataFrame:
 
 
 def judged_runs(runs: DataFrame) -> DataFrame:
-    """doc, first, n, removed: runs whose context is earlier, and (not removed) the first of each of several contexts with one anchor.
+    """doc, place, key: runs whose context is earlier (no key), and the first of each of several contexts with one anchor, with
+    the anchor's key where the anchor's contexts reach a power of FAN times BLOCK. place is first * PLACES + n.
 
     Read as a stream sorted by key, context, doc and place; two rows are held, however many a key has.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, context, doc and first of the context's first row
+        last = None  # key, context, doc and first of the context's first row, and the number of the context in its key
         alone = None  # the first row of the key while it has one context
         for b in batches:
             key, context, doc, first, n = (b.column(i).to_numpy() for i in range(5))
             told = n < 0
             if told.any():
-                yield record("doc first n removed", doc[told], first[told], -n[told], np.ones(int(told.sum()), bool))
+                yield judged(doc[told], first[told], -n[told], 0)
                 key, context, doc, first, n = (x[~told] for x in (key, context, doc, first, n))
             if not len(key):
                 continue
@@ -221,78 +225,111 @@ def judged_runs(runs: DataFrame) -> DataFrame:
                 new[0] = new_key[0] or context[0] != last[1]
             begin = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
             doc0, first0 = np.where(begin < 0, last[2] if last else 0, doc[begin]), np.where(begin < 0, last[3] if last else 0, first[begin])
-            removed = ~new & ((doc != doc0) | (first != first0))
+            again = ~new & ((doc != doc0) | (first != first0))
+            if again.any():
+                yield judged(doc[again], first[again], n[again], 0)
             contexts = np.flatnonzero(new)
+            if not len(contexts):
+                continue
             opens = new_key[contexts]
-            several = np.concatenate([~opens[1:], [False]]) if len(contexts) else opens
-            first_of = contexts[~opens | several]
-            if alone is not None and len(contexts) and not opens[0]:
-                yield record("doc first n removed", *(np.array([x]) for x in alone), np.array([False]))
-                alone = None
-            elif len(contexts) and opens[0]:
-                alone = None
-            yield record("doc first n removed", np.concatenate([doc[removed], doc[first_of]]), np.concatenate([first[removed], first[first_of]]), np.concatenate([n[removed], n[first_of]]), np.arange(removed.sum() + len(first_of)) < removed.sum())
-            if len(contexts):
-                c = contexts[-1]
-                last = (key[c], context[c], doc[c], first[c])
-                if opens[-1]:
-                    alone = (doc[c], first[c], n[c])
+            number = np.arange(len(contexts))
+            number = number - np.maximum.accumulate(np.where(opens, number, 0)) + np.where(np.cumsum(opens) == 0, last[4] + 1 if last else 0, 0)
+            several = np.concatenate([~opens[1:], [False]])
+            if alone is not None and not opens[0]:
+                yield judged(*(np.array([x]) for x in alone[:3]), 1, np.array([alone[3]]), np.array([0]))
+            alone = None
+            kept = contexts[~opens | several]
+            if len(kept):
+                yield judged(doc[kept], first[kept], n[kept], 1, key[kept], number[~opens | several])
+            c = contexts[-1]
+            last = (key[c], context[c], doc[c], first[c], int(number[-1]))
+            if opens[-1]:
+                alone = (doc[c], first[c], n[c], key[c])
+
+    def judged(doc: np.ndarray, first: np.ndarray, n: np.ndarray, kind: int, key: np.ndarray | None = None, number: np.ndarray | None = None) -> pa.RecordBatch:
+        level = np.zeros(len(doc), np.int32) - 1 if kind == 0 else sum((number == BLOCK * FAN**i) * (i + 1) for i in range(LEVELS)).astype(np.int32)
+        return record("doc place level key", doc, first * PLACES + n, level, pa.array(np.zeros(len(doc), np.int64) if key is None else key, mask=level <= 0))
 
     dealt = runs.repartition(F.when(F.col("n") < 0, F.xxhash64("doc", "first")).otherwise(F.col("key")))
-    return dealt.sortWithinPartitions("key", "context", "doc", "first").mapInArrow(stream, "doc long, first long, n long, removed boolean")
+    return dealt.sortWithinPartitions("key", "context", "doc", "first").mapInArrow(stream, "doc long, place long, level int, key long")
+
 
+def cut_contexts(docs: DataFrame, wanted: Members, crowded: list[Members]) -> DataFrame:
+    """group, block, parts, h, string, doc, first of the wanted runs, cut at HALF bytes left of the anchor.
 
-def cut_contexts(docs: DataFrame, wanted) -> DataFrame:
-    """group, string, doc, first of the wanted runs, cut at HALF bytes left of the anchor."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    Contexts of an anchor that ``crowded[i]`` holds are dealt over FAN ** (i + 1) blocks by their string.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, crowded))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, crowded = shared.value
         for rows, raw, at in pieces(batches):
             runs = Runs(raw, at)
             doc = doc_ids(rows)[runs.row]
-            hit = np.flatnonzero(shared.value(run_mark(doc, runs.first - at[runs.row])))
-            doc, base, p, a, b = doc[hit], at[runs.row[hit]], runs.place[hit], runs.first[hit], runs.last[hit]
+            hit = np.flatnonzero(wanted(run_mark(doc, runs.first - at[runs.row])))
+            doc, base, p, a, b, key = doc[hit], at[runs.row[hit]], runs.place[hit], runs.first[hit], runs.last[hit], runs.key[hit]
+            parts = np.ones(len(hit), np.int64)
+            for i, level in enumerate(crowded):
+                parts[level(key)] = FAN ** (i + 1)
             left, right = a <= p - HALF, b > p - HALF
             starts = np.concatenate([a[left], np.maximum(a, p - HALF + 1)[right]])
             ends = np.concatenate([np.minimum(b, p - HALF)[left], b[right]]) + SPAN
+            parts = np.concatenate([parts[left], parts[right]])
             group = np.concatenate([runs.hashes((p - HALF)[left], (p + GRAM)[left]), ~runs.hashes(p[right], (p + GRAM + HALF - 1)[right])])
+            h = runs.hashes(starts, ends)
             yield record(
-                "group string doc first", group.view(np.int64), pa.array([raw[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()),
-                np.concatenate([doc[left], doc[right]]), starts - np.concatenate([base[left], base[right]]),
+                "group block parts h string doc first", group.view(np.int64), (h % parts.astype(np.uint64)).astype(np.int32), parts, h.view(np.int64),
+                pa.array([raw[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()), np.concatenate([doc[left], doc[right]]), starts - np.concatenate([base[left], base[right]]),
             )
 
-    return docs.mapInArrow(emit, "group long, string binary, doc long, first long")
+    return docs.mapInArrow(emit, "group long, block int, parts long, h long, string binary, doc long, first long")
 
 
 def array_spans(contexts: DataFrame) -> DataFrame:
-    """doc, first, n, d1, d2 from the suffix arrays over (group, block, parts, string, doc, first) sorted by group and block.
+    """doc, first, n, d1, d2 from the suffix arrays over the cut contexts.
 
-    Spans of n starts are removed, but those with a digest (d1, d2), which are the earliest of their block.
+    Spans of n starts are removed, but those with a digest (d1, d2), which are the earliest of their block. Equal strings of a
+    block are one string of its array; later ones are removed whole. Blocks of one group with one string need no array.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
+        held: list[tuple] = []  # strings of whole blocks, then of the open block
+        whole, size, last = 0, 0, None
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if held and row[:2] != last and size >= ARRAY_BYTES:
-                    yield spans(held)
-                    held, size = [], 0
+            again: list[tuple] = []
+            for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                if row[:2] != last:
+                    if len(held) - whole == 1 and held[-1][2] == 1:
+                        held.pop()
+                    whole, last = len(held), row[:2]
+                    if size >= ARRAY_BYTES:
+                        if held:
+                            yield spans(held)
+                        held, whole, size = [], 0, 0
+                elif row[3] == held[-1][3]:
+                    if row[5:] != held[-1][5:]:
+                        again.append((row[5], row[6], len(row[4]) - SPAN + 1))
+                    continue
                 held.append(row)
-                last, size = row[:2], size + len(row[3])
+                size += len(row[4])
+            if again:
+                yield record("doc first n d1 d2", *(np.array(c) for c in zip(*again, strict=True)), *(pa.nulls(len(again), pa.int64()) for _ in range(2)))
+        if len(held) - whole == 1 and held[-1][2] == 1:
+            held.pop()
         if held:
             yield spans(held)
 
     def spans(held: list[tuple]) -> pa.RecordBatch:
-        owner, start, string = repeated_strings([h[3] for h in held])
-        doc = np.array([h[4] for h in held])[owner]
-        place = np.array([h[5] for h in held])[owner] + start
+        owner, start, string = repeated_strings([h[4] for h in held])
+        doc = np.array([h[5] for h in held])[owner]
+        place = np.array([h[6] for h in held])[owner] + start
         split = np.array([h[2] > 1 for h in held])[owner]
         order = np.lexsort((place, doc, string))
         owner, start, string, doc, place, split = (x[order] for x in (owner, start, string, doc, place, split))
         first = np.ones(len(order), bool)
         first[1:] = string[1:] != string[:-1]
-        again = ~first & ((doc != doc[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]) | (place != place[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))])) if len(order) else first
+        begin = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        again = ~first & ((doc != doc[begin]) | (place != place[begin]))
         u = np.lexsort((place[again], doc[again]))
         d, p = doc[again][u], place[again][u]
         new = np.ones(len(d), bool)
@@ -300,7 +337,7 @@ def array_spans(contexts: DataFrame) -> DataFrame:
         k = np.flatnonzero(new)
         n = (p[np.concatenate([k[1:], [len(p)]]) - 1] - p[k] + 1) if len(k) else p
         win = np.flatnonzero(first & split)
-        digests = [hashlib.blake2b(held[o][3][s : s + SPAN], digest_size=16).digest() for o, s in zip(owner[win].tolist(), start[win].tolist(), strict=True)]
+        digests = [hashlib.blake2b(held[o][4][s : s + SPAN], digest_size=16).digest() for o, s in zip(owner[win].tolist(), start[win].tolist(), strict=True)]
         halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         none = [None] * len(k)
         return record(
@@ -308,32 +345,28 @@ def array_spans(contexts: DataFrame) -> DataFrame:
             pa.array(none + halves[:, 0].tolist(), pa.int64()), pa.array(none + halves[:, 1].tolist(), pa.int64()),
         )
 
-    sorted_rows = contexts.select("group", "block", "parts", "string", "doc", "first").repartition("group", "block").sortWithinPartitions("group", "block")
-    return sorted_rows.mapInArrow(build, "doc long, first long, n long, d1 long, d2 long")
+    dealt = contexts.repartition("group", "block").sortWithinPartitions("group", "block", "h", "doc", "first")
+    return dealt.mapInArrow(build, "doc long, first long, n long, d1 long, d2 long")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc, first, n: the strings of SPAN bytes at first..first+n-1 also start earlier."""
     runs = cut(judged_runs(all_runs(docs)))
-    firsts = runs.filter("not removed").select("doc", "first")
+    firsts = runs.filter("level >= 0")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield record("mark", run_mark(b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy()))
-
-    wanted = members(firsts.mapInArrow(mark, "mark long"), "mark", firsts.count())
-    rows = cut(cut_contexts(docs, wanted).withColumn("h", F.xxhash64("string")))
-    best = rows.groupBy("group", "h").agg(F.min(F.struct("doc", "first")).alias("m"))
-    met = rows.join(best, ["group", "h"])
-    again = met.filter(F.struct("doc", "first") > F.col("m")).select("doc", "first", (F.octet_length("string") - SPAN + 1).cast("long").alias("n"))
-    sizes = best.groupBy("group").agg(F.count("*").alias("k")).filter("k > 1").select("group", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts"))
-    dealt = met.filter(F.struct("doc", "first") == F.col("m")).dropDuplicates(["group", "h"]).join(sizes, "group")
-    dealt = dealt.withColumn("block", F.when(F.col("parts") == 1, 0).otherwise(F.pmod("h", F.col("parts"))).cast("int"))
-    spans = cut(array_spans(dealt))
+            yield record("mark", run_mark(b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy() // PLACES))
+
+    counts = {r["level"]: r["n"] for r in firsts.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    wanted = members(firsts.select("doc", "place").mapInArrow(mark, "mark long"), "mark", sum(counts.values()))
+    crowded = [members(firsts.filter(F.col("level") == i), "key", counts[i]) for i in range(1, max(counts, default=0) + 1)]
+    spans = cut(array_spans(cut_contexts(docs, wanted, crowded)))
     rivals = spans.filter("d1 is not null")
     best = rivals.groupBy("d1", "d2").agg(F.min(F.struct("doc", "first")).alias("best"))
     beaten = rivals.join(best, ["d1", "d2"]).filter(F.struct("doc", "first") > F.col("best")).select("doc", "first", "n")
-    return runs.filter("removed").select("doc", "first", "n").unionAll(again).unionAll(spans.filter("d1 is null").select("doc", "first", "n")).unionAll(beaten)
+    whole = runs.filter("level < 0").select("doc", F.shiftright("place", 7).alias("first"), (F.col("place") % PLACES).alias("n"))
+    return whole.unionAll(spans.filter("d1 is null").select("doc", "first", "n")).unionAll(beaten)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
