@@ -376,7 +376,8 @@ def training_pages(n: int, seed: int = 3) -> Iterator[str]:
 
 
 #: The model is fitted on so many generated pages.
-TRAINING_PAGES = 400
+TRAINING_PAGES = 600
+PAGES_AT_ONCE = 128
 _fitted: dict[tuple[int, int], BoostedTrees] = {}
 
 
@@ -391,11 +392,17 @@ def fitted(n: int = TRAINING_PAGES, seed: int = 3) -> BoostedTrees:
     return _fitted[n, seed]
 
 
-def main_text(source: str | None, model: BoostedTrees) -> str:
-    page = Page(source or "")
-    odds = model(page.features())
-    odds[0] = 1e9  # the root is kept
-    return page.text(page.decode(odds))
+def main_texts(sources: list[str | None], model: BoostedTrees) -> list[str]:
+    """The main text of each page; the nodes of all pages are scored at once."""
+    pages = [Page(source or "") for source in sources]
+    odds = model(np.concatenate([page.features() for page in pages])) if pages else np.zeros(0)
+    out, at = [], 0
+    for page in pages:
+        own = odds[at : at + len(page.tag)]
+        own[0] = 1e9  # the root is kept
+        at += len(page.tag)
+        out.append(page.text(page.decode(own)))
+    return out
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -408,9 +415,9 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
-                texts = [main_text(source, shared.value) for source in b.column(2).to_pylist()]
+            for i in range(0, whole.num_rows, PAGES_AT_ONCE):
+                b = whole.slice(i, PAGES_AT_ONCE)
+                texts = main_texts(b.column(2).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
