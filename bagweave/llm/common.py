@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 #: White space of the word pattern `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text that is worked on at once in a Python worker, in bytes; a longer text is worked on alone.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 M64 = (1 << 64) - 1
 
 
@@ -40,11 +41,21 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared folder, so that lost executors cost no recomputation; Spark removes the files."""
+    """Ends the lineage in the shared folder, so that lost executors cost no recomputation; Spark removes the files.
+
+    What earlier steps left on disk and nothing refers to any more goes first.
+    """
     shared_dir(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver drop the shuffle files and checkpoints that no frame refers to any more, before the next large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -1,15 +1,15 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
 Documents with equal shingle sets form a class and are joined once. A set's shingles are hashed into
-GROUPS groups; the counts of the groups are the set's point. The summed coordinate minima of two points, or of a
+groups; the counts of the groups are the set's point. The summed coordinate minima of two points, or of a
 point and a box of maxima, bound the overlap of two sets from above.
 
 1.  Links need a shared shingle among the first of each set in one global order (here: of the hashes), so every class
     sends its prefix of shingles, and SLACK more, to the shingle's partition; shingles of one class end there.
 2.  Of each remaining shingle the class with the least id is a centre; the others are compared with it, which
     joins most of a large group of near copies without its pairs.
-3.  Shingles that still hold classes of different components are searched in full by an R-tree: its leaves are runs of
-    LEAF classes by component and size, with boxes of maxima; pairs of boxes, then pairs of points, are kept
+3.  Shingles that still hold classes of different components are searched in full by an R-tree (equal groups of classes
+    once): its leaves are runs of LEAF classes by component and size, with boxes of maxima; pairs of boxes, then pairs of points, are kept
     only if their bound allows a link. A shingle of more than FREQUENT classes is searched only for classes that are
     full of such shingles: any other class shares more than one of its prefix with a linked one, so also a rarer one. This is exact.
 4.  Surviving pairs are verified on the whole sets.
@@ -27,15 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from bagweave.llm.common import M64, cut, members, mix, pieces, shingle_sets
+from bagweave.llm.common import M64, cut, members, mix, pieces, release, shingle_sets
 from bagweave.operators.graph import connected_components
 
-GROUPS = 128
-SLACK, FREQUENT, LEAF = 8, 64, 16
+#: Groups of the smallest points (as bits), and the mean count beyond which a point has four times as many.
+GROUP_BITS, MEAN = 5, 8
+SLACK, FREQUENT, LEAF = 8, 64, 32
 #: A count that is no upper bound any more.
-FULL = 255
-#: Pairs with one set in one task.
-PAIRS_PER_TASK = 256
+FULL, UNBOUNDED = 255, 1 << 32
+#: Pairs with one centre that are verified together.
+PAIRS_PER_TASK = 64
 
 
 def set_id(s: np.ndarray) -> int:
@@ -45,7 +46,11 @@ def set_id(s: np.ndarray) -> int:
 
 
 def point(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8).tobytes()
+    """Counts of the hash's leading bits in 32, 128, 512, ... groups, about 2 to 8 shingles in each; finer points fold into coarser ones."""
+    bits = GROUP_BITS
+    while len(s) >> bits > MEAN:
+        bits += 2
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), FULL).astype(np.uint8).tobytes()
 
 
 def least_overlap(n: Column | np.ndarray | int, percent: int):
@@ -128,17 +133,32 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "id").mapInArrow(stream, "token long, id long, n long, center long, rank long")
 
 
-def bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Summed coordinate minima of points or boxes (last axis); a full coordinate bounds nothing."""
-    return np.minimum(np.where(a == FULL, 1 << 20, a.astype(np.int32)), np.where(b == FULL, 1 << 20, b.astype(np.int32))).sum(-1)
+def folded(points: list[bytes]) -> np.ndarray:
+    """The points as rows of the coarsest one's groups; a full count stays no bound."""
+    width = min(map(len, points))
+    out = np.empty((len(points), width), np.int64)
+    for i, p in enumerate(points):
+        row = np.frombuffer(p, np.uint8).astype(np.int64)
+        row[row == FULL] = UNBOUNDED
+        out[i] = row.reshape(width, -1).sum(1)
+    return out
 
 
-def may_link(bound: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    return ((100 + percent) * bound >= percent * (na + nb)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+def coarser(points: np.ndarray, width: int) -> np.ndarray:
+    return points.reshape(len(points), width, -1).sum(2)
+
 
+def overlap_bounds(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Summed coordinate minima of pairs of points or boxes."""
+    out = np.empty(len(a), np.int64)
+    for i, (p, q) in enumerate(zip(a, b, strict=True)):
+        x = folded([p, q])
+        out[i] = np.minimum(x[0], x[1]).sum()
+    return out
 
-def points_of(columns: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(columns.to_pylist()), np.uint8).reshape(-1, GROUPS)
+
+def may_link(bound: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    return ((100 + percent) * bound >= percent * (na + nb)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
 def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -147,7 +167,7 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                ok = may_link(bounds(points_of(b.column(4)), points_of(b.column(5))), b.column(2).to_numpy(), b.column(3).to_numpy(), percent)
+                ok = may_link(overlap_bounds(b.column(4).to_pylist(), b.column(5).to_pylist()), b.column(2).to_numpy(), b.column(3).to_numpy(), percent)
                 yield b.select(["a", "b"]).filter(pa.array(ok))
 
     left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
@@ -157,89 +177,129 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked: 100 * shared >= percent * of both, on the whole sets.
+    """The pairs (a, b) of (a, b, task) that are linked: 100 * shared >= percent * of both, on the whole sets.
 
-    Only texts of the pairs' classes are read as sets. The sets a come to the set b, whose pairs are dealt
-    over tasks of about PAIRS_PER_TASK.
+    Only texts of the pairs' classes are read as sets; a set goes once to each task that compares it, and a task has
+    the sets of a few leaves or of one centre and PAIRS_PER_TASK others.
     """
-    needed = pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))).distinct().join(classes.select(F.col("id").alias("a"), "doc_id"), "a").select("doc_id")
-    needed = cut(needed)
+    sides = pairs.select("task", F.col("a").alias("id")).unionAll(pairs.select("task", F.col("b").alias("id"))).distinct()
+    needed = cut(sides.select("id").distinct().join(classes.select("id", "doc_id"), "id").select("doc_id"))
     inside = docs.sparkSession.sparkContext.broadcast(members(needed, "doc_id", needed.count()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            ids = whole.column(0)
-            wanted = whole.filter(pa.array(inside.value(ids.fill_null(0).to_numpy(zero_copy_only=False))))
+            wanted = whole.filter(pa.array(inside.value(whole.column(0).fill_null(0).to_numpy(zero_copy_only=False))))
             for _, raw, at in pieces(iter([wanted])):
                 sets = [s for s in shingle_sets(raw, at)[0] if len(s)]
                 yield batch("id items", pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()))
 
     sets = docs.select("doc_id", "text").mapInArrow(read, "id long, items binary")
-    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_PER_TASK).cast("int").alias("parts"))
-    dealt = pairs.join(many, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    sides = sets.join(
-        dealt.select(F.col("a").alias("id"), "b", "part", F.lit(1).alias("side"), F.col("a").alias("other"))
-        .unionAll(many.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("b").alias("other"))), "id")
+    none = F.lit(None)
+    rows = sets.join(sides, "id").select("task", "id", none.cast("long").alias("b"), "items").unionAll(pairs.select("task", F.col("a").alias("id"), "b", none.cast("binary").alias("items")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, np.zeros(0, np.uint64)
+        task, held = None, {}
         for x in batches:
-            out = []
-            for b, part, side, other, items in zip(*(x.column(i).to_pylist() for i in range(5)), strict=True):
-                own = np.frombuffer(items, np.uint64)
-                if side == 0:
-                    key, held = (b, part), own
-                elif key == (b, part):
-                    n = len(np.intersect1d(held, own, assume_unique=True))
-                    if 100 * n >= percent * (len(held) + len(own) - n):
-                        out.append((other, b))
-            yield batch("a b", pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()))
+            left, right = [], []
+            for t, i, b, items in zip(*(x.column(k).to_pylist() for k in range(4)), strict=True):
+                if t != task:
+                    task, held = t, {}
+                if b is None:
+                    held[i] = np.frombuffer(items, np.uint64)
+                else:
+                    p, q = held[i], held[b]
+                    if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
+                        n = len(np.intersect1d(p, q, assume_unique=True))
+                        if 100 * n >= percent * (len(p) + len(q) - n):
+                            left.append(i)
+                            right.append(b)
+            yield batch("a b", pa.array(left, pa.int64()), pa.array(right, pa.int64()))
+
+    return rows.repartition("task").sortWithinPartitions("task", F.col("b").isNotNull()).mapInArrow(compare, "a long, b long")
+
+
+def by_centre(pairs: DataFrame) -> DataFrame:
+    """Adds the task of each pair (a, b): its b, and a part of it by a where b has many pairs."""
+    many = pairs.groupBy(F.col("b").alias("centre")).agg(F.ceil(F.count("*") / PAIRS_PER_TASK).alias("parts"))
+    return pairs.join(many, F.col("b") == F.col("centre")).select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("task"))
+
+
+def small_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """group, id: the distinct groups of ids of tokens (token, id, n, component) of at most FREQUENT + 1 classes, without
+    classes that no other of another component and fitting size stands beside. Tokens of one passage make one group."""
+
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups, ids = [], []
+            for members in b.column(0).to_pylist():
+                i, n, c = (np.array([m[k] for m in members]) for k in ("id", "n", "component"))
+                fits = (c[:, None] != c) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
+                if fits.any():
+                    kept = np.sort(i[fits.any(1)])
+                    groups.append(np.full(len(kept), mix((mix(kept.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]))
+                    ids.append(kept)
+            none = [np.zeros(0, np.int64)]
+            yield batch("group id", np.concatenate(groups or none), np.concatenate(ids or none))
 
-    return sides.select("b", "part", "side", "other", "items").repartition("b", "part").sortWithinPartitions("b", "part", "side").mapInArrow(compare, "a long, b long").distinct()
+    members = rows.groupBy("token").agg(F.collect_list(F.struct("id", "n", "component")).alias("members")).select("members")
+    return members.mapInArrow(regroup, "group long, id long").distinct()
 
 
 def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a token (token, id, component, n, point) that the R-tree can't exclude."""
-    place = Window.partitionBy("token").orderBy("component", "n", "id")
-    leaves = rows.withColumn("leaf", ((F.row_number().over(place) - 1) / LEAF).cast("int")).groupBy("token", "leaf").agg(F.collect_list(F.struct("id", "component", "n", "point")).alias("members"))
+    """Pairs (a, b) of different components within a group (group, id, component, n, point) that the R-tree can't exclude,
+    each with a task, the least of the leaves or pairs of leaves where it was found."""
+    found = "a long, b long, task long"
+    group = Window.partitionBy("group")
+    placed = rows.withColumn("leaf", ((F.row_number().over(group.orderBy("component", "n", "id")) - 1) / LEAF).cast("int")).withColumn("many", F.count("*").over(group) > LEAF)
+    leaves = cut(placed.groupBy("group", "leaf", "many").agg(F.collect_list(F.struct("id", "component", "n", "point")).alias("members")))
+    several = leaves.filter("many").select("group", "leaf", "members")
 
     def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.column(2).to_pylist()
-            boxes = [np.frombuffer(b"".join(m["point"] for m in r), np.uint8).reshape(-1, GROUPS).max(0).tobytes() for r in rows]
+            boxes = [np.minimum(folded([m["point"] for m in r]).max(0), FULL).astype(np.uint8).tobytes() for r in rows]
             few = [r[0]["component"] if all(m["component"] == r[0]["component"] for m in r) else None for r in rows]
             yield batch(
-                "token leaf box low high component", b.column(0), b.column(1), pa.array(boxes, pa.binary()), pa.array([min(m["n"] for m in r) for r in rows], pa.int64()),
+                "group leaf box low high component", b.column(0), b.column(1), pa.array(boxes, pa.binary()), pa.array([min(m["n"] for m in r) for r in rows], pa.int64()),
                 pa.array([max(m["n"] for m in r) for r in rows], pa.int64()), pa.array(few, pa.int64()),
             )
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                bound = bounds(points_of(b.column(3)), points_of(b.column(4)))
-                yield b.select(["token", "leaf", "other"]).filter(pa.array((100 + percent) * bound >= percent * (b.column(5).to_numpy() + b.column(6).to_numpy())))
-
-    leaves = cut(leaves)
-    boxes = leaves.mapInArrow(box, "token long, leaf int, box binary, low long, high long, component long")
-    other = boxes.select("token", *(F.col(c).alias(f"{c}2") for c in ("leaf", "box", "low", "high", "component")))
-    met = boxes.join(other, "token").filter("leaf <= leaf2 and (component is null or component2 is null or component != component2)").filter((100 * F.col("high") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low")))
-    met = met.select("token", "leaf", F.col("leaf2").alias("other"), "box", "box2", "low", "low2").mapInArrow(cross, "token long, leaf int, other int")
+            bound = overlap_bounds(b.column(3).to_pylist(), b.column(4).to_pylist())
+            yield b.select(["group", "leaf", "other"]).filter(pa.array((100 + percent) * bound >= percent * (b.column(5).to_numpy() + b.column(6).to_numpy())))
+
+    def survivors(x: list[dict], y: list[dict]) -> np.ndarray:
+        """Rows (a, b); points are compared at the coarser of both widths, so members are taken by width."""
+        out = [np.zeros((0, 2), np.int64)]
+        widths = [{len(m["point"]) for m in s} for s in (x, y)]
+        for v in widths[0]:
+            for w in widths[1]:
+                left, right = [m for m in x if len(m["point"]) == v], [m for m in y if len(m["point"]) == w]
+                p, q = coarser(folded([m["point"] for m in left]), min(v, w)), coarser(folded([m["point"] for m in right]), min(v, w))
+                (n1, i1, c1), (n2, i2, c2) = ([np.array([m[k] for m in s]) for k in ("n", "id", "component")] for s in (left, right))
+                fits = (c1[:, None] != c2) & (i1[:, None] != i2) & (100 * np.minimum(n1[:, None], n2) >= percent * np.maximum(n1[:, None], n2))
+                if fits.any():
+                    bound = np.stack([np.minimum(row, q).sum(1) for row in p])
+                    k, j = np.nonzero(fits & may_link(bound, n1[:, None], n2[None], percent))
+                    out.append(np.stack([np.minimum(i1[k], i2[j]), np.maximum(i1[k], i2[j])], 1))
+        return np.unique(np.concatenate(out), axis=0)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = [], []
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                p, q = (np.frombuffer(b"".join(m["point"] for m in s), np.uint8).reshape(-1, GROUPS) for s in (x, y))
-                (n1, i1, c1), (n2, i2, c2) = ([np.array([m[k] for m in s]) for k in ("n", "id", "component")] for s in (x, y))
-                ok = may_link(bounds(p[:, None], q[None]), n1[:, None], n2[None], percent) & (c1[:, None] != c2[None]) & (i1[:, None] != i2[None])
-                u, v = np.nonzero(ok)
-                left.append(np.minimum(i1[u], i2[v]))
-                right.append(np.maximum(i1[u], i2[v]))
-            a, c = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
-            yield batch("a b", a, c)
+            for task, x, y in zip(*(b.column(k).to_pylist() for k in (0, 1, b.num_columns - 1)), strict=True):
+                ends = survivors(x, y)
+                if len(ends):
+                    yield batch("a b task", ends[:, 0], ends[:, 1], np.full(len(ends), task))
 
-    side = leaves.select("token", F.col("leaf").alias("other"), F.col("members").alias("members2"))
-    return met.join(leaves, ["token", "leaf"]).join(side, ["token", "other"]).select("members", "members2").mapInArrow(pairs, "a long, b long").distinct()
+    boxes = several.mapInArrow(box, "group long, leaf int, box binary, low long, high long, component long")
+    other = boxes.select("group", *(F.col(c).alias(f"{c}2") for c in ("leaf", "box", "low", "high", "component")))
+    met = boxes.join(other, "group").filter("leaf < leaf2 and (component is null or component2 is null or component != component2)").filter((100 * F.col("high") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low")))
+    met = met.select("group", "leaf", F.col("leaf2").alias("other"), "box", "box2", "low", "low2").mapInArrow(cross, "group long, leaf int, other int")
+    side = several.select("group", F.col("leaf").alias("other"), F.col("members").alias("members2"))
+    across = met.join(several, ["group", "leaf"]).join(side, ["group", "other"]).select(F.xxhash64("group", "leaf", "other"), "members", "members2").mapInArrow(pairs, found)
+    alone = leaves.select(F.xxhash64("group", "leaf"), "members").mapInArrow(pairs, found)
+    return alone.unionAll(across).groupBy("a", "b").agg(F.min("task").alias("task"))
 
 
 def linked(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -255,19 +315,21 @@ def linked(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = cut(profile.filter("n > 0 and doc_id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "n", "point")).alias("m")).select("id", "m.*"))
     shared = cut(shared_tokens(prefixes(docs.filter("doc_id is not null"), percent)))
     stars = bounded(shared.filter("rank > 0").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), classes, percent)
-    links = cut(verified(docs, classes, cut(stars), percent))
-    groups = connected_components(links, "a", "b").withColumnRenamed("id", "gid")
-    rows = shared.select("token", "id", "n", "rank").join(groups, F.col("id") == F.col("gid"), "left").withColumn("component", F.coalesce("component", "id"))
-    rows = cut(rows.select("token", "id", "n", "rank", "component"))
-    frequent = rows.filter(F.col("rank") == FREQUENT).select("token", F.lit(True).alias("frequent"))
-    open_tokens = rows.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2").select("token")
-    marked = rows.join(frequent, "token", "left").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
+    release(docs.sparkSession)
+    links = cut(verified(docs, classes, cut(by_centre(cut(stars))), percent))
+    groups = cut(connected_components(links, "a", "b").withColumnRenamed("id", "gid"))
+    frequent = cut(shared.filter(F.col("rank") == FREQUENT).select("token"))
+    named = lambda rows: rows.join(groups, F.col("id") == F.col("gid"), "left").withColumn("component", F.coalesce("component", "id"))
+    ordinary = named(shared.select("token", "id", "n").join(frequent, "token", "left_anti"))
+    crowded = shared.select("token", "id", "n").join(frequent, "token", "left_semi")
     own = F.least(F.lit(SLACK + 1), F.ceil(F.col("n") * percent / 100))
-    heavy = marked.filter("frequent").groupBy("id").agg(F.count("*").alias("k"), F.max("n").alias("n")).filter(F.col("k") >= own).select(F.col("id").alias("hid"))
-    searched = marked.join(open_tokens, "token", "left_semi").join(heavy, F.col("id") == F.col("hid"), "left").filter("not frequent or hid is not null")
-    searched = searched.select("token", "id", "component").join(classes.select("id", "n", "point"), "id")
+    heavy = crowded.groupBy("id").agg(F.count("*").alias("k"), F.max("n").alias("n")).filter(F.col("k") >= own).select(F.col("id").alias("hid"))
+    searched = small_groups(ordinary, percent).unionAll(crowded.join(heavy, F.col("id") == F.col("hid")).select(F.col("token").alias("group"), "id"))
+    searched = named(searched).select("group", "id", "component").join(classes.select("id", "n", "point"), "id")
     more = cut(tree_pairs(searched, percent))
-    links = links.unionAll(verified(docs, classes, more, percent))
+    release(docs.sparkSession)
+    links = links.unionAll(cut(verified(docs, classes, more, percent)))
+    release(docs.sparkSession)
     groups = connected_components(links, "a", "b").withColumnRenamed("id", "gid")
     named = classes.select("id", "doc_id").join(groups, F.col("id") == F.col("gid"), "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
