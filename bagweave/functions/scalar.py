@@ -54,3 +54,8 @@ def metric_name(text: Column) -> Column:
 def membership_digest(identifier: Column) -> Column:
     """Aggregate: SHA-256 of the sorted ids, one per line. Gathers the group's ids: for published memberships, not for hot keys."""
     return F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list(identifier)), "\n"), F.lit("\n")), 256)
+
+
+def pearson(a: Column | str, b: Column | str) -> Column:
+    """Aggregate: correlation, NULL where a side is constant (corr() fails there under ANSI)."""
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)))

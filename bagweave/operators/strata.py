@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from bagweave.functions.scalar import ratio
+from bagweave.functions.scalar import pearson, ratio
 
 
 def distribution(value: str, prefix: str = "") -> list[Column]:
@@ -58,7 +58,7 @@ def regression_metrics(df: DataFrame, predicted: str, actual: str, region: str,
     p, a = F.col(predicted), F.col(actual)
     rows = df.select(region, p.alias("p"), a.alias("a"), (p - a).alias("e"))
     return rows.rollup(region).agg(
-        F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.when((F.var_pop("p") > 0) & (F.var_pop("a") > 0), F.corr("p", "a")).alias("pearson"),
+        F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), pearson("p", "a").alias("pearson"),
         F.avg(F.when(F.abs("a") > band, (F.signum("p") == F.signum("a")).cast("double"))).alias("sign_accuracy"),
     )
 
@@ -105,5 +105,5 @@ def normalized(df: DataFrame, values: str, moments: DataFrame, key: str, epsilon
 def correlations(df: DataFrame, values: str, channels: int) -> DataFrame:
     """Pearson correlations of the first channels of an array column, one aggregate for all pairs: a, b, r."""
     cells = [(i, j) for i in range(channels) for j in range(i + 1, channels)]
-    one = df.agg(*(F.corr(F.col(values)[i].cast("double"), F.col(values)[j].cast("double")).alias(f"c{i}_{j}") for i, j in cells))
+    one = df.agg(*(pearson(F.col(values)[i].cast("double"), F.col(values)[j].cast("double")).alias(f"c{i}_{j}") for i, j in cells))
     return one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.col(f"c{i}_{j}").alias("r")) for i, j in cells))).alias("x")).select("x.*")
