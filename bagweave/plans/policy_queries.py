@@ -109,3 +109,47 @@ def prevalence_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bags(spark, sf_dir)
     bias = ops.matching_bias(b, "p", 0.2)
     return b.agg(F.lit(bias).alias("bias"), F.round(F.avg(1 / (1 + F.exp(-(F.col("p") + bias)))), 6).alias("mean"))
+
+
+CURVE2 = """c AS (SELECT user_id % 20 AS run, event_type AS stratum, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS epoch, arg_max(value, event_id) / 1000.0::DOUBLE AS g, arg_max(event_id % 97, event_id) / 97.0::DOUBLE AS s FROM events GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {CURVE2}, a AS (SELECT run, stratum, arg_max(epoch, (g, -epoch)) AS chosen, max(g) AS g, arg_max(s, (g, -epoch)) AS s, max(s) AS best FROM c GROUP BY run, stratum) SELECT run, stratum, chosen, round(g, 6) AS g, round(s, 6) AS s, round(best - s, 6) AS regret FROM a""")
+def subgroup_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run"), F.col("event_type").alias("stratum"), F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("long").alias("epoch"), "event_id", "value")
+    c = e.groupBy("run", "stratum", "epoch").agg((F.max_by("value", "event_id") / 1000).alias("g"), (F.max_by(F.col("event_id") % 97, F.col("event_id")) / F.lit(97.0)).alias("s"))
+    return ops.coupling(c, ["run", "stratum"], "epoch", "g", "s").select("run", "stratum", "chosen", *(F.round(x, 6).alias(x) for x in ("g", "s", "regret")))
+
+
+@query(f"""WITH {BAGS}, c AS (SELECT family, count(*) FILTER (p >= .5 AND target = 1)::DOUBLE AS a, count(*) FILTER (p >= .5 AND target = 0)::DOUBLE AS b, count(*) FILTER (p < .5 AND target = 0)::DOUBLE AS e, count(*) FILTER (p < .5 AND target = 1)::DOUBLE AS f FROM bags GROUP BY family)
+SELECT family, round(coalesce(((a * e - b * f) / nullif(sqrt(a + b) * sqrt(a + f) * sqrt(e + b) * sqrt(e + f), 0) + 1) / 2, 0), 6) AS objective FROM c""")
+def mcc_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bagweave.operators.bags import binary_metrics, confusion
+
+    m = binary_metrics(confusion(bags(spark, sf_dir), ["family"]))
+    return m.select("family", F.round(F.coalesce((F.col("mcc") + 1) / 2, F.lit(0.0)), 6).alias("objective"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT url, max(octet_length(encode(html))) AS n FROM pages GROUP BY url)")
+def storage_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy("url").agg(F.max(F.octet_length("html")).cast("long").alias("n")).agg(F.count("*").alias("files"), F.sum("n").alias("bytes"))
+
+
+@query(f"WITH {RUNS} SELECT seed AS epoch, status AS name, round(avg(metric), 6) AS mean, CAST(count(*) AS BIGINT) AS n FROM runs GROUP BY 1, 2")
+def epoch_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs(spark, sf_dir).groupBy(F.col("seed").alias("epoch"), F.col("status").alias("name")).agg(F.round(F.avg("metric"), 6).alias("mean"), F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS id, l_linenumber AS site FROM lineitem), n AS (SELECT o_orderkey AS id, 1 + o_custkey % 7 AS site FROM orders) SELECT n.id, n.site FROM n LEFT JOIN s ON s.id = n.id AND s.site = n.site WHERE s.id IS NULL""")
+def unexplained_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bagweave.operators.descriptors import unexplained_sites as unexplained
+
+    sites = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("site"))
+    notes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (1 + F.col("o_custkey") % 7).alias("site"))
+    return unexplained(sites, notes, ["id", "site"])
+
+
+@query(f"""WITH {BAGS}, g AS (SELECT family, sum(CASE WHEN target = 1 THEN p ELSE 0 END) AS cost, exp(sum(ln(greatest(u, 1e-6)))) AS open FROM bags WHERE slice = 0 GROUP BY family) SELECT family, round(cost * open, 8) AS contribution FROM g""")
+def gate_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = bags(spark, sf_dir).filter("slice = 0").groupBy("family").agg(F.sum(F.when(F.col("target") == 1, F.col("p")).otherwise(0.0)).alias("cost"), F.exp(F.sum(F.log(F.greatest("u", F.lit(1e-6))))).alias("open"))
+    return g.select("family", F.round(F.col("cost") * F.col("open"), 8).alias("contribution"))
