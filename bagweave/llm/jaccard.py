@@ -9,9 +9,10 @@ point and a box of maxima, bound the overlap of two sets from above.
 2.  Of each remaining shingle the class with the least id is a centre; the others are compared with it, which
     joins most of a large group of near copies without its pairs.
 3.  Shingles that still hold classes of different components are searched in full by an R-tree (equal groups of classes
-    once): its leaves are runs of LEAF classes by component and size, with boxes of maxima; pairs of boxes, then pairs of points, are kept
-    only if their bound allows a link. A shingle of more than FREQUENT classes is searched only for classes that are
-    full of such shingles: any other class shares more than one of its prefix with a linked one, so also a rarer one. This is exact.
+    once): its leaves are runs of LEAF classes by first shingle, component and size, with boxes of maxima; pairs of boxes, then pairs of points, are kept
+    only if their bound allows a link. Of shingles of more than FREQUENT classes only those classes are searched that are
+    full of such shingles (any other class shares more than one of its prefix with a linked one, so also a rarer one, and
+    this is exact). Classes that such shingles connect are one group, in which each pair of leaves is met once.
 4.  Surviving pairs are verified on the whole sets.
 
 No limit drops a pair: SLACK, FREQUENT and LEAF only move work between the two paths.
@@ -246,11 +247,11 @@ def small_groups(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a group (group, id, component, n, point) that the R-tree can't exclude,
+    """Pairs (a, b) of different components within a group (group, id, first, component, n, point) that the R-tree can't exclude,
     each with a task, the least of the leaves or pairs of leaves where it was found."""
     found = "a long, b long, task long"
     group = Window.partitionBy("group")
-    placed = rows.withColumn("leaf", ((F.row_number().over(group.orderBy("component", "n", "id")) - 1) / LEAF).cast("int")).withColumn("many", F.count("*").over(group) > LEAF)
+    placed = rows.withColumn("leaf", ((F.row_number().over(group.orderBy("first", "component", "n", "id")) - 1) / LEAF).cast("int")).withColumn("many", F.count("*").over(group) > LEAF)
     leaves = cut(placed.groupBy("group", "leaf", "many").agg(F.collect_list(F.struct("id", "component", "n", "point")).alias("members")))
     several = leaves.filter("many").select("group", "leaf", "members")
 
@@ -321,11 +322,14 @@ def linked(docs: DataFrame, percent: int = 75) -> DataFrame:
     frequent = cut(shared.filter(F.col("rank") == FREQUENT).select("token"))
     named = lambda rows: rows.join(groups, F.col("id") == F.col("gid"), "left").withColumn("component", F.coalesce("component", "id"))
     ordinary = named(shared.select("token", "id", "n").join(frequent, "token", "left_anti"))
-    crowded = shared.select("token", "id", "n").join(frequent, "token", "left_semi")
+    crowded = shared.select("token", "id", "n", "center").join(frequent, "token", "left_semi")
     own = F.least(F.lit(SLACK + 1), F.ceil(F.col("n") * percent / 100))
-    heavy = crowded.groupBy("id").agg(F.count("*").alias("k"), F.max("n").alias("n")).filter(F.col("k") >= own).select(F.col("id").alias("hid"))
-    searched = small_groups(ordinary, percent).unionAll(crowded.join(heavy, F.col("id") == F.col("hid")).select(F.col("token").alias("group"), "id"))
-    searched = named(searched).select("group", "id", "component").join(classes.select("id", "n", "point"), "id")
+    heavy = crowded.groupBy("id").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.min("token").alias("first")).filter(F.col("k") >= own).select(F.col("id").alias("hid"), "first")
+    crowded = cut(crowded.join(heavy, F.col("id") == F.col("hid")).select("id", "center", "first").distinct())
+    family = connected_components(crowded, "id", "center").select(F.col("id").alias("fid"), F.col("component").alias("group"))
+    families = crowded.select("id", "first").distinct().join(family, F.col("id") == F.col("fid")).select("group", "id", "first")
+    searched = small_groups(ordinary, percent).withColumn("first", F.lit(0).cast("long")).unionAll(families)
+    searched = named(searched).select("group", "id", "first", "component").join(classes.select("id", "n", "point"), "id")
     more = cut(tree_pairs(searched, percent))
     release(docs.sparkSession)
     links = links.unionAll(cut(verified(docs, classes, more, percent)))
