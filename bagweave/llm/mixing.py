@@ -63,7 +63,7 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
     totals = totals.withColumnRenamed("source", "s2")
     budget = F.round("target").cast("long")
     rows = placed.join(totals, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
+    epochs = F.floor(F.coalesce(F.try_divide(budget, F.col("source_size")), F.lit(0.0)))
     left = budget - epochs * F.col("source_size") - F.col("base") - F.col("own")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "key")
