@@ -55,4 +55,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_quality_classifier, op3_benchmark_decontamination, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_warc, op7_chat_formatting, op8_quality_rules, op9_source_mixing, op10_html_extraction,
 )}
-ORACLES: dict[str, str] = {}
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The distinct shingles of five words of each row (fewer words: one shingle), for a table with an id and a text.
+SHINGLES = """{name}_w AS (SELECT {id} AS id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+{name} AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM {name}_w)"""
+_fill = {"upper": LETTERS, "lower": LETTERS.lower()}
+
+ORACLES: dict[str, str] = {
+    "op3_benchmark_decontamination": f"""WITH {SHINGLES.format(name="d", id="doc_id", table="documents", **_fill)}, {SHINGLES.format(name="q", id="item_id", table="benchmark", **_fill)}, n AS (SELECT id, count(*) AS n FROM q GROUP BY id),
+p AS (SELECT d.id AS doc_id, q.id AS item_id, count(*) AS k FROM d JOIN q ON d.s = q.s GROUP BY 1, 2) SELECT doc_id, item_id, CAST(k AS BIGINT) AS n_shared, CAST(n AS BIGINT) AS n_item, k / CAST(n AS DOUBLE) AS containment FROM p JOIN n ON n.id = item_id WHERE k >= .75 * n""",
+    "op7_chat_formatting": """WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) AS t, length(replace(replace(role, '&', '&amp;'), '<', '&lt;')) AS o, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM r)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(CASE WHEN before = role THEN 8 + t ELSE 23 + o + t END) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+    "op6_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY h), x AS (SELECT page_id, first_id, octet_length(encode(p.h)) AS n, sha1(p.h) AS d FROM p JOIN f ON p.h = f.h),
+b AS (SELECT page_id, first_id, n, list_reduce(list_transform(range(1, 33), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(d, 1 + ((5 * (i - 1)) // 4), 2) || CASE WHEN (5 * (i - 1)) // 4 = 39 THEN '0' ELSE '' END)::BIGINT >> (3 - (5 * (i - 1)) % 4)) & 31 AS BIGINT), 1)), lambda u, v: u || v) AS digest FROM x)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM b""",
+}
