@@ -280,3 +280,18 @@ def test_pipeline(spark):
     assert got and set(got) <= set(left)
     assert sum(r["taken"] for r in got.values()) == pytest.approx(sum(len(brute.WORD.findall(t or "")) for t in left.values()), rel=0.02)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "source mixing"]
+
+
+@pytest.mark.parametrize("name", ["op3_benchmark_decontamination", "op6_warc", "op7_chat_formatting"])
+def test_sql(spark, name):
+    import duckdb
+
+    from bagweave.llm import queries
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, sf)
+    found = con.sql(queries.ORACLES[name])
+    at = [found.columns.index(c) for c in got.columns]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, (tuple(r[i] for i in at) for r in found.fetchall())))
