@@ -40,9 +40,11 @@ def bounded_depths(edges: DataFrame, sources: DataFrame, limit: int) -> DataFram
     """(src, dst, depth): the least number of edges from each source, up to the limit; each step expands only the last one's new pairs."""
     frontier = sources.select(F.col(sources.columns[0]).alias("src"), F.col(sources.columns[0]).alias("dst"), F.lit(0).alias("depth"))
     found = frontier
-    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct()
+    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct().transform(cut)
     for depth in range(1, limit + 1):
         new = frontier.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
         frontier = new.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)).transform(cut)
+        if frontier.isEmpty():
+            break
         found = found.unionAll(frontier)
     return found

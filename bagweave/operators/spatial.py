@@ -42,9 +42,9 @@ def contacts(left: DataFrame, right: DataFrame, largest: float, slack: float = 0
     return near_pairs(left, right, 2 * largest + slack, F.col("d2") < reach * reach)
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, k: int, left_id: str, right_id: str, self_join: bool = False, single: bool = False) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, radius: float, k: int, left_id: str, right_id: str, self_join: bool = False, single: bool = False, keep: Column | None = None) -> DataFrame:
     """The k nearest within the radius by (distance, id): left_id, right_id, d, rank from 1. ``single`` orders by 32-bit distances."""
-    pairs = near_pairs(left, right, radius)
+    pairs = near_pairs(left, right, radius, keep)
     if self_join:
         pairs = pairs.filter(F.col(f"a_{left_id}") != F.col(f"b_{right_id}"))
     d = F.col("d").cast("float") if single else F.col("d")
@@ -81,9 +81,9 @@ def exposed(points: DataFrame, spheres: DataFrame, largest: float, point_id: str
     return points.join(inside, F.col(point_id) == F.col("gone"), "left_anti")
 
 
-def gaps(points: DataFrame, spheres: DataFrame, reach: float, point_id: str) -> DataFrame:
+def gaps(points: DataFrame, spheres: DataFrame, reach: float, point_id: str, keep: Column | None = None) -> DataFrame:
     """Per point: the centre distance minus radius of the nearest centre, and the least over all spheres within reach."""
-    pairs = near_pairs(points, spheres, reach)
+    pairs = near_pairs(points, spheres, reach, keep)
     return pairs.groupBy(F.col(f"a_{point_id}").alias(point_id)).agg(F.min_by(F.col("d") - F.col("b_radius"), F.struct("d", "b_atom")).alias("nearest_gap"), F.min(F.col("d") - F.col("b_radius")).alias("least_gap"))
 
 

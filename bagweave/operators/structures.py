@@ -72,9 +72,9 @@ def conductance(distance: Column, dot: Column, bend: Column, sd: float = 1.0, sn
     return F.exp(-distance * distance / (2 * sd * sd) - (1 - dot) / sn - bend * bend / (2 * sk * sk))
 
 
-def gaussian_projection(points: DataFrame, atoms: DataFrame, reach: float, feature: str, sigma: float = 2.0) -> DataFrame:
+def gaussian_projection(points: DataFrame, atoms: DataFrame, reach: float, feature: str, sigma: float = 2.0, keep: Column | None = None) -> DataFrame:
     """Per point: sum and mean of an atom feature with Gaussian weights, and their ratio to the total weight; 0 where no atom is near, as defined."""
-    w = near_pairs(points, atoms, reach).withColumn("w", F.exp(-F.col("d2") / (2 * sigma * sigma)))
+    w = near_pairs(points, atoms, reach, keep).withColumn("w", F.exp(-F.col("d2") / (2 * sigma * sigma)))
     a = w.groupBy(F.col("a_atom").alias("atom")).agg(F.sum(F.col("w") * F.col(f"b_{feature}")).alias("total"), F.sum("w").alias("weight"))
     return points.select("atom").join(a, "atom", "left").select("atom", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce(ratio(F.col("total"), F.col("weight")), F.lit(0.0)).alias("mean"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bagweave.operators import structures as ops
 from bagweave.operators.spatial import fibonacci_sphere, near_pairs
 from bagweave.plans.registry import query
-from bagweave.plans.spatial_queries import D2, near
+from bagweave.plans.spatial_queries import D2, near, others
 from bagweave.plans.views import ATOMS, POINTS, atoms, points, table
 
 
@@ -74,7 +74,7 @@ def edge_conductance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ATOMS}, w AS (SELECT a.atom AS a, exp(-{D2} / 8) AS w, b.p AS p FROM atoms a JOIN atoms b ON a.owner = 0 AND b.owner <> 0 AND {D2} <= 1.0::DOUBLE) SELECT atom, round(coalesce(sum(w * w.p), 0), 6) AS total, round(coalesce(sum(w * w.p) / sum(w), 0), 6) AS mean FROM atoms LEFT JOIN w ON w.a = atom WHERE owner = 0 GROUP BY atom""")
 def feature_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = atoms(spark, sf_dir)
-    g = ops.gaussian_projection(a.filter("owner = 0"), a.filter("owner != 0"), 1.0, "p")
+    g = ops.gaussian_projection(a, a, 1.0, "p", keep=others())
     return g.select("atom", F.round("total", 6).alias("total"), F.round("mean", 6).alias("mean"))
 
 

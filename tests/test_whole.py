@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 
 from bagweave.plans import registry
@@ -23,3 +25,28 @@ def same_rows(spark, duck, name, *cuts):  # noqa: F811
 @pytest.mark.parametrize("name", ["bond_precedence", "hybridization", "relation_messages"])
 def test_all_lines_are_bonds(spark, duck, name):  # noqa: F811
     same_rows(spark, duck, name, (" AND l_orderkey % 20 = 0", ""))
+
+
+@pytest.mark.parametrize("name", ["point_neighbours", "sphere_gaps", "feature_projection"])
+def test_all_owners_have_answers(spark, duck, name):  # noqa: F811
+    same_rows(spark, duck, name, ("a.owner = 0 AND b.owner <> 0", "a.owner <> b.owner"), (" WHERE owner = 0", ""))
+
+
+def test_path_codes_match_breadth_first_search(spark, tmp_path):
+    """A line of 45 atoms, so that paths end at 31 steps, a ring of 6 and one atom alone, with ids above 40 too."""
+    places = {7 * i: (0.05 * i, 0.0, 0.0) for i in range(45)} | {1000 + i: (math.cos(i * math.pi / 3) * 0.05, math.sin(i * math.pi / 3) * 0.05, 5.0) for i in range(6)} | {2000: (0.0, 9.0, 0.0)}
+    data = [(i, 0, [*map(float, p), 1.0, 0.0, 0.0]) for i, p in places.items()]
+    spark.createDataFrame(data, "vec_id long, label long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    beside = {i: [j for j, q in places.items() if i != j and math.dist(p, q) * 10 <= 0.6] for i, p in places.items()}
+    expected = set()
+    for source in places:
+        depths, edge = {source: 0}, [source]
+        while edge:
+            at = edge.pop(0)
+            for j in beside[at]:
+                if j not in depths and depths[at] < 31:
+                    depths[j] = depths[at] + 1
+                    edge.append(j)
+        expected |= {(source, dst, depth) for dst, depth in depths.items()}
+    assert max(depth for _, _, depth in expected) == 31
+    assert sorted((r["src"], r["dst"], r["depth"]) for r in registry.QUERIES["path_codes"](spark, str(tmp_path)).collect()) == sorted(expected)
