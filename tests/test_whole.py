@@ -50,3 +50,7 @@ def test_path_codes_match_breadth_first_search(spark, tmp_path):
         expected |= {(source, dst, depth) for dst, depth in depths.items()}
     assert max(depth for _, _, depth in expected) == 31
     assert sorted((r["src"], r["dst"], r["depth"]) for r in registry.QUERIES["path_codes"](spark, str(tmp_path)).collect()) == sorted(expected)
+
+
+def test_gates_sum_all_orders_of_a_family(spark, duck):  # noqa: F811
+    same_rows(spark, duck, "gate_contributions", (" WHERE slice = 0", ""))
