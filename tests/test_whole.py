@@ -54,3 +54,7 @@ def test_path_codes_match_breadth_first_search(spark, tmp_path):
 
 def test_gates_sum_all_orders_of_a_family(spark, duck):  # noqa: F811
     same_rows(spark, duck, "gate_contributions", (" WHERE slice = 0", ""))
+
+
+def test_all_lines_are_audited(spark, duck):  # noqa: F811
+    same_rows(spark, duck, "conflicting_digests", (" WHERE l_linenumber = 1", ""))
