@@ -5,7 +5,9 @@ pattern, so the lengths of gaps and matches give every position in code points.
 candidate strings (long runs of the alphabet of keys) are read with a sliding window: the window's
 character counts change by one character in and one out, and the sum of c*log2(c) with them, which
 gives the Shannon entropy of each window in constant time. A candidate of a character class whose
-best window reaches that class's bound is a span too, unless an allow-list pattern or a base span covers it.
+best window reaches that class's bound is a span too, unless an allow-list pattern covers it. Base spans are
+cut out of a candidate first, and each remainder of a window or more is read by itself; windows that hold
+an allowed literal don't count.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ ALLOW = (
     r"^[0-9+/_=-]+$",
     r"^[A-Za-z+/_=-]+$",
     r"^/?(?:[A-Za-z]+[0-9]{0,4}[/_-])+[A-Za-z]*[0-9]{0,4}$",
-    r"(?:EXAMPLE|example|xxxxx|XXXXX|00000|12345)",
 )
+#: Marks of samples: a window with one of them is no secret, what stands beside it may be.
+LITERAL = r"(?:EXAMPLE|example|xxxxx|XXXXX|00000|12345)"
 
 
 def located(text: Column, pattern: str, group: int | None = None) -> Column:
@@ -48,8 +51,24 @@ def located(text: Column, pattern: str, group: int | None = None) -> Column:
     return F.when(F.size(whole) > 0, F.aggregate(zipped, start, step, lambda s: s["found"])).otherwise(empty)
 
 
-def window_entropy(value: Column) -> Column:
-    """The largest Shannon entropy, in bits, of a window of WINDOW characters, by incremental counts over code points below 128."""
+def remainders(run: Column, spans: Column) -> Column:
+    """Array of (start, end, value): what spans, sorted by start, leave of a run, in parts of WINDOW characters or more."""
+    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def part(state: Column, end: Column) -> Column:
+        value = F.substring(run["value"], state["at"] - run["start"] + 1, end - state["at"])
+        found = F.concat(state["found"], F.array(F.struct(state["at"].alias("start"), end.alias("end"), value.alias("value"))))
+        return F.when(end - state["at"] >= WINDOW, found).otherwise(state["found"])
+
+    def step(state: Column, s: Column) -> Column:
+        hit = (s["start"] < run["end"]) & (state["at"] < s["end"])
+        return F.struct(F.when(hit, s["end"]).otherwise(state["at"]).alias("at"), F.when(hit, part(state, s["start"])).otherwise(state["found"]).alias("found"))
+
+    return F.aggregate(spans, F.struct(run["start"].alias("at"), empty.alias("found")), step, lambda s: part(s, run["end"]))
+
+
+def window_entropy(value: Column, skip: str | None = None) -> Column:
+    """The largest Shannon entropy, in bits, of a window of WINDOW characters, by incremental counts over code points below 128. Windows in which ``skip`` is found don't count."""
     codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
     term = lambda c: F.when(c > 0, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(0.0)
     start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"), F.lit(0).alias("i"))
@@ -66,7 +85,10 @@ def window_entropy(value: Column) -> Column:
         c_in = without[code]
         total = total - term(c_in) + term(c_in + 1)
         entropy = F.when(state["i"] >= WINDOW - 1, F.log2(F.lit(float(WINDOW))) - total / WINDOW).otherwise(0.0)
-        return F.struct(changed(without, code, 1).alias("counts"), total.cast("double").alias("total"), F.greatest(state["best"], entropy).cast("double").alias("best"), (state["i"] + 1).alias("i"))
+        better = entropy > state["best"]
+        if skip is not None:
+            better = better & ~F.substring(value, state["i"] - WINDOW + 2, F.lit(WINDOW)).rlike(skip)
+        return F.struct(changed(without, code, 1).alias("counts"), total.cast("double").alias("total"), F.when(better, entropy).otherwise(state["best"]).cast("double").alias("best"), (state["i"] + 1).alias("i"))
 
     return F.aggregate(codes, start, step, lambda s: s["best"])
 
@@ -83,12 +105,12 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         "assign": F.filter(located(text, ASSIGN, 2), lambda m: F.length(m["value"]) >= 6),
         "access": located(text, ACCESS), "hex": located(text, HEX),
     })
-    both = F.concat("assign", "access", "hex")
-    free = F.filter(located(text, CANDIDATE), lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]") & ~F.exists(both, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    free = F.filter(free, lambda m: ~m["value"].rlike("|".join(ALLOW)))
+    both = F.array_sort(F.concat("assign", "access", "hex"))
+    free = F.flatten(F.transform(located(text, CANDIDATE), lambda m: remainders(m, both)))
+    free = F.filter(free, lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]") & ~m["value"].rlike("|".join(ALLOW)))
     bound = lambda v: F.coalesce(*(F.when(v.rlike(p), F.lit(b)) for p, b in CLASSES.values()))
     found = found.withColumn("entropy", free)
-    return found.withColumn("entropy", F.when(F.size("entropy") > 0, F.filter("entropy", lambda m: window_entropy(m["value"]) >= bound(m["value"]))).otherwise(F.col("entropy")))
+    return found.withColumn("entropy", F.when(F.size("entropy") > 0, F.filter("entropy", lambda m: window_entropy(m["value"], LITERAL) >= bound(m["value"]))).otherwise(F.col("entropy")))
 
 
 KINDS = ("assign", "access", "hex", "entropy")
