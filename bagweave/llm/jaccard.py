@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import LongType, StructField, StructType
 
 from bagweave.llm.common import M64, cut, members, mix, pieces, release, shingle_sets
 from bagweave.operators.graph import connected_components
@@ -303,14 +304,8 @@ def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return alone.unionAll(across).groupBy("a", "b").agg(F.min("task").alias("task"))
 
 
-def linked(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles and component_id, the least doc_id that links reach, for every document.
-
-    Words are A-Z-lower-cased runs without white space; fewer than five make one shingle. Two documents link when
-    100 * shared >= percent * of both. Defined cases: null, empty and blank texts have no shingles and are their own
-    component; repeated rows are each returned; rows without a doc_id have no component unless their text has copies with one; an empty
-    table gives an empty result; other columns are ignored.
-    """
+def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The profiles, and for each class with a doc_id: nid (its set), first (its least doc_id), component, component_id."""
     docs = docs.select("doc_id", "text")
     profile = cut(profiles(docs))
     classes = cut(profile.filter("n > 0 and doc_id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "n", "point")).alias("m")).select("id", "m.*"))
@@ -337,12 +332,46 @@ def linked(docs: DataFrame, percent: int = 75) -> DataFrame:
     groups = connected_components(links, "a", "b").withColumnRenamed("id", "gid")
     named = classes.select("id", "doc_id").join(groups, F.col("id") == F.col("gid"), "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.select("id", "component").join(least, "component").select(F.col("id").alias("nid"), "component_id")
+    return profile, named.join(least, "component").select(F.col("id").alias("nid"), F.col("doc_id").alias("first"), "component", "component_id")
+
+
+def linked(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles and component_id, the least doc_id that links reach, for every document.
+
+    Words are A-Z-lower-cased runs without white space; fewer than five make one shingle. Two documents link when
+    100 * shared >= percent * of both. Defined cases: null, empty and blank texts have no shingles and are their own
+    component; repeated rows are each returned; rows without a doc_id have no component unless their text has copies with one; an empty
+    table gives an empty result; other columns are ignored.
+    """
+    profile, named = grouped(docs, percent)
     out = profile.select("doc_id", "id", "n").join(named, (F.col("id") == F.col("nid")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """Adds set_id and set_size, the row's set of shingles and its size."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raw, at in pieces(batches):
+            sets, _ = shingle_sets(raw, at)
+            added = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *added], [*rows.schema.names, "set_id", "set_size"])
+
+    return docs.mapInArrow(sets_of, StructType([*docs.schema.fields, StructField("set_id", LongType()), StructField("set_size", LongType())]))
+
+
 def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One document, that with the least doc_id, of each group that links join, with all columns. Documents without text stay."""
-    dropped = linked(docs, percent).filter("doc_id != component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
+    """One row of each group that links join, of the least doc_id, with all columns. Rows without text stay.
+
+    Repeated rows, and rows of one doc_id whose texts differ, are judged by their texts. Rows without a doc_id give way to copies
+    with one; of copies that all have none one row stays.
+    """
+    profile, named = grouped(docs, percent)
+    best = named.groupBy("component").agg(F.min(F.struct("first", "nid")).alias("m")).select("m.nid", "m.first")
+    lone = profile.filter("n > 0 and doc_id is null").select(F.col("id").alias("nid")).distinct().join(named.select("nid"), "nid", "left_anti")
+    best = best.unionAll(lone.select("nid", F.lit(None).cast("long").alias("first")))
+    rows = identified(docs)
+    rows = rows.join(best, (rows["set_id"] == best["nid"]) & rows["doc_id"].eqNullSafe(best["first"]), "left").filter("set_size = 0 or nid is not null")
+    rows = rows.withColumn("set_copy", F.when(F.col("set_size") == 0, F.monotonically_increasing_id()))
+    one = F.row_number().over(Window.partitionBy("set_id", "set_copy").orderBy(F.xxhash64("text")))
+    return rows.withColumn("set_row", one).filter("set_row = 1").select(*docs.columns)

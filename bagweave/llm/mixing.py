@@ -73,6 +73,10 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The documents that the mix takes, with all their columns and ``taken``, the words it takes of each, repeats counted.
 
     A document of 10 words with taken 23 is read twice and then for its first 3 words; its text is kept whole here.
+    Each row has its own share: rows without a doc_id stay, and of rows with one doc_id, source and size each gets one of their shares.
     """
-    taken = mix_sources(docs, seed).groupBy("doc_id").agg(F.max("taken").alias("taken")).filter("taken > 0").withColumnRenamed("doc_id", "taken_id")
-    return docs.join(taken, docs["doc_id"] == taken["taken_id"]).drop("taken_id")
+    key = lambda size: F.to_json(F.struct("doc_id", "source", size.alias("size")))  # noqa: E731 - leaves out nulls
+    nth = lambda order: F.row_number().over(Window.partitionBy("mix_key").orderBy(order))
+    taken = mix_sources(docs, seed).select(key(F.col("size")).alias("mix_key"), "taken").withColumn("mix_nth", nth(F.desc("taken"))).filter("taken > 0")
+    rows = docs.withColumn("mix_key", key(size_of())).withColumn("mix_nth", nth(F.xxhash64("text")))
+    return rows.join(taken, ["mix_key", "mix_nth"]).drop("mix_key", "mix_nth")

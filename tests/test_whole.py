@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from bagweave.llm import secrets
+from bagweave.llm import jaccard, mixing, secrets
 from bagweave.plans import registry
 from tests.test_oracles import SF, duck, key, plain  # noqa: F401
 
@@ -70,3 +71,23 @@ def test_keys_beside_base_spans_and_literals_are_found(spark):
     assert [[(m["start"], m["end"]) for m in r["entropy"]] for r in found] == expected
     assert all(texts[r["doc_id"]][m["start"]:m["end"]] == m["value"] for r in found for m in r["entropy"])
     assert not any(key in r["text"] for r in secrets.redact_secrets(docs).collect())
+
+
+def test_mix_takes_each_row_for_itself(spark):
+    data = [(None, "a b c d", "s"), (None, "e f g h", "s"), (None, "i j k", None), (1, "l m n o p", "s"), (1, "q r", "t"), (1, "q r", "t"), (2, None, "s"), *((10 + i, "w " * (i % 5 + 1), "stu"[i % 3]) for i in range(40)), *((7, "x " * 6, "s") for _ in range(12))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("extra", F.lit(1))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == [*docs.columns, "taken"]
+    sized = lambda t: len((t or "").split())
+    order = lambda r: tuple((v is None, v or 0) if not isinstance(v, str) else (False, v) for v in r)
+    want = [(r["doc_id"], r["source"], r["size"], r["taken"]) for r in mixing.mix_sources(docs).filter("taken > 0").collect()]
+    assert sorted(((r["doc_id"], r["source"], sized(r["text"]), r["taken"]) for r in mixed.collect()), key=order) == sorted(want, key=order)
+
+
+def test_one_row_of_each_group_stays(spark):
+    one, two, three = "a b c d e f g", "q r s t u v w", "k l m n o p i"
+    data = [(1, one, "x"), (1, one, "x"), (1, two, "y"), (2, one, "x"), (2, three, "z"), (None, two, "n"), (None, "1 2 3 4 5 6", "n"), (None, "1 2 3 4 5 6", "n"), (3, "", "e"), (3, "", "e"), (None, None, "e")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    kept = jaccard.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, one, "x"), (1, two, "y"), (2, three, "z"), (None, "1 2 3 4 5 6", "n"), (3, "", "e"), (3, "", "e"), (None, None, "e")], key=str)
