@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from bagweave.llm import jaccard, mixing, secrets
+from bagweave.llm import html_text, jaccard, mixing, secrets
 from bagweave.plans import registry
 from tests.test_oracles import SF, duck, key, plain  # noqa: F401
 
@@ -84,6 +84,14 @@ def test_mix_takes_each_row_for_itself(spark):
     assert sorted(((r["doc_id"], r["source"], sized(r["text"]), r["taken"]) for r in mixed.collect()), key=order) == sorted(want, key=order)
 
 
+def test_formulas_and_fallback_text_are_read():
+    seen = "<p>If <math><mi>a</mi><mo>=</mo><mn>1</mn></math> then.</p><object data='x'>shown instead</object><noscript>no script here</noscript><svg><text>axis</text><title>T</title><style>s</style></svg><canvas>drawn</canvas>"
+    page = html_text.Page(f"<html><head><title>T</title><noscript>in head</noscript></head><body>{seen}<button>press</button><select><option>one</option></select><template>later</template></body></html>")
+    text = " ".join(t for _, t in page.runs)
+    assert all(x in text for x in ("a=1", "shown instead", "no script here", "axis", "drawn"))
+    assert not any(x in text for x in ("in head", "press", "one", "later", "T"))
+
+
 def test_one_row_of_each_group_stays(spark):
     one, two, three = "a b c d e f g", "q r s t u v w", "k l m n o p i"
     data = [(1, one, "x"), (1, one, "x"), (1, two, "y"), (2, one, "x"), (2, three, "z"), (None, two, "n"), (None, "1 2 3 4 5 6", "n"), (None, "1 2 3 4 5 6", "n"), (3, "", "e"), (3, "", "e"), (None, None, "e")]
