@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where the session names none, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir, or the one that setCheckpointDir was given.
+
+    Only a local session may name none, as in tests; it gets a temporary folder. On a cluster that would be a disk that other
+    machines don't see, so there it is an error.
+    """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='bagweave-')}"
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
