@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +10,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
+
+from bagweave.functions.lineage import cut, ensure_shared_dir
+
+__all__ = ["cut"]
 
 #: White space of the word pattern `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,36 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none, as in tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = getattr(shared_dir, "own", None)
-        if folder is None:
-            folder = shared_dir.own = f"file://{tempfile.mkdtemp(prefix='bagweave-')}"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{ensure_shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared folder, so that lost executors cost no recomputation; Spark removes the files.
-
-    What earlier steps left on disk and nothing refers to any more goes first.
-    """
-    shared_dir(df.sparkSession)
-    release(df.sparkSession)
-    return df.checkpoint()
-
-
-def release(spark: SparkSession) -> None:
-    """Has the driver drop the shuffle files and checkpoints that no frame refers to any more, before the next large step."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the frame's columns."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in have:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -115,8 +102,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _rng = np.random.default_rng(20240229)
 BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
-LOWER_BYTE = BYTE.copy()
-LOWER_BYTE[65:91] = BYTE[97:123]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 BASE = 0x9E3779B97F4A7C15
@@ -170,12 +157,17 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(at, starts, side="right") - 1
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = LOWER_BYTE) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; values gives each byte's weight."""
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(values[raw] * powers(BASE, len(raw)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(INVERSE, len(raw) + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash (xxh3) of each of the disjoint, ordered spans of bytes, A-Z in lower case or as they are; equal spans are hashed once."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    length = ends - starts
+    at = np.concatenate([[0], np.cumsum(length)])
+    data = raw[np.arange(at[-1]) + np.repeat(starts - at[:-1], length)]
+    if lower:
+        data = LOWER[data]
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    return np.fromiter(map(xxh3_64_intdigest, spans.dictionary.to_pylist()), np.uint64, len(spans.dictionary))[spans.indices.to_numpy()]
 
 
 def run_hashes(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,21 +1,25 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
-Documents with equal shingle sets form a class and are joined once. A set's shingles are hashed into
-groups; the counts of the groups are the set's point. The summed coordinate minima of two points, or of a
-point and a box of maxima, bound the overlap of two sets from above.
-
-1.  Links need a shared shingle among the first of each set in one global order (here: of the hashes), so every class
-    sends its prefix of shingles, and SLACK more, to the shingle's partition; shingles of one class end there.
-2.  Of each remaining shingle the class with the least id is a centre; the others are compared with it, which
-    joins most of a large group of near copies without its pairs.
-3.  Shingles that still hold classes of different components are searched in full by an R-tree (equal groups of classes
-    once): its leaves are runs of LEAF classes by first shingle, component and size, with boxes of maxima; pairs of boxes, then pairs of points, are kept
-    only if their bound allows a link. Of shingles of more than FREQUENT classes only those classes are searched that are
-    full of such shingles (any other class shares more than one of its prefix with a linked one, so also a rarer one, and
-    this is exact). Classes that such shingles connect are one group, in which each pair of leaves is met once.
-4.  Surviving pairs are verified on the whole sets.
-
-No limit drops a pair: SLACK, FREQUENT and LEAF only move work between the two paths.
+Documents with equal shingle sets form a class (named by a 128-bit digest) and are joined once.
+
+1.  Every chunk of a task's classes sends its distinct tokens (56-bit shingle hashes) to the tokens' ranges, with the place of the
+    owner in the chunk; a token that several classes of the chunk own goes once with their number, so a very common token
+    costs a chunk one entry. A range answers with the frequency of each token that is not alone, and the chunk writes for each of
+    its classes the list of those tokens in one global order, rare ones first. What two classes share is in both lists, so
+    nothing else of the texts is needed from here on.
+2.  Linked sets share a token within the first of each in that order, and what follows it in both must be enough for a
+    link (prefix and position filter; exact). A token with the classes that may be linked there is a bucket.
+3.  The list's tokens are hashed into groups; the counts of the groups are the class's point. Every bucket gets an R-tree: its points in
+    Morton order are packed into leaves, LEAF by LEAF, and nodes into nodes, FANOUT by FANOUT, up to one root, with boxes of maxima. Buckets are
+    dealt by ranges of (token, Morton code), so a large one takes many tasks. The summed coordinate minima of two points, or boxes,
+    bound the overlap from above.
+4.  First the tree is used upward: a point is compared with the centre of its leaf, a node's centre with its parent's. That
+    takes one pair for each point or node and joins almost all of a family of near copies.
+5.  Then the trees of the buckets that still hold several components are joined with themselves from the roots down. Pairs of nodes whose bound,
+    sizes or positions rule a link out, or that lie in one component, are left with all below them; pairs of points that survive are compared.
+6.  Surviving pairs are verified on their lists: 100 * shared >= percent * (both - shared).
+
+No limit drops a pair.
 """
 
 from __future__ import annotations
@@ -24,37 +28,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from bagweave.llm.common import M64, cut, members, mix, pieces, release, shingle_sets
+from bagweave.llm.common import cut, free_names, partitions, pieces, shingle_sets
 from bagweave.operators.graph import connected_components
 
+#: Bits of a token; two of one pair of texts of 1,000 shingles are mistaken for each other with a chance of 1e-11.
+TOKEN_BITS, TOKEN_BYTES = 56, 7
+#: Tokens that a chunk gathers before it sends them, and that a range receives on average. A longer text is a chunk of its own.
+CHUNK, RANGE = 1 << 20, 1 << 20
+#: Classes of a chunk (their places are 16-bit), and the place that stands for several owners.
+MOST, SEVERAL = 60_000, 65_535
 #: Groups of the smallest points (as bits), and the mean count beyond which a point has four times as many.
-GROUP_BITS, MEAN = 5, 8
-SLACK, FREQUENT, LEAF = 8, 64, 32
+GROUP_BITS, MEAN = 4, 4
+#: Members of a leaf and of an inner node.
+LEAF, FANOUT = 32, 16
 #: A count that is no upper bound any more.
 FULL, UNBOUNDED = 255, 1 << 32
-#: Pairs with one centre that are verified together.
+#: Pairs with one class that are verified together.
 PAIRS_PER_TASK = 64
 
 
-def set_id(s: np.ndarray) -> int:
-    """A 64-bit fingerprint of a set (as a signed long)."""
-    h = int(mix(s).sum(dtype=np.uint64)) * 0x9E3779B97F4A7C15 + int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))) + len(s)
-    return int(mix(np.array([h & M64], np.uint64)).view(np.int64)[0])
-
-
-def point(s: np.ndarray) -> bytes:
-    """Counts of the hash's leading bits in 32, 128, 512, ... groups, about 2 to 8 shingles in each; finer points fold into coarser ones."""
-    bits = GROUP_BITS
-    while len(s) >> bits > MEAN:
-        bits += 2
-    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), FULL).astype(np.uint8).tobytes()
-
-
 def least_overlap(n: Column | np.ndarray | int, percent: int):
     """ceil(percent / 100 * n): a linked set shares so many shingles at least."""
     return -(-n * percent // 100)
@@ -65,274 +63,482 @@ def batch(names: str, *columns) -> pa.RecordBatch:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, id (of the set), n (its size), point."""
+    """doc_id, id (digest of the set), n (its size)."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, at in pieces(batches):
             sets, _ = shingle_sets(raw, at)
-            yield batch("doc_id id n point", rows.column(0), [set_id(s) for s in sets], [len(s) for s in sets], pa.array([point(s) for s in sets], pa.binary()))
+            yield batch("doc_id id n", rows.column(0), pa.array(map(set_id, sets), pa.binary()), pa.array(map(len, sets), pa.int64()))
+
+    return docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, id binary, n long")
+
+
+def set_id(s: np.ndarray) -> bytes:
+    return xxh3_128_digest(s.tobytes())
+
+
+# --- lists of shared tokens ------------------------------------------------------------------
+
+
+def packed(tokens: np.ndarray) -> bytes:
+    """Sorted tokens as differences, one plane for each byte, so that the leading ones compress."""
+    steps = np.diff(tokens, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T[:TOKEN_BYTES]).tobytes()
+
 
-    return docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, id long, n long, point binary")
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(TOKEN_BYTES, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :TOKEN_BYTES] = planes.T
+    return np.cumsum(steps.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
-def prefixes(docs: DataFrame, percent: int) -> DataFrame:
-    """token, id, n: each set's first shingles by hash, a copy's only once for each batch."""
+#: A blob of a range (own = 0): tokens, owners, counts of those with several owners, or in the answer the frequencies of all. A
+#: chunk's own row: digests of its classes, their sizes, owners of the tokens that have several, how many.
+ROW = "part int, chunk long, own int, a binary, b binary, c binary, d binary"
+ROW_NAMES = "part chunk own a b c d"
+
+
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+    return batch(ROW_NAMES, *(pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4], strict=True)))
+
+
+def sent(docs: DataFrame, ranges: int) -> DataFrame:
+    """The chunks' blobs for each range, and their own rows."""
+
+    def chunk_rows(ids: list[bytes], sets: list[np.ndarray], name: str) -> list[tuple]:
+        digests = b"".join(ids)
+        chunk = int(np.uint64(xxh3_64_intdigest(name.encode() + digests)).astype(np.int64))
+        tokens = np.concatenate(sets) >> np.uint64(64 - TOKEN_BITS)
+        owners = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], owners[order]
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        count = np.diff(starts, append=len(tokens))
+        held = owners[np.repeat(count > 1, count)]
+        tokens, owners = tokens[starts], np.where(count > 1, np.uint16(SEVERAL), owners[starts])
+        part = ((tokens >> np.uint64(TOKEN_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        out = []
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            own = owners[i:j]
+            out.append((int(part[i]), chunk, 0, packed(tokens[i:j]), own.tobytes(), count[i:j][own == SEVERAL].astype(np.uint32).tobytes(), None))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        out.append((chunk % ranges, chunk, 1, digests, sizes.tobytes(), held.tobytes(), count[count > 1].astype(np.uint32).tobytes()))
+        return out
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            seen: set[int] = set()
-            for _, raw, at in pieces(iter([whole])):
-                tokens, ids, sizes = [], [], []
-                for s in shingle_sets(raw, at)[0]:
-                    if len(s) and (i := set_id(s)) not in seen:
-                        seen.add(i)
-                        tokens.append(s[: len(s) - least_overlap(len(s), percent) + 1 + SLACK])
-                        ids.append(i)
-                        sizes.append(len(s))
-                if tokens:
-                    k = [len(t) for t in tokens]
-                    yield batch("token id n", np.concatenate(tokens).view(np.int64), np.repeat(ids, k), np.repeat(sizes, k))
-
-    return docs.select("text").mapInArrow(emit, "token long, id long, n long")
-
-
-def shared_tokens(rows: DataFrame) -> DataFrame:
-    """token, id, n, center, rank of the tokens that more than one class has; center is the least id, rank counts from it.
-
-    Rows come sorted by token and id, so a run is read as a stream and holds one row in memory, however long it is.
-    """
+        task, ids, sets, size, sent_before = TaskContext.get().partitionId(), {}, [], 0, 0
+        for _, raw, at in pieces(batches):
+            for s in shingle_sets(raw, at)[0]:
+                if len(s) and (i := set_id(s)) not in ids:
+                    ids[i] = None
+                    sets.append(s)
+                    size += len(s)
+                    if size >= CHUNK or len(sets) >= MOST:
+                        yield rows_of(chunk_rows(list(ids), sets, f"{task}:{sent_before}:"))
+                        ids, sets, size, sent_before = {}, [], 0, sent_before + 1
+        if sets:
+            yield rows_of(chunk_rows(list(ids), sets, f"{task}:{sent_before}:"))
+
+    return docs.select("text").mapInArrow(emit, ROW)
+
+
+def answered(blobs: DataFrame, ranges: int) -> DataFrame:
+    """The blobs with the tokens alone that are owned more than once, and how often; own rows as they are."""
+
+    def answer(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        tokens = [unpacked(a) for _, _, _, a, *_ in held]
+        owners = [np.frombuffer(b, np.uint16) for _, _, _, _, b, *_ in held]
+        sizes = [len(t) for t in tokens]
+        times = [np.ones(k, np.int64) for k in sizes]
+        for row, own, t in zip(held, owners, times, strict=True):
+            t[own == SEVERAL] = np.frombuffer(row[5], np.uint32)
+        token, weight = np.concatenate(tokens), np.concatenate(times)
+        order = np.argsort(token, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], token[order[1:]] != token[order[:-1]]]))
+        total = np.empty(len(token), np.int64)
+        total[order] = np.repeat(np.add.reduceat(weight[order], starts), np.diff(starts, append=len(token)))
+        total = np.minimum(total, (1 << 32) - 1)
+        out, at = [], 0
+        for row, t, own, k in zip(held, tokens, owners, sizes, strict=True):
+            f = total[at : at + k]
+            at += k
+            if (keep := f > 1).any():
+                out.append((row[0], row[1], 0, packed(t[keep]), own[keep].tobytes(), f[keep].astype(np.uint32).tobytes(), None))
+        if out:
+            yield rows_of(out)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                if row[2]:
+                    yield rows_of([row])
+                    continue
+                if row[0] != part and held:
+                    yield from answer(held)
+                    held = []
+                part = row[0]
+                held.append(row)
+        if held:
+            yield from answer(held)
+
+    return blobs.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(stream, ROW)
+
+
+def listed(answers: DataFrame, ranges: int) -> DataFrame:
+    """id, chunk, n and the tokens (in the global order, 8 bytes each) of each chunk's classes that share any."""
+
+    def lists(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        own = next((r for r in rows if r[2]), None)
+        blobs = [r for r in rows if not r[2]]
+        if own is None or not blobs:
+            return
+        tokens, owners, often = (np.concatenate(x) for x in ([unpacked(r[3]) for r in blobs], [np.frombuffer(r[4], np.uint16) for r in blobs], [np.frombuffer(r[5], np.uint32) for r in blobs]))
+        several = np.flatnonzero(owners == SEVERAL)
+        several = several[np.argsort(tokens[several])]  # all such tokens are answered, and the chunk's own row has them in this order
+        times, alone = np.frombuffer(own[6], np.uint32), owners != SEVERAL
+        owners = np.concatenate([owners[alone], np.frombuffer(own[5], np.uint16)])
+        often = np.concatenate([often[alone], np.repeat(often[several], times)])
+        tokens = np.concatenate([tokens[alone], np.repeat(tokens[several], times)])
+        order = np.lexsort((tokens, often, owners))
+        tokens, owners = tokens[order], owners[order]
+        starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1], [True]]))
+        who, n = owners[starts[:-1]], np.frombuffer(own[4], np.int64)
+        yield batch(
+            "id chunk n tokens", pa.array([own[3][16 * w : 16 * w + 16] for w in who.tolist()], pa.binary()), np.full(len(who), own[1], np.int64), n[who],
+            pa.array([tokens[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:], strict=True)], pa.binary()),
+        )
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, int, int, int] | None = None  # token, center, center's n, last id, rank of the last id
+        chunk, held = None, []
         for b in batches:
-            token, ids, n = (b.column(i).to_numpy() for i in range(3))
-            if not len(token):
-                continue
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])
-            if last and token[0] == last[0] and ids[0] == last[3]:
-                new[0] = False
-            token, ids, n = token[new], ids[new], n[new]
-            if not len(token):
-                continue
-            first = np.concatenate([[True], token[1:] != token[:-1]])
-            goes_on = bool(last and token[0] == last[0])
-            start = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
-            rank, center = np.arange(len(token)) - start, ids[start]
-            if goes_on:
-                own = start == 0
-                rank[own] += last[4] + 1
-                center[own] = last[1]
-            several = np.concatenate([token[1:] == token[:-1], [False]])
-            keep = (rank > 0) | several
-            if goes_on and last[4] == 0:
-                yield batch("token id n center rank", *(np.array([x]) for x in (last[0], last[1], last[2], last[1], 0)))
-            yield batch("token id n center rank", token[keep], ids[keep], n[keep], center[keep], rank[keep])
-            fresh = first.nonzero()[0][-1]
-            center_n = last[2] if goes_on and fresh == 0 else int(n[fresh])
-            last = (int(token[-1]), int(center[-1]), center_n, int(ids[-1]), int(rank[-1]))
-
-    return rows.repartition("token").sortWithinPartitions("token", "id").mapInArrow(stream, "token long, id long, n long, center long, rank long")
+            for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                if row[1] != chunk:
+                    yield from lists(held)
+                    held = []
+                chunk = row[1]
+                held.append(row)
+        yield from lists(held)
+
+    return answers.repartition(ranges, "chunk").sortWithinPartitions("chunk").mapInArrow(stream, "id binary, chunk long, n long, tokens binary")
+
+
+# --- points and trees ------------------------------------------------------------------------
+
+
+def point(tokens: np.ndarray) -> bytes:
+    """Counts of the token's leading bits in 16, 64, 256, ... groups, about 1 to 4 tokens in each; finer points fold into coarser ones."""
+    bits = GROUP_BITS
+    while len(tokens) >> bits > MEAN:
+        bits += 2
+    return np.minimum(np.bincount((tokens >> np.uint64(TOKEN_BITS - bits)).astype(np.int64), minlength=1 << bits), FULL).astype(np.uint8).tobytes()
+
+
+def unfolded(p: bytes) -> np.ndarray:
+    row = np.frombuffer(p, np.uint8).astype(np.int64)
+    row[row == FULL] = UNBOUNDED
+    return row
 
 
 def folded(points: list[bytes]) -> np.ndarray:
     """The points as rows of the coarsest one's groups; a full count stays no bound."""
     width = min(map(len, points))
-    out = np.empty((len(points), width), np.int64)
-    for i, p in enumerate(points):
-        row = np.frombuffer(p, np.uint8).astype(np.int64)
-        row[row == FULL] = UNBOUNDED
-        out[i] = row.reshape(width, -1).sum(1)
-    return out
+    return np.stack([unfolded(p).reshape(width, -1).sum(1) for p in points])
 
 
-def coarser(points: np.ndarray, width: int) -> np.ndarray:
-    return points.reshape(len(points), width, -1).sum(2)
+def box(points: list[bytes]) -> bytes:
+    """The maxima of points or boxes."""
+    return np.minimum(folded(points).max(0), FULL).astype(np.uint8).tobytes()
 
 
-def overlap_bounds(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Summed coordinate minima of pairs of points or boxes."""
-    out = np.empty(len(a), np.int64)
-    for i, (p, q) in enumerate(zip(a, b, strict=True)):
-        x = folded([p, q])
-        out[i] = np.minimum(x[0], x[1]).sum()
-    return out
+def morton(p: bytes) -> bytes:
+    """The Z-order code of a point: of 16 groups' shares, four bits each, the leading bits of all before the next ones."""
+    c = unfolded(p).reshape(1 << GROUP_BITS, -1).sum(1)
+    level = np.minimum(c * 4 * len(c) // max(int(c.sum()), 1), 15).astype(np.uint8)
+    return np.packbits((level[None] >> np.array([[3], [2], [1], [0]], np.uint8)) & 1).tobytes()
 
 
-def may_link(bound: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    return ((100 + percent) * bound >= percent * (na + nb)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-
-
-def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose points allow a link."""
+def bounded(pairs: DataFrame, keep: list[str], percent: int) -> DataFrame:
+    """The columns keep (longs) of the rows whose points pa and pb, of sets of at least na and nb shingles, allow a link."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                ok = may_link(overlap_bounds(b.column(4).to_pylist(), b.column(5).to_pylist()), b.column(2).to_numpy(), b.column(3).to_numpy(), percent)
-                yield b.select(["a", "b"]).filter(pa.array(ok))
+                na, nb, p, q = (b.column(len(keep) + i) for i in range(4))
+                bound = np.array([int(np.minimum(*folded([x, y])).sum()) for x, y in zip(p.to_pylist(), q.to_pylist(), strict=True)])
+                yield b.select(keep).filter(pa.array((100 + percent) * bound >= percent * (na.to_numpy() + nb.to_numpy())))
 
-    left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
-    sized = pairs.join(left, "a").join(right, "b").filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-    return sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(check, "a long, b long")
+    return pairs.select(*keep, "na", "nb", "pa", "pb").mapInArrow(check, ", ".join(f"{c} long" for c in keep))
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of (a, b, task) that are linked: 100 * shared >= percent * of both, on the whole sets.
+def entries_of(lists: DataFrame, percent: int) -> DataFrame:
+    """token, cid, n and pos of each class's first tokens that may be the first that a linked one shares."""
 
-    Only texts of the pairs' classes are read as sets; a set goes once to each task that compares it, and a task has
-    the sets of a few leaves or of one centre and PAIRS_PER_TASK others.
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, ids, sizes, places = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.int64)]
+            for cid, n, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                t = np.frombuffer(data, np.uint64)
+                alone = n - len(t)
+                t = t[: max(0, n - least_overlap(n, percent) + 1 - alone)]
+                tokens.append(t)
+                ids.append(np.full(len(t), cid))
+                sizes.append(np.full(len(t), n))
+                places.append(np.arange(alone, alone + len(t)))
+            yield batch("token cid n pos", np.concatenate(tokens).view(np.int64), np.concatenate([places[0], *ids]), np.concatenate([places[0], *sizes]), np.concatenate(places))
+
+    return lists.select("cid", "n", "tokens").mapInArrow(first, "token long, cid long, n long, pos long")
+
+
+def points_of(lists: DataFrame) -> DataFrame:
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = [point(np.frombuffer(x, np.uint64)) for x in b.column(1).to_pylist()]
+            yield batch("pid key point", b.column(0), pa.array(map(morton, p), pa.binary()), pa.array(p, pa.binary()))
+
+    return lists.select("cid", "tokens").mapInArrow(mapped, "pid long, key binary, point binary")
+
+
+MEMBER = "cid: long, n: long, room: long, component: long, point: binary"
+#: A node: (token, level, node) names it, node being the first member's cid; the centre is the member of the most room.
+NODE = (
+    "token long, level int, node long, parent long, key binary, low long, high long, room long, component long, box binary, "
+    f"center struct<cid: long, n: long, room: long, point: binary>, members array<struct<{MEMBER}>>"
+)
+ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def arrow_struct(fields: str) -> pa.DataType:
+    return pa.struct([(f.split(": ")[0], ARROW[f.split(": ")[1]]) for f in fields.split(", ")])
+
+
+NODE_ARROW = pa.schema([
+    *((n, ARROW[t]) for n, t in (c.split() for c in NODE.split(", center")[0].split(", "))),
+    ("center", arrow_struct("cid: long, n: long, room: long, point: binary")), ("members", pa.list_(arrow_struct(MEMBER))),
+])
+
+
+def node_of(run: list[dict], level: int) -> dict:
+    """The node above the rows of a run."""
+    same = {r["component"] for r in run}
+    return {
+        "token": run[0]["token"], "level": level, "node": run[0]["node"], "parent": None, "key": run[0]["key"], "low": min(r["low"] for r in run), "high": max(r["high"] for r in run),
+        "room": max(r["room"] for r in run), "component": same.pop() if len(same) == 1 else None, "box": box([r["box"] for r in run]), "center": max((r["center"] for r in run), key=lambda c: c["room"]),
+        "members": [{"cid": r["node"], "n": r["low"], "room": r["room"], "component": r["component"], "point": r["box"]} for r in run] if level == 0 else None,
+    }
+
+
+class Level:
+    """Packs the rows it gets, in order, into nodes, and these into the level above; each node goes to out once its parent is known."""
+
+    def __init__(self, level: int, out: list[dict], leaf: int, fanout: int) -> None:
+        self.level, self.out, self.leaf, self.fanout = level, out, leaf, fanout
+        self.run: list[dict] = []
+        self.only: dict | None = None
+        self.above: Level | None = None
+
+    def add(self, row: dict) -> None:
+        if len(self.run) == (self.fanout if self.level else self.leaf):
+            self.close()
+        self.run.append(row)
+        if self.level:
+            self.out.append(row | {"parent": self.run[0]["node"]})
+
+    def close(self) -> None:
+        node, self.run = node_of(self.run, self.level), []
+        if self.above is None and self.only is None:
+            self.only = node
+            return
+        if self.above is None:
+            self.above = Level(self.level + 1, self.out, self.leaf, self.fanout)
+            self.above.add(self.only)
+        self.above.add(node)
+
+    def finish(self) -> None:
+        self.close()
+        if self.above:
+            self.above.finish()
+        else:
+            self.out.append(self.only)
+
+
+def packing(batches: Iterator[pa.RecordBatch], plant) -> Iterator[pa.RecordBatch]:
+    """Nodes from rows that come sorted by token; plant(out) gives what takes a token's rows by add() and ends with finish()."""
+    token, tree, out = None, None, []
+    for b in batches:
+        for row in b.to_pylist():
+            if row["token"] != token:
+                if tree:
+                    tree.finish()
+                token, tree = row["token"], plant(out)
+            tree.add(row)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, NODE_ARROW)
+            out.clear()
+    if tree:
+        tree.finish()
+        yield pa.RecordBatch.from_pylist(out, NODE_ARROW)
+
+
+class Forest:
+    """One tree from the roots that a token's tree has in several tasks; lower roots are lifted by nodes of one child."""
+
+    def __init__(self, out: list[dict], fanout: int) -> None:
+        self.out, self.fanout, self.roots = out, fanout, []
+
+    def add(self, row: dict) -> None:
+        self.roots.append(row)
+
+    def finish(self) -> None:
+        height = max(r["level"] for r in self.roots)
+        above = Level(height + 1, self.out, 0, self.fanout)
+        for r in self.roots:
+            while r["level"] < height:
+                self.out.append(r | {"parent": r["node"]})
+                r = node_of([r], r["level"] + 1)
+            above.add(r)
+        above.finish()
+
+
+def trees(entries: DataFrame) -> list[DataFrame]:
+    """The nodes of all buckets' trees by level, from entries (token, cid, n, room, component, key, point).
+
+    Entries are dealt by ranges of (token, key), and each task builds the trees of what it has. A token that lies in several
+    tasks has a root in each; its tree is closed over these, at most one for each task.
     """
-    sides = pairs.select("task", F.col("a").alias("id")).unionAll(pairs.select("task", F.col("b").alias("id"))).distinct()
-    needed = cut(sides.select("id").distinct().join(classes.select("id", "doc_id"), "id").select("doc_id"))
-    inside = docs.sparkSession.sparkContext.broadcast(members(needed, "doc_id", needed.count()))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            wanted = whole.filter(pa.array(inside.value(whole.column(0).fill_null(0).to_numpy(zero_copy_only=False))))
-            for _, raw, at in pieces(iter([wanted])):
-                sets = [s for s in shingle_sets(raw, at)[0] if len(s)]
-                yield batch("id items", pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()))
-
-    sets = docs.select("doc_id", "text").mapInArrow(read, "id long, items binary")
+    rows = entries.select("token", F.col("cid").alias("node"), "key", F.col("n").alias("low"), F.col("n").alias("high"), "room", "component", F.col("point").alias("box"), F.struct("cid", "n", "room", "point").alias("center"))
+    dealt = rows.repartitionByRange(partitions(entries.sparkSession), "token", "key", "node").sortWithinPartitions("token", "key", "node")
+    nodes = cut(dealt.mapInArrow(lambda b: packing(b, lambda out: Level(0, out, LEAF, FANOUT)), NODE))
+    tops, inner = nodes.filter("parent is null"), nodes.filter("parent is not null")
+    many = tops.groupBy("token").count().filter("count > 1").select("token")
+    split = tops.join(many, "token").select(nodes.columns).repartition("token").sortWithinPartitions("token", "key", "node")
+    nodes = cut(inner.unionAll(tops.join(many, "token", "left_anti").select(nodes.columns)).unionAll(split.mapInArrow(lambda b: packing(b, lambda out: Forest(out, FANOUT)), NODE)))
+    height = nodes.agg(F.max("level")).first()[0]
+    return [nodes.filter(F.col("level") == k) for k in range((height or 0) + 1)]
+
+
+def sized(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows whose sizes na and nb and rooms ra and rb (what follows the token in the order, itself included) allow a link."""
+    fits = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    return rows.filter(fits & ((100 + percent) * F.least("ra", "rb") >= percent * (F.col("na") + F.col("nb"))))
+
+
+def upward(levels: list[DataFrame], percent: int) -> DataFrame:
+    """Pairs (a, b): each point with its leaf's centre, each node's centre with its parent's."""
+    side = lambda at, s: [F.col(f"{at}.cid").alias("ab"[s]), F.col(f"{at}.n").alias(("na", "nb")[s]), F.col(f"{at}.room").alias(("ra", "rb")[s]), F.col(f"{at}.point").alias(("pa", "pb")[s])]
+    rows = levels[0].filter("size(members) > 1").select("center", F.explode("members").alias("m")).select(*side("m", 0), *side("center", 1))
+    for low, high in zip(levels[:-1], levels[1:], strict=True):
+        ends = low.select("token", "parent", F.col("center").alias("own")).join(high.select("token", F.col("node").alias("parent"), "center"), ["token", "parent"])
+        rows = rows.unionAll(ends.select(*side("own", 0), *side("center", 1)))
+    return bounded(sized(rows.filter("a != b"), percent), ["a", "b"], percent).distinct()
+
+
+def downward(levels: list[DataFrame], percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that no bound of the trees excludes: each tree joined with itself from its root."""
+    met = None  # token, a, b: pairs of nodes of the level above
+    for k in range(len(levels) - 1, -1, -1):
+        nodes = levels[k].select("token", "node", "parent", "low", "high", "room", "component", "box")
+        left = nodes.select("token", *(F.col(c).alias(f"{c}1") for c in nodes.columns[1:]))
+        right = nodes.select("token", *(F.col(c).alias(f"{c}2") for c in nodes.columns[1:]))
+        roots = levels[k].filter("parent is null and component is null").select("token", F.col("node").alias("a"), F.col("node").alias("b"))
+        if met is not None:
+            below = met.select("token", F.col("a").alias("parent1"), F.col("b").alias("parent2")).join(left, ["token", "parent1"]).join(right, ["token", "parent2"])
+            below = below.filter("(parent1 != parent2 or node1 <= node2) and (component1 is null or component2 is null or component1 != component2)")
+            below = below.filter((100 * F.col("high1") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low1")) & ((100 + percent) * F.least("room1", "room2") >= percent * (F.col("low1") + F.col("low2"))))
+            below = below.select("token", F.col("node1").alias("a"), F.col("node2").alias("b"), F.col("low1").alias("na"), F.col("low2").alias("nb"), F.col("box1").alias("pa"), F.col("box2").alias("pb"))
+            roots = roots.unionAll(bounded(below, ["token", "a", "b"], percent))
+        met = cut(roots)
+    leaves = levels[0].select("token", "node", "members")
+    both = met.join(leaves.select("token", F.col("node").alias("a"), F.col("members").alias("m1")), ["token", "a"]).join(leaves.select("token", F.col("node").alias("b"), F.col("members").alias("m2")), ["token", "b"])
+
+    def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [np.zeros((0, 2), np.int64)]
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                p = folded([m["point"] for m in (*x, *y)])
+                p, q = p[: len(x)], p[len(x) :]
+                (i1, n1, r1, c1), (i2, n2, r2, c2) = ([np.array([m[k] for m in s]) for k in ("cid", "n", "room", "component")] for s in (x, y))
+                need = percent * (n1[:, None] + n2)
+                fits = (c1[:, None] != c2) & (100 * np.minimum(n1[:, None], n2) >= percent * np.maximum(n1[:, None], n2)) & ((100 + percent) * np.minimum(r1[:, None], r2) >= need)
+                for k in np.flatnonzero(fits.any(1)):
+                    j = np.flatnonzero(fits[k] & ((100 + percent) * np.minimum(p[k], q).sum(1) >= need[k]))
+                    out.append(np.stack([np.minimum(i1[k], i2[j]), np.maximum(i1[k], i2[j])], 1))
+            ends = np.unique(np.concatenate(out), axis=0)
+            yield batch("a b", ends[:, 0], ends[:, 1])
+
+    return both.select("m1", "m2").mapInArrow(survivors, "a long, b long").distinct()
+
+
+# --- verification -----------------------------------------------------------------------------
+
+
+def verified(lists: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked: 100 * shared >= percent * (both - shared).
+
+    A task has a class and up to PAIRS_PER_TASK others; a list goes once to each task that compares it.
+    """
+    many = pairs.groupBy(F.col("b").alias("center")).agg(F.ceil(F.count("*") / PAIRS_PER_TASK).alias("parts"))
+    pairs = cut(pairs.join(many, F.col("b") == F.col("center")).select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("task")))
+    sides = pairs.select("task", F.col("a").alias("cid")).unionAll(pairs.select("task", F.col("b").alias("cid"))).distinct()
     none = F.lit(None)
-    rows = sets.join(sides, "id").select("task", "id", none.cast("long").alias("b"), "items").unionAll(pairs.select("task", F.col("a").alias("id"), "b", none.cast("binary").alias("items")))
+    rows = lists.join(sides, "cid").select("task", "cid", none.cast("long").alias("b"), "n", "tokens")
+    rows = rows.unionAll(pairs.select("task", F.col("a").alias("cid"), "b", none.cast("long"), none.cast("binary")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, {}
         for x in batches:
             left, right = [], []
-            for t, i, b, items in zip(*(x.column(k).to_pylist() for k in range(4)), strict=True):
+            for t, i, b, n, tokens in zip(*(x.column(k).to_pylist() for k in range(5)), strict=True):
                 if t != task:
                     task, held = t, {}
                 if b is None:
-                    held[i] = np.frombuffer(items, np.uint64)
+                    held[i] = (n, np.frombuffer(tokens, np.uint64))
                 else:
-                    p, q = held[i], held[b]
-                    if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                        n = len(np.intersect1d(p, q, assume_unique=True))
-                        if 100 * n >= percent * (len(p) + len(q) - n):
-                            left.append(i)
-                            right.append(b)
+                    (n1, p), (n2, q) = held[i], held[b]
+                    shared = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * shared >= percent * (n1 + n2 - shared):
+                        left.append(i)
+                        right.append(b)
             yield batch("a b", pa.array(left, pa.int64()), pa.array(right, pa.int64()))
 
     return rows.repartition("task").sortWithinPartitions("task", F.col("b").isNotNull()).mapInArrow(compare, "a long, b long")
 
 
-def by_centre(pairs: DataFrame) -> DataFrame:
-    """Adds the task of each pair (a, b): its b, and a part of it by a where b has many pairs."""
-    many = pairs.groupBy(F.col("b").alias("centre")).agg(F.ceil(F.count("*") / PAIRS_PER_TASK).alias("parts"))
-    return pairs.join(many, F.col("b") == F.col("centre")).select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("task"))
-
-
-def small_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """group, id: the distinct groups of ids of tokens (token, id, n, component) of at most FREQUENT + 1 classes, without
-    classes that no other of another component and fitting size stands beside. Tokens of one passage make one group."""
-
-    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            groups, ids = [], []
-            for members in b.column(0).to_pylist():
-                i, n, c = (np.array([m[k] for m in members]) for k in ("id", "n", "component"))
-                fits = (c[:, None] != c) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
-                if fits.any():
-                    kept = np.sort(i[fits.any(1)])
-                    groups.append(np.full(len(kept), mix((mix(kept.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]))
-                    ids.append(kept)
-            none = [np.zeros(0, np.int64)]
-            yield batch("group id", np.concatenate(groups or none), np.concatenate(ids or none))
-
-    members = rows.groupBy("token").agg(F.collect_list(F.struct("id", "n", "component")).alias("members")).select("members")
-    return members.mapInArrow(regroup, "group long, id long").distinct()
-
-
-def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a group (group, id, first, component, n, point) that the R-tree can't exclude,
-    each with a task, the least of the leaves or pairs of leaves where it was found."""
-    found = "a long, b long, task long"
-    group = Window.partitionBy("group")
-    placed = rows.withColumn("leaf", ((F.row_number().over(group.orderBy("first", "component", "n", "id")) - 1) / LEAF).cast("int")).withColumn("many", F.count("*").over(group) > LEAF)
-    leaves = cut(placed.groupBy("group", "leaf", "many").agg(F.collect_list(F.struct("id", "component", "n", "point")).alias("members")))
-    several = leaves.filter("many").select("group", "leaf", "members")
-
-    def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.column(2).to_pylist()
-            boxes = [np.minimum(folded([m["point"] for m in r]).max(0), FULL).astype(np.uint8).tobytes() for r in rows]
-            few = [r[0]["component"] if all(m["component"] == r[0]["component"] for m in r) else None for r in rows]
-            yield batch(
-                "group leaf box low high component", b.column(0), b.column(1), pa.array(boxes, pa.binary()), pa.array([min(m["n"] for m in r) for r in rows], pa.int64()),
-                pa.array([max(m["n"] for m in r) for r in rows], pa.int64()), pa.array(few, pa.int64()),
-            )
-
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bound = overlap_bounds(b.column(3).to_pylist(), b.column(4).to_pylist())
-            yield b.select(["group", "leaf", "other"]).filter(pa.array((100 + percent) * bound >= percent * (b.column(5).to_numpy() + b.column(6).to_numpy())))
-
-    def survivors(x: list[dict], y: list[dict]) -> np.ndarray:
-        """Rows (a, b); points are compared at the coarser of both widths, so members are taken by width."""
-        out = [np.zeros((0, 2), np.int64)]
-        widths = [{len(m["point"]) for m in s} for s in (x, y)]
-        for v in widths[0]:
-            for w in widths[1]:
-                left, right = [m for m in x if len(m["point"]) == v], [m for m in y if len(m["point"]) == w]
-                p, q = coarser(folded([m["point"] for m in left]), min(v, w)), coarser(folded([m["point"] for m in right]), min(v, w))
-                (n1, i1, c1), (n2, i2, c2) = ([np.array([m[k] for m in s]) for k in ("n", "id", "component")] for s in (left, right))
-                fits = (c1[:, None] != c2) & (i1[:, None] != i2) & (100 * np.minimum(n1[:, None], n2) >= percent * np.maximum(n1[:, None], n2))
-                if fits.any():
-                    bound = np.stack([np.minimum(row, q).sum(1) for row in p])
-                    k, j = np.nonzero(fits & may_link(bound, n1[:, None], n2[None], percent))
-                    out.append(np.stack([np.minimum(i1[k], i2[j]), np.maximum(i1[k], i2[j])], 1))
-        return np.unique(np.concatenate(out), axis=0)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for task, x, y in zip(*(b.column(k).to_pylist() for k in (0, 1, b.num_columns - 1)), strict=True):
-                ends = survivors(x, y)
-                if len(ends):
-                    yield batch("a b task", ends[:, 0], ends[:, 1], np.full(len(ends), task))
-
-    boxes = several.mapInArrow(box, "group long, leaf int, box binary, low long, high long, component long")
-    other = boxes.select("group", *(F.col(c).alias(f"{c}2") for c in ("leaf", "box", "low", "high", "component")))
-    met = boxes.join(other, "group").filter("leaf < leaf2 and (component is null or component2 is null or component != component2)").filter((100 * F.col("high") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low")))
-    met = met.select("group", "leaf", F.col("leaf2").alias("other"), "box", "box2", "low", "low2").mapInArrow(cross, "group long, leaf int, other int")
-    side = several.select("group", F.col("leaf").alias("other"), F.col("members").alias("members2"))
-    across = met.join(several, ["group", "leaf"]).join(side, ["group", "other"]).select(F.xxhash64("group", "leaf", "other"), "members", "members2").mapInArrow(pairs, found)
-    alone = leaves.select(F.xxhash64("group", "leaf"), "members").mapInArrow(pairs, found)
-    return alone.unionAll(across).groupBy("a", "b").agg(F.min("task").alias("task"))
+# --- the join ---------------------------------------------------------------------------------
 
 
 def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The profiles, and for each class with a doc_id: nid (its set), first (its least doc_id), component, component_id."""
     docs = docs.select("doc_id", "text")
     profile = cut(profiles(docs))
-    classes = cut(profile.filter("n > 0 and doc_id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "n", "point")).alias("m")).select("id", "m.*"))
-    shared = cut(shared_tokens(prefixes(docs.filter("doc_id is not null"), percent)))
-    stars = bounded(shared.filter("rank > 0").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), classes, percent)
-    release(docs.sparkSession)
-    links = cut(verified(docs, classes, cut(by_centre(cut(stars))), percent))
-    groups = cut(connected_components(links, "a", "b").withColumnRenamed("id", "gid"))
-    frequent = cut(shared.filter(F.col("rank") == FREQUENT).select("token"))
-    named = lambda rows: rows.join(groups, F.col("id") == F.col("gid"), "left").withColumn("component", F.coalesce("component", "id"))
-    ordinary = named(shared.select("token", "id", "n").join(frequent, "token", "left_anti"))
-    crowded = shared.select("token", "id", "n", "center").join(frequent, "token", "left_semi")
-    own = F.least(F.lit(SLACK + 1), F.ceil(F.col("n") * percent / 100))
-    heavy = crowded.groupBy("id").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.min("token").alias("first")).filter(F.col("k") >= own).select(F.col("id").alias("hid"), "first")
-    crowded = cut(crowded.join(heavy, F.col("id") == F.col("hid")).select("id", "center", "first").distinct())
-    family = connected_components(crowded, "id", "center").select(F.col("id").alias("fid"), F.col("component").alias("group"))
-    families = crowded.select("id", "first").distinct().join(family, F.col("id") == F.col("fid")).select("group", "id", "first")
-    searched = small_groups(ordinary, percent).withColumn("first", F.lit(0).cast("long")).unionAll(families)
-    searched = named(searched).select("group", "id", "first", "component").join(classes.select("id", "n", "point"), "id")
-    more = cut(tree_pairs(searched, percent))
-    release(docs.sparkSession)
-    links = links.unionAll(cut(verified(docs, classes, more, percent)))
-    release(docs.sparkSession)
-    groups = connected_components(links, "a", "b").withColumnRenamed("id", "gid")
-    named = classes.select("id", "doc_id").join(groups, F.col("id") == F.col("gid"), "left").withColumn("component", F.coalesce("component", "id"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return profile, named.join(least, "component").select(F.col("id").alias("nid"), F.col("doc_id").alias("first"), "component", "component_id")
+    classes = profile.filter("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), F.min("n").alias("size"))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    total = profile.agg(F.sum("n")).first()[0] or 0
+    ranges = max(partitions(docs.sparkSession), -(-total // RANGE))
+    raw = cut(listed(answered(sent(docs.filter("doc_id is not null"), ranges), ranges), ranges))
+    named = cut(raw.groupBy("id").agg(F.min("chunk").alias("chunk")).join(classes, "id").select("id", "chunk", "cid"))  # a class of several chunks counts once
+    lists = raw.join(named, ["id", "chunk"]).select("cid", "n", "tokens")
+
+    first = cut(entries_of(lists, percent))
+    buckets = first.groupBy("token").agg(F.min("n").alias("least"), F.count("*").alias("many")).filter("many > 1")
+    kept = first.join(buckets, "token").withColumn("room", F.col("n") - F.col("pos"))
+    kept = kept.filter(percent * (F.col("least") + F.col("n")) <= (100 + percent) * F.col("room"))  # not even the least of the bucket may be linked
+    points = points_of(lists)
+    entries = cut(kept.join(points, F.col("cid") == F.col("pid")).select("token", "cid", "n", "room", "key", "point"))
+
+    links = cut(verified(lists, cut(upward(trees(entries.withColumn("component", F.col("cid"))), percent)), percent))
+    groups = cut(connected_components(links, "a", "b").select(F.col("id").alias("gid"), "component"))
+    joined = cut(entries.join(groups, F.col("cid") == F.col("gid"), "left").withColumn("component", F.coalesce("component", "cid")).drop("gid"))
+    several = joined.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2").select("token")
+    more = cut(downward(trees(joined.join(several, "token")), percent))
+    links = links.unionAll(cut(verified(lists, more, percent)))
+    groups = connected_components(links, "a", "b").select(F.col("id").alias("gid"), "component")
+    linked = cut(classes.join(groups, F.col("cid") == F.col("gid"), "left").withColumn("component", F.coalesce("component", "cid")))
+    least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
+    return profile, linked.join(least, "component").select(F.col("id").alias("nid"), "first", "component", "component_id")
 
 
 def linked(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -344,20 +550,20 @@ def linked(docs: DataFrame, percent: int = 75) -> DataFrame:
     table gives an empty result; other columns are ignored.
     """
     profile, named = grouped(docs, percent)
-    out = profile.select("doc_id", "id", "n").join(named, (F.col("id") == F.col("nid")) & (F.col("n") > 0), "left")
+    out = profile.join(named, (F.col("id") == F.col("nid")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """Adds set_id and set_size, the row's set of shingles and its size."""
+def identified(docs: DataFrame, digest: str, size: str) -> DataFrame:
+    """Adds the digest of the row's set of shingles and its size, under these names."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, at in pieces(batches):
             sets, _ = shingle_sets(raw, at)
-            added = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *added], [*rows.schema.names, "set_id", "set_size"])
+            added = [pa.array(map(set_id, sets), pa.binary()), pa.array(map(len, sets), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *added], [*rows.schema.names, digest, size])
 
-    return docs.mapInArrow(sets_of, StructType([*docs.schema.fields, StructField("set_id", LongType()), StructField("set_size", LongType())]))
+    return docs.mapInArrow(sets_of, StructType([*docs.schema.fields, StructField(digest, BinaryType()), StructField(size, LongType())]))
 
 
 def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -370,8 +576,9 @@ def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
     best = named.groupBy("component").agg(F.min(F.struct("first", "nid")).alias("m")).select("m.nid", "m.first")
     lone = profile.filter("n > 0 and doc_id is null").select(F.col("id").alias("nid")).distinct().join(named.select("nid"), "nid", "left_anti")
     best = best.unionAll(lone.select("nid", F.lit(None).cast("long").alias("first")))
-    rows = identified(docs)
-    rows = rows.join(best, (rows["set_id"] == best["nid"]) & rows["doc_id"].eqNullSafe(best["first"]), "left").filter("set_size = 0 or nid is not null")
-    rows = rows.withColumn("set_copy", F.when(F.col("set_size") == 0, F.monotonically_increasing_id()))
-    one = F.row_number().over(Window.partitionBy("set_id", "set_copy").orderBy(F.xxhash64("text")))
-    return rows.withColumn("set_row", one).filter("set_row = 1").select(*docs.columns)
+    *keys, size, kept, nth = names = free_names(docs, "set_id", "set_doc", "set_no_doc", "set_size", "set_kept", "set_row")
+    best = best.select(F.col("nid").alias(keys[0]), F.coalesce("first", F.lit(0)).alias(keys[1]), F.col("first").isNull().alias(keys[2]), F.lit(1).alias(kept))
+    rows = identified(docs, keys[0], size).withColumn(keys[1], F.coalesce("doc_id", F.lit(0).cast("long"))).withColumn(keys[2], F.col("doc_id").isNull())
+    rows = rows.join(best, keys, "left").filter((F.col(size) == 0) | (F.col(kept) == 1))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"))))
+    return rows.filter((F.col(size) == 0) | (F.col(nth) == 1)).drop(*names).select(*docs.columns)

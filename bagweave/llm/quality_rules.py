@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagweave.llm.common import BYTE, cut, pieces, run_hashes, span_hashes, word_spans
+from bagweave.llm.common import cut, pieces, run_hashes, span_hashes, word_spans
 
 #: Fixed values of the contract: symbols, window, base rules.
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
@@ -63,7 +63,7 @@ def text_stats(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     inside[starts] = 1
     inside[ends] -= 1
     in_word = np.cumsum(inside[:-1]) > 0 if len(raw) else np.zeros(0, bool)
-    words = span_hashes(raw, starts, ends, BYTE)
+    words = span_hashes(raw, starts, ends, lower=False)
     windows, first = run_hashes(words, row, WINDOW)
     both, _ = repeated(windows, row[first])
     cover = np.zeros(len(words) + 1, np.int64)
@@ -79,7 +79,7 @@ def text_stats(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     word_sums = np.concatenate([[0], np.cumsum(in_word)])
     full = word_sums[line_end] > word_sums[line_start]
     line_start, line_end, line_row = line_start[full], line_end[full], line_row[full]
-    lines = span_hashes(raw, line_start, line_end, BYTE)
+    lines = span_hashes(raw, line_start, line_end, lower=False)
     _, later = repeated(lines, line_row)
     return [
         n_words, per_row(in_word & _FIRST[raw], at), per_row(_IS_SYMBOL[raw], at), np.bincount(line_row[later], minlength=rows),

@@ -135,9 +135,9 @@ def test_suffix_order():
         assert suffixes.suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize(("slack", "frequent", "leaf"), [(8, 64, 32), (0, 2, 2), (1, 4, 3)])
-def test_jaccard_join(spark, texts, monkeypatch, slack, frequent, leaf):
-    for name, value in (("SLACK", slack), ("FREQUENT", frequent), ("LEAF", leaf)):
+@pytest.mark.parametrize(("leaf", "fanout", "chunk", "spread"), [(32, 16, 1 << 20, 1 << 20), (2, 2, 300, 500), (3, 2, 2000, 100)])
+def test_jaccard_join(spark, texts, monkeypatch, leaf, fanout, chunk, spread):
+    for name, value in (("LEAF", leaf), ("FANOUT", fanout), ("CHUNK", chunk), ("RANGE", spread)):
         monkeypatch.setattr(jaccard, name, value)
     got = {x["doc_id"]: tuple(x)[1:] for x in jaccard.linked(frame(spark, texts, [(400, None, None, None)])).collect()}
     want = brute.components(texts) | {400: (0, 400)}
