@@ -5,8 +5,8 @@ Documents with equal shingle sets form a class (named by a 128-bit digest) and a
 1.  Every chunk of a task's classes sends its distinct tokens (56-bit shingle hashes) to the tokens' ranges, with the place of the
     owner in the chunk; a token that several classes of the chunk own goes once with their number, so a very common token
     costs a chunk one entry. A range answers with the frequency of each token that is not alone, and the chunk writes for each of
-    its classes the list of those tokens in one global order, rare ones first. What two classes share is in both lists, so
-    nothing else of the texts is needed from here on.
+    its classes the list of those tokens in one global order, rare ones first, unless it is too short for any link. What two classes share is in
+    both lists, so nothing else of the texts is needed from here on.
 2.  Linked sets share a token within the first of each in that order, and what follows it in both must be enough for a
     link (prefix and position filter; exact). A token with the classes that may be linked there is a bucket.
 3.  The list's tokens are hashed into groups; the counts of the groups are the class's point. Every bucket gets an R-tree: its points in
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,17 +81,26 @@ def set_id(s: np.ndarray) -> bytes:
 # --- lists of shared tokens ------------------------------------------------------------------
 
 
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low bytes of integers, all first bytes, all second ones and so on, compressed."""
+    data = values.view(np.uint8).reshape(-1, values.itemsize).T[:width]
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(data).tobytes())
+
+
+def from_planes(data: bytes, width: int, kind: type) -> np.ndarray:
+    rows = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((rows.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = rows.T
+    return out.reshape(-1).view(kind)
+
+
 def packed(tokens: np.ndarray) -> bytes:
-    """Sorted tokens as differences, one plane for each byte, so that the leading ones compress."""
-    steps = np.diff(tokens, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T[:TOKEN_BYTES]).tobytes()
+    """Sorted tokens as differences."""
+    return planes(np.diff(tokens, prepend=np.uint64(0)), TOKEN_BYTES)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(TOKEN_BYTES, -1)
-    steps = np.zeros((planes.shape[1], 8), np.uint8)
-    steps[:, :TOKEN_BYTES] = planes.T
-    return np.cumsum(steps.reshape(-1).view(np.uint64), dtype=np.uint64)
+    return np.cumsum(from_planes(data, TOKEN_BYTES, np.uint64), dtype=np.uint64)
 
 
 #: A blob of a range (own = 0): tokens, owners, counts of those with several owners, or in the answer the frequencies of all. A
@@ -123,7 +133,7 @@ def sent(docs: DataFrame, ranges: int) -> DataFrame:
         out = []
         for i, j in zip(edges[:-1], edges[1:], strict=True):
             own = owners[i:j]
-            out.append((int(part[i]), chunk, 0, packed(tokens[i:j]), own.tobytes(), count[i:j][own == SEVERAL].astype(np.uint32).tobytes(), None))
+            out.append((int(part[i]), chunk, 0, packed(tokens[i:j]), planes(own, 2), count[i:j][own == SEVERAL].astype(np.uint32).tobytes(), None))
         sizes = np.array([len(s) for s in sets], np.int64)
         out.append((chunk % ranges, chunk, 1, digests, sizes.tobytes(), held.tobytes(), count[count > 1].astype(np.uint32).tobytes()))
         return out
@@ -150,7 +160,7 @@ def answered(blobs: DataFrame, ranges: int) -> DataFrame:
 
     def answer(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         tokens = [unpacked(a) for _, _, _, a, *_ in held]
-        owners = [np.frombuffer(b, np.uint16) for _, _, _, _, b, *_ in held]
+        owners = [from_planes(b, 2, np.uint16) for _, _, _, _, b, *_ in held]
         sizes = [len(t) for t in tokens]
         times = [np.ones(k, np.int64) for k in sizes]
         for row, own, t in zip(held, owners, times, strict=True):
@@ -166,7 +176,7 @@ def answered(blobs: DataFrame, ranges: int) -> DataFrame:
             f = total[at : at + k]
             at += k
             if (keep := f > 1).any():
-                out.append((row[0], row[1], 0, packed(t[keep]), own[keep].tobytes(), f[keep].astype(np.uint32).tobytes(), None))
+                out.append((row[0], row[1], 0, packed(t[keep]), planes(own[keep], 2), f[keep].astype(np.uint32).tobytes(), None))
         if out:
             yield rows_of(out)
 
@@ -188,15 +198,15 @@ def answered(blobs: DataFrame, ranges: int) -> DataFrame:
     return blobs.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(stream, ROW)
 
 
-def listed(answers: DataFrame, ranges: int) -> DataFrame:
-    """id, chunk, n and the tokens (in the global order, 8 bytes each) of each chunk's classes that share any."""
+def listed(answers: DataFrame, ranges: int, percent: int) -> DataFrame:
+    """id, chunk, n and the tokens (in the global order, 8 bytes each) of each chunk's classes that share enough for a link."""
 
     def lists(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         own = next((r for r in rows if r[2]), None)
         blobs = [r for r in rows if not r[2]]
         if own is None or not blobs:
             return
-        tokens, owners, often = (np.concatenate(x) for x in ([unpacked(r[3]) for r in blobs], [np.frombuffer(r[4], np.uint16) for r in blobs], [np.frombuffer(r[5], np.uint32) for r in blobs]))
+        tokens, owners, often = (np.concatenate(x) for x in ([unpacked(r[3]) for r in blobs], [from_planes(r[4], 2, np.uint16) for r in blobs], [np.frombuffer(r[5], np.uint32) for r in blobs]))
         several = np.flatnonzero(owners == SEVERAL)
         several = several[np.argsort(tokens[several])]  # all such tokens are answered, and the chunk's own row has them in this order
         times, alone = np.frombuffer(own[6], np.uint32), owners != SEVERAL
@@ -206,10 +216,13 @@ def listed(answers: DataFrame, ranges: int) -> DataFrame:
         order = np.lexsort((tokens, often, owners))
         tokens, owners = tokens[order], owners[order]
         starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1], [True]]))
-        who, n = owners[starts[:-1]], np.frombuffer(own[4], np.int64)
+        begin, end, who = starts[:-1], starts[1:], owners[starts[:-1]].astype(np.int64)
+        n = np.frombuffer(own[4], np.int64)[who]
+        keep = end - begin >= least_overlap(n, percent)
+        begin, end, who, n = begin[keep], end[keep], who[keep], n[keep]
         yield batch(
-            "id chunk n tokens", pa.array([own[3][16 * w : 16 * w + 16] for w in who.tolist()], pa.binary()), np.full(len(who), own[1], np.int64), n[who],
-            pa.array([tokens[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:], strict=True)], pa.binary()),
+            "id chunk n tokens", pa.array([own[3][16 * w : 16 * w + 16] for w in who.tolist()], pa.binary()), np.full(len(who), own[1], np.int64), n,
+            pa.array([tokens[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary()),
         )
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,7 +531,7 @@ def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     total = profile.agg(F.sum("n")).first()[0] or 0
     ranges = max(partitions(docs.sparkSession), -(-total // RANGE))
-    raw = cut(listed(answered(sent(docs.filter("doc_id is not null"), ranges), ranges), ranges))
+    raw = cut(listed(answered(sent(docs.filter("doc_id is not null"), ranges), ranges), ranges, percent))
     named = cut(raw.groupBy("id").agg(F.min("chunk").alias("chunk")).join(classes, "id").select("id", "chunk", "cid"))  # a class of several chunks counts once
     lists = raw.join(named, ["id", "chunk"]).select("cid", "n", "tokens")
 
