@@ -8,7 +8,8 @@ Documents with equal shingle sets form a class (named by a 128-bit digest) and a
     its classes the list of those tokens in one global order, rare ones first, unless it is too short for any link. What two classes share is in
     both lists, so nothing else of the texts is needed from here on.
 2.  Linked sets share a token within the first of each in that order, and what follows it in both must be enough for a
-    link (prefix and position filter; exact). A token with the classes that may be linked there is a bucket.
+    link (prefix and position filter; exact). A token with the classes that may be linked there is a bucket; tokens of the same classes
+    share one.
 3.  The list's tokens are hashed into groups; the counts of the groups are the class's point. Every bucket gets an R-tree: its points in
     Morton order are packed into leaves, LEAF by LEAF, and nodes into nodes, FANOUT by FANOUT, up to one root, with boxes of maxima. Buckets are
     dealt by ranges of (token, Morton code), so a large one takes many tasks. The summed coordinate minima of two points, or boxes,
@@ -44,12 +45,12 @@ TOKEN_BITS, TOKEN_BYTES = 56, 7
 CHUNK, RANGE = 1 << 20, 1 << 20
 #: Classes of a chunk (their places are 16-bit), and the place that stands for several owners.
 MOST, SEVERAL = 60_000, 65_535
-#: Groups of the smallest points (as bits), and the mean count beyond which a point has four times as many.
-GROUP_BITS, MEAN = 4, 4
+#: Groups of the smallest and largest points (as bits), and the mean count beyond which a point has four times as many.
+GROUP_BITS, MOST_BITS, MEAN = 4, 6, 4
 #: Members of a leaf and of an inner node.
 LEAF, FANOUT = 32, 16
 #: A count that is no upper bound any more.
-FULL, UNBOUNDED = 255, 1 << 32
+FULL, UNBOUNDED = 65_535, 1 << 32
 #: Pairs with one class that are verified together.
 PAIRS_PER_TASK = 64
 
@@ -243,15 +244,15 @@ def listed(answers: DataFrame, ranges: int, percent: int) -> DataFrame:
 
 
 def point(tokens: np.ndarray) -> bytes:
-    """Counts of the token's leading bits in 16, 64, 256, ... groups, about 1 to 4 tokens in each; finer points fold into coarser ones."""
+    """Counts of the token's leading bits in 16 or 64 groups of 16 bits each; finer points fold into coarser ones."""
     bits = GROUP_BITS
-    while len(tokens) >> bits > MEAN:
+    while len(tokens) >> bits > MEAN and bits < MOST_BITS:
         bits += 2
-    return np.minimum(np.bincount((tokens >> np.uint64(TOKEN_BITS - bits)).astype(np.int64), minlength=1 << bits), FULL).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((tokens >> np.uint64(TOKEN_BITS - bits)).astype(np.int64), minlength=1 << bits), FULL).astype(np.uint16).tobytes()
 
 
 def unfolded(p: bytes) -> np.ndarray:
-    row = np.frombuffer(p, np.uint8).astype(np.int64)
+    row = np.frombuffer(p, np.uint16).astype(np.int64)
     row[row == FULL] = UNBOUNDED
     return row
 
@@ -264,7 +265,7 @@ def folded(points: list[bytes]) -> np.ndarray:
 
 def box(points: list[bytes]) -> bytes:
     """The maxima of points or boxes."""
-    return np.minimum(folded(points).max(0), FULL).astype(np.uint8).tobytes()
+    return np.minimum(folded(points).max(0), FULL).astype(np.uint16).tobytes()
 
 
 def morton(p: bytes) -> bytes:
@@ -339,7 +340,8 @@ def node_of(run: list[dict], level: int) -> dict:
     same = {r["component"] for r in run}
     return {
         "token": run[0]["token"], "level": level, "node": run[0]["node"], "parent": None, "key": run[0]["key"], "low": min(r["low"] for r in run), "high": max(r["high"] for r in run),
-        "room": max(r["room"] for r in run), "component": same.pop() if len(same) == 1 else None, "box": box([r["box"] for r in run]), "center": max((r["center"] for r in run), key=lambda c: c["room"]),
+        "room": max(r["room"] for r in run), "component": same.pop() if len(same) == 1 else None, "box": box([r["box"] for r in run]),
+        "center": max((r["center"] for r in run), key=lambda c: c["room"]) if level else (lambda r: {"cid": r["node"], "n": r["low"], "room": r["room"], "point": r["box"]})(max(run, key=lambda r: r["room"])),
         "members": [{"cid": r["node"], "n": r["low"], "room": r["room"], "component": r["component"], "point": r["box"]} for r in run] if level == 0 else None,
     }
 
@@ -422,7 +424,7 @@ def trees(entries: DataFrame) -> list[DataFrame]:
     Entries are dealt by ranges of (token, key), and each task builds the trees of what it has. A token that lies in several
     tasks has a root in each; its tree is closed over these, at most one for each task.
     """
-    rows = entries.select("token", F.col("cid").alias("node"), "key", F.col("n").alias("low"), F.col("n").alias("high"), "room", "component", F.col("point").alias("box"), F.struct("cid", "n", "room", "point").alias("center"))
+    rows = entries.select("token", F.col("cid").alias("node"), "key", F.col("n").alias("low"), F.col("n").alias("high"), "room", "component", F.col("point").alias("box"))
     dealt = rows.repartitionByRange(partitions(entries.sparkSession), "token", "key", "node").sortWithinPartitions("token", "key", "node")
     nodes = cut(dealt.mapInArrow(lambda b: packing(b, lambda out: Level(0, out, LEAF, FANOUT)), NODE))
     tops, inner = nodes.filter("parent is null"), nodes.filter("parent is not null")
@@ -533,14 +535,16 @@ def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     ranges = max(partitions(docs.sparkSession), -(-total // RANGE))
     raw = cut(listed(answered(sent(docs.filter("doc_id is not null"), ranges), ranges), ranges, percent))
     named = cut(raw.groupBy("id").agg(F.min("chunk").alias("chunk")).join(classes, "id").select("id", "chunk", "cid"))  # a class of several chunks counts once
-    lists = raw.join(named, ["id", "chunk"]).select("cid", "n", "tokens")
+    lists = cut(raw.join(named, ["id", "chunk"]).select("cid", "n", "tokens"))
 
     first = cut(entries_of(lists, percent))
-    buckets = first.groupBy("token").agg(F.min("n").alias("least"), F.count("*").alias("many")).filter("many > 1")
-    kept = first.join(buckets, "token").withColumn("room", F.col("n") - F.col("pos"))
-    kept = kept.filter(percent * (F.col("least") + F.col("n")) <= (100 + percent) * F.col("room"))  # not even the least of the bucket may be linked
+    members = F.struct(F.count("*"), F.bit_xor(F.xxhash64("cid")), F.sum(F.shiftright(F.xxhash64("cid", F.lit(1)), 24)))
+    buckets = first.groupBy("token").agg(F.min("n").alias("least"), F.count("*").alias("many"), F.xxhash64(members).alias("bucket")).filter("many > 1")
+    # tokens of one set of classes are one bucket, in which a class has its most room; were two sets mistaken for one, more would be compared
+    merged = first.join(buckets, "token").groupBy("bucket", "cid").agg(F.max(F.col("n") - F.col("pos")).alias("room"), F.min("least").alias("least"), F.min("n").alias("n"))
+    kept = merged.filter(percent * (F.col("least") + F.col("n")) <= (100 + percent) * F.col("room"))  # else not even the least of the bucket may be linked
     points = points_of(lists)
-    entries = cut(kept.join(points, F.col("cid") == F.col("pid")).select("token", "cid", "n", "room", "key", "point"))
+    entries = cut(kept.join(points, F.col("cid") == F.col("pid")).select(F.col("bucket").alias("token"), "cid", "n", "room", "key", "point"))
 
     links = cut(verified(lists, cut(upward(trees(entries.withColumn("component", F.col("cid"))), percent)), percent))
     groups = cut(connected_components(links, "a", "b").select(F.col("id").alias("gid"), "component"))
