@@ -259,7 +259,7 @@ def unfolded(p: bytes) -> np.ndarray:
 
 def folded(points: list[bytes]) -> np.ndarray:
     """The points as rows of the coarsest one's groups; a full count stays no bound."""
-    width = min(map(len, points))
+    width = min(map(len, points)) // 2
     return np.stack([unfolded(p).reshape(width, -1).sum(1) for p in points])
 
 
