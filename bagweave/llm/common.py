@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -20,6 +21,8 @@ __all__ = ["cut"]
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text that is worked on at once in a Python worker, in bytes; a longer text is worked on alone.
 PIECE_BYTES = 1 << 20
+#: Rows that are worked on at once, however short.
+PIECE_ROWS = 1 << 16
 M64 = (1 << 64) - 1
 
 
@@ -32,6 +35,13 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_dir(path: str) -> None:
+    """Removes a folder that fresh_dir named, if it was made."""
+    store, folder = pafs.FileSystem.from_uri(path)
+    if store.get_file_info(folder).type == pafs.FileType.Directory:
+        store.delete_dir(folder)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as keep it apart from the frame's columns."""
     have = {c.lower() for c in df.columns}
@@ -133,14 +143,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches of about PIECE_BYTES of text: the rows, their bytes, their offsets."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE_ROWS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches of about PIECE_BYTES of text and ``most`` rows: the rows, their bytes, their offsets."""
     for batch in batches:
         raw, at = text_bytes(batch.column(batch.schema.get_field_index(text)))
         i = 0
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE_BYTES, side="right")) - 1)
-            j = min(j, batch.num_rows)
+            j = min(j, i + most, batch.num_rows)
             yield batch.slice(i, j - i), raw[at[i] : at[j]], at[i : j + 1] - at[i]
             i = j
 

@@ -29,7 +29,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"))
+    return warc.round_trip(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

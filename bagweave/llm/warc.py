@@ -16,40 +16,55 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bagweave.llm.common import cut, drop_dir
+
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 4 << 20
 READ_BYTES = 1 << 20
+#: Bytes of archives that a reader's task takes, where there are enough tasks for all cores.
+TASK_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html and first_id: of equal payloads of at least ``least`` bytes the smallest page_id, else its own.
+    """page_id, url, html, first_id and nth: first_id is of equal payloads of at least ``least`` bytes the smallest page_id, else its own; nth counts rows
+    of one page_id and payload.
 
-    The html itself is dealt by page_id only, so a payload that many pages share is no hot key; the smallest id is a partial aggregate.
+    The html itself is dealt by page_id and payload, so a payload that many pages share is no hot key; the smallest id is a partial aggregate.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    marks = rows.select("page_id", F.sha2("html", 256).alias("mark"), F.octet_length("html").alias("bytes"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("mark", F.sha2("html", 256))
+    marks = rows.select("page_id", "mark", F.octet_length("html").alias("bytes"))
     firsts = marks.groupBy("mark").agg(F.min("page_id").alias("first_id")).withColumnRenamed("mark", "m")
-    repeats = marks.filter(F.col("bytes") >= least).join(firsts, F.col("mark") == F.col("m")).filter("page_id > first_id").select(F.col("page_id").alias("p"), F.col("mark").alias("m"), "first_id").distinct()
-    marked = rows.withColumn("mark", F.sha2("html", 256))
-    return marked.join(repeats, (F.col("page_id") == F.col("p")) & (F.col("mark") == F.col("m")), "left").select("page_id", "url", "html", F.coalesce("first_id", "page_id").alias("first_id"))
+    repeats = marks.filter(F.col("bytes") >= least).join(firsts, F.col("mark") == F.col("m")).filter("page_id > first_id or page_id is null and first_id is not null")
+    repeats = repeats.select(F.col("page_id").alias("p"), F.col("mark").alias("m"), "first_id").distinct()
+    planned = rows.join(repeats, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("mark") == F.col("m")), "left").select("page_id", "url", "html", F.coalesce("first_id", "page_id").alias("first_id"), "mark")
+    return planned.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "mark").orderBy("url"))).drop("mark")
+
+
+def record_id(page_id: int | None, digest: str, nth: int = 1) -> str:
+    return f"<urn:page:{'null' if page_id is None else page_id}:{digest}{f':{nth}' if nth > 1 else ''}>"
+
 
+def page_of(uri: str) -> int | None:
+    number = uri.strip("<>").split(":")[2]
+    return None if number == "null" else int(number)
 
-def member(page_id: int | None, url: str | None, payload: bytes, first_id: int | None, level: int) -> bytes:
+
+def member(page_id: int | None, url: str | None, payload: bytes, first_id: int | None, level: int, nth: int = 1) -> bytes:
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     revisit = first_id != page_id
     block = http if revisit else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest, nth)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
-        lines += [f"WARC-Refers-To: <urn:page:{first_id}>", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {record_id(first_id, digest)}", f"WARC-Profile: {PROFILE}"]
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     pack = zlib.compressobj(level, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + pack.flush()
@@ -58,8 +73,9 @@ def member(page_id: int | None, url: str | None, payload: bytes, first_id: int |
 def write_warc(pages: DataFrame, path: str, least: int = 0, level: int = 3) -> DataFrame:
     """Writes one archive per partition to ``path`` at once, and returns (file, records, bytes).
 
-    Defined cases: null html is an empty payload; a null url gives a record without a target; repeated rows each give a
-    record; an empty table writes no file; other columns are ignored. A task that runs again writes the same file under
+    Defined cases: null html is an empty payload; a null url gives a record without a target; a null page_id counts as the
+    last, so it revisits a page with the same payload, and is a response if no page with an id has it; repeated rows each give a
+    record with an id of its own, all of them responses if their page is; an empty table writes no file; other columns are ignored. A task that runs again writes the same file under
     the same name, put in place by a rename, so lost executors leave no half or double archive.
     """
 
@@ -70,11 +86,11 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, level: int = 3) -> D
         out, n, size = None, 0, 0
         for batch in batches:
             for i in range(batch.num_rows):
-                page_id, url, html, first = (batch.column(k)[i].as_py() for k in range(4))
+                page_id, url, html, first, nth = (batch.column(k)[i].as_py() for k in range(5))
                 if out is None:
                     store.create_dir(folder, recursive=True)
                     out = store.open_output_stream(temporary)
-                data = member(page_id, url, html.encode(), first, level)
+                data = member(page_id, url, html.encode(), first, level, nth)
                 out.write(data)
                 n, size = n + 1, size + len(data)
         if out is not None:
@@ -156,27 +172,35 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) ->
                     if headers["WARC-Type"] not in ("response", "revisit"):
                         continue
                     http, _, payload = block.partition(b"\r\n\r\n")
-                    number = lambda uri: int(uri.strip("<>").rpartition(":")[2])
                     told = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     if headers["WARC-Type"] == "response":
                         if (digest := base64.b32encode(hashlib.sha1(payload).digest()).decode()) != told:
                             raise ValueError(f"{file}: {headers['WARC-Record-ID']} has another payload than its digest says")
-                        rows.append((number(headers["WARC-Record-ID"]), len(payload), digest, "response", None))
+                        rows.append((page_of(headers["WARC-Record-ID"]), len(payload), digest, "response", None))
                     else:
                         length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                        rows.append((number(headers["WARC-Record-ID"]), length, told, "revisit", number(headers["WARC-Refers-To"])))
+                        rows.append((page_of(headers["WARC-Record-ID"]), length, told, "revisit", page_of(headers["WARC-Refers-To"])))
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("begin"))
-    return ranges.repartition("path", "begin").mapInArrow(read, RECORDS)
+    n, total = ranges.agg(F.count("*"), F.sum(F.least(F.lit(split_bytes), F.col("length") - F.col("begin")))).first()
+    tasks = max(-(-(total or 0) // TASK_BYTES), min(n, 4 * spark.sparkContext.defaultParallelism), 1)
+    return ranges.repartition(tasks, "path", "begin").mapInArrow(read, RECORDS)  # a stated number of tasks stays: the rows are tiny, what they name is not
 
 
 def archived(pages: DataFrame, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Writes the pages as archives and reads them back."""
+    """Writes the pages as archives and reads them back; the archives stay."""
     spark = pages.sparkSession
     if write_warc(pages, path).isEmpty():
         return spark.createDataFrame([], RECORDS)
     return read_warc(spark, path, split_bytes)
+
+
+def round_trip(pages: DataFrame, path: str) -> DataFrame:
+    """What the archives say of the pages; the archives go once their records are checkpointed."""
+    found = cut(archived(pages, path))
+    drop_dir(path)
+    return found
