@@ -3,13 +3,16 @@
 Items are partitioned by the number of their 5-word shingles into classes (u/2, u]. For a class, documents
 are cut into windows of 2u shingles every u shingles, so a short item inside a long document is a fair
 share of some window, however long the document is. Items and windows have MinHash signatures of
-FUNCTIONS values; one equal value makes a candidate. With containment of 0.75 the Jaccard similarity of an item and
-its window is at least 0.18, so a pair is missed with a chance below 4e-6; items of up to
-SMALL shingles are searched by windows of one shingle, which misses none. Windows of one
-class are merged pairwise for the next, so each shingle is hashed once for each function. Every
-candidate is verified by counting the item's shingles in the document.
+FUNCTIONS values; one equal value makes a candidate. Windows of one class are merged pairwise for the next, so each
+shingle is hashed once for each function. With containment of 0.75 the Jaccard similarity of an item and
+its window is at least 0.18, so a passage that stands in one place is missed with a chance below 4e-6.
 
-Items come in blocks of a bounded number of shingles; each block is a stated query set against all documents.
+What signatures may miss (that chance, and shingles that lie scattered over a document) is found by bottom sketches: of an item of n
+shingles of which k must be shared, a document that qualifies holds one of the n - k + 1 with the least values of the first hash
+function. These are few, each is looked up in the document's shingles, and no pair is missed. Every candidate is
+verified by counting the item's shingles in the document.
+
+Items come in blocks of BLOCK_SHINGLES shingles, or of one item that has more; each block is a stated query set against all documents.
 """
 
 from __future__ import annotations
@@ -18,17 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagweave.llm.common import pieces, run_hashes, shingle_sets, span_hashes, word_spans
+from bagweave.llm.common import WORD, cut, pieces, run_hashes, shingle_sets, span_hashes, word_spans
 
 THRESHOLD = 0.75
 FUNCTIONS = 64
 SMALL = 4
 FIRST_CLASS = 8
-#: Items that one pass over the documents searches for.
-BLOCK_ITEMS = 20_000
+#: Words of the items that one pass over the documents searches for, on average; and blocks whose indexes are in memory at once.
+BLOCK_WORDS, LIVE_BLOCKS = 2_000_000, 4
 MATCHES = "doc_id long, item_id long, n_shared long, n_item long, containment double"
 
 _rng = np.random.default_rng(7)
@@ -37,10 +41,11 @@ TERMS = _rng.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64)
 
 
 class Items:
-    """A block of items: their shingle sets, and per class and function the signature values with the items that have them."""
+    """A block of items: how often each is in the table, their shingle sets, per class and function the signature values with the items that
+    have them, and the bottom sketches."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray]) -> None:
-        self.ids, self.sets = ids, sets
+    def __init__(self, ids: list[int], times: list[int], sets: list[np.ndarray], threshold: float) -> None:
+        self.ids, self.times, self.sets = ids, times, sets
         self.levels: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         by_level: dict[int, list[int]] = {}
         for i, s in enumerate(sets):
@@ -53,6 +58,8 @@ class Items:
             else:
                 signatures = np.array([[(sets[i] * a + b).min() for i in own] for a, b in zip(FACTORS, TERMS, strict=True)])
                 self.levels[level] = [self.index(v, np.array(own)) for v in signatures]
+        few = [s[np.argsort(s * FACTORS[0] + TERMS[0], kind="stable")[: len(s) - int(np.ceil(threshold * len(s))) + 1]] for s in sets]
+        self.bottom = self.index(np.concatenate([np.zeros(0, np.uint64), *few]), np.repeat(np.arange(len(sets)), [len(f) for f in few]))
 
     @staticmethod
     def index(values: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,6 +83,7 @@ class Items:
         out: set[tuple[int, int]] = set()
         if not len(hashes):
             return out
+        out.update(self.found(self.bottom, hashes, row))
         if -1 in self.levels:
             out.update(self.found(self.levels[-1][0], hashes, row))
         top = max(self.levels, default=-1)
@@ -129,13 +137,16 @@ def matches(items: Items, raw: np.ndarray, at: np.ndarray, threshold: float) ->
     return out
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
-    blocks = max(1, -(-benchmark.count() // BLOCK_ITEMS))
+def item_blocks(benchmark: DataFrame, threshold: float) -> Iterator[Items]:
+    """The items, equal rows once with their number, in blocks by hash; the driver holds one block at a time."""
+    items = benchmark.select("item_id", "text").groupBy("item_id", "text").agg(F.count("*").alias("times"))
+    words = items.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
+    blocks = max(1, -(-words // BLOCK_WORDS))
     for b in range(blocks):
-        rows = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").orderBy("item_id", "text").toArrow()
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").toArrow()
         texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        yield Items(rows.column("item_id").to_pylist(), shingle_sets(np.frombuffer(b"".join(texts), np.uint8), at)[0])
+        yield Items(rows.column("item_id").to_pylist(), rows.column("times").to_pylist(), shingle_sets(np.frombuffer(b"".join(texts), np.uint8), at)[0], threshold)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -144,27 +155,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     Words are A-Z-lower-cased runs without white space; fewer than five words make one shingle. Defined cases: null or
     empty texts and items match nothing; repeated rows each give rows; empty tables give an empty result; other columns are ignored.
     """
-    context, out = docs.sparkSession.sparkContext, None
-    for block in item_blocks(benchmark):
+    context, out, live = docs.sparkSession.sparkContext, None, []
+    for block in item_blocks(benchmark, threshold):
         shared = context.broadcast(block)
+        live.append(shared)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for rows, raw, at in pieces(batches):
-                found = [(rows.column(0)[i].as_py(), items.ids[j], n, len(items.sets[j]), n / len(items.sets[j])) for i, j, n in matches(items, raw, at, threshold)]
+                found = [(rows.column(0)[i].as_py(), items.ids[j], n, len(items.sets[j]), n / len(items.sets[j])) for i, j, n in matches(items, raw, at, threshold) for _ in range(items.times[j])]
                 columns = list(zip(*found, strict=True)) or [[]] * 5
                 kinds = (pa.int64(),) * 4 + (pa.float64(),)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
         leaks = docs.select("doc_id", "text").mapInArrow(search, MATCHES)
         out = leaks if out is None else out.unionAll(leaks)
+        if len(live) == LIVE_BLOCKS:
+            out = settled(out, live)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns; they are filtered where they are read."""
-    for block in item_blocks(benchmark):
+    live = []
+    for block in item_blocks(benchmark, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(block)
+        live.append(shared)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for rows, raw, at in pieces(batches):
@@ -173,4 +189,15 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                 yield rows.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        if len(live) == LIVE_BLOCKS:
+            docs = settled(docs, live)
     return docs
+
+
+def settled(rows: DataFrame, live: list[Broadcast]) -> DataFrame:
+    """The rows computed, so that the blocks they needed can go."""
+    rows = cut(rows)
+    for shared in live:
+        shared.unpersist()
+    live.clear()
+    return rows
