@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bagweave.llm.common import WORD
+from bagweave.llm.common import WORD, free_names
 
 #: Ranges of keys in each source.
 RANGES = 4096
@@ -49,10 +49,10 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, taken, key.
 
     Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its
-    own; repeated rows each count (ties of the key fall to doc_id, then size, which leaves the
-    same multiset of results); an empty table gives an empty result; other columns are ignored.
+    own; repeated rows each count, as do rows without a doc_id (their texts spread them over the ranges; ties of the key fall to
+    doc_id, then size, which leaves the same multiset of results); an empty table gives an empty result; other columns are ignored.
     """
-    sized = docs.select("doc_id", "source", size_of().alias("size")).withColumn("key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("range", F.shiftrightunsigned("key", 64 - (RANGES - 1).bit_length()).cast("int"))
+    sized = docs.select("doc_id", "source", size_of().alias("size"), F.xxhash64("text").alias("text_hash")).withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).withColumn("range", F.shiftrightunsigned("key", 64 - (RANGES - 1).bit_length()).cast("int"))
     sums = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     totals = source_targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,9 +74,11 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     A document of 10 words with taken 23 is read twice and then for its first 3 words; its text is kept whole here.
     Each row has its own share: rows without a doc_id stay, and of rows with one doc_id, source and size each gets one of their shares.
+    If the documents have a column ``taken``, it stays and the new one is ``_taken``.
     """
-    key = lambda size: F.to_json(F.struct("doc_id", "source", size.alias("size")))  # noqa: E731 - leaves out nulls
-    nth = lambda order: F.row_number().over(Window.partitionBy("mix_key").orderBy(order))
-    taken = mix_sources(docs, seed).select(key(F.col("size")).alias("mix_key"), "taken").withColumn("mix_nth", nth(F.desc("taken"))).filter("taken > 0")
-    rows = docs.withColumn("mix_key", key(size_of())).withColumn("mix_nth", nth(F.xxhash64("text")))
-    return rows.join(taken, ["mix_key", "mix_nth"]).drop("mix_key", "mix_nth")
+    key, nth, taken = free_names(docs, "mix_key", "mix_nth", "taken")
+    row = lambda size: F.to_json(F.struct("doc_id", "source", size.alias("size")))  # noqa: E731 - leaves out nulls
+    number = lambda order: F.row_number().over(Window.partitionBy(key).orderBy(order))
+    shares = mix_sources(docs, seed).select(row(F.col("size")).alias(key), F.col("taken").alias(taken)).withColumn(nth, number(F.desc(taken))).filter(F.col(taken) > 0)
+    rows = docs.withColumn(key, row(size_of())).withColumn(nth, number(F.xxhash64("text")))
+    return rows.join(shares, [key, nth]).drop(key, nth)

@@ -22,6 +22,7 @@ FEATURES, DIMENSIONS, NEIGHBOURS = 2048, 64, 25
 #: The bound of the labelled sample: of each label, so many training rows with the least hashes.
 PER_CLASS = 2048
 SHARPNESS = 8
+#: Texts whose features are in memory at once: FEATURES * 8 bytes each, 8 MB.
 ROWS = 512
 
 _rng = np.random.default_rng(11)
@@ -82,7 +83,7 @@ def fit_voters(docs: DataFrame, labels: DataFrame) -> Voters:
     ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(known)], "known_id long")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw, at in pieces(batches):
+        for rows, raw, at in pieces(batches, most=ROWS):
             x = features(raw, at).astype(np.float16)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
 
@@ -101,7 +102,7 @@ def scored(docs: DataFrame, voters: Voters) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw, at in pieces(batches):
+        for rows, raw, at in pieces(batches, most=ROWS):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(shared.value.scores(features(raw, at)))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
@@ -122,7 +123,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
     shared = docs.sparkSession.sparkContext.broadcast(fit_voters(docs, labels.select("doc_id", "quality").filter(~held_out())))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw, at in pieces(batches):
+        for rows, raw, at in pieces(batches, most=ROWS):
             yield rows.filter(pa.array(shared.value.scores(features(raw, at)) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)
