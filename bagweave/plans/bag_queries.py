@@ -101,11 +101,12 @@ def softmax_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {POINTS}, a AS (SELECT *, area / sum(area) OVER (PARTITION BY owner) AS m, row_number() OVER (PARTITION BY owner ORDER BY p DESC, point) AS r, count(*) OVER (PARTITION BY owner) AS n, max(p) OVER (PARTITION BY owner) AS mx, exp(q - max(q) OVER (PARTITION BY owner)) AS att,
 least(area, greatest(0, .1::DOUBLE * sum(area) OVER (PARTITION BY owner) - coalesce(sum(area) OVER (PARTITION BY owner ORDER BY p DESC, point ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS mass FROM points),
 b AS (SELECT *, exp(3 * p + ln(m) - max(3 * p + ln(m)) OVER (PARTITION BY owner)) AS auto FROM a)
-SELECT owner, max(p) AS max, round(avg(p), 6) AS mean, round(sum(m * p), 6) AS area_mean, round(sum(att * p) / sum(att), 6) AS attention, round(avg(CASE WHEN r <= greatest(1, ceil(.1::DOUBLE * n)) THEN p END), 6) AS top_k, round(sum(mass * p) / sum(mass), 6) AS top_area,
-round(max(p) + ln(sum(m * exp(5 * (p - mx)))) / 5, 6) AS lse, round(sum(m * p * p) / nullif(sum(m * p), 0), 6) AS linear_softmax, round(sum(auto * p) / sum(auto), 6) AS autopool, round(pow(sum(m * pow(p, 4)), .25), 6) AS gem, round(.5 * max(p) + .5 * sum(m * p), 6) AS max_mean FROM b GROUP BY owner""")
+SELECT owner, max(p) AS max, round(avg(p) + 1e-9, 6) AS mean, round(sum(m * p) + 1e-9, 6) AS area_mean, round(sum(att * p) / sum(att) + 1e-9, 6) AS attention, round(avg(CASE WHEN r <= greatest(1, ceil(.1::DOUBLE * n)) THEN p END) + 1e-9, 6) AS top_k, round(sum(mass * p) / sum(mass) + 1e-9, 6) AS top_area,
+round(max(p) + ln(sum(m * exp(5 * (p - mx)))) / 5 + 1e-9, 6) AS lse, round(sum(m * p * p) / nullif(sum(m * p), 0) + 1e-9, 6) AS linear_softmax, round(sum(auto * p) / sum(auto) + 1e-9, 6) AS autopool, round(pow(sum(m * pow(p, 4)), .25) + 1e-9, 6) AS gem, round(.5 * max(p) + .5 * sum(m * p) + 1e-9, 6) AS max_mean FROM b GROUP BY owner""")
 def bag_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1e-9 keeps exact halves of the last digit on one side, whatever the order of the sums."""
     out = ops.pooled(points(spark, sf_dir), ["owner"])
-    return out.select("owner", "max", *(r6(c) for c in out.columns[2:]))
+    return out.select("owner", "max", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in out.columns[2:]))
 
 
 @query(f"""WITH {POINTS}, a AS (SELECT *, area / sum(area) OVER (PARTITION BY owner) AS m, p / nullif(sum(p) OVER (PARTITION BY owner), 0) AS s, least(greatest(p, 1e-7), 1 - 1e-7) AS c FROM points)

@@ -44,7 +44,7 @@ def bounded_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.symmetric_ranks(ops.nearest(a, a, 1.0, 8, "atom", "atom", self_join=True)).select("a", "b", "rank")
 
 
-@query(f"""WITH {ATOMS}, near AS (SELECT a.atom AS src, b.atom AS dst, sqrt({D2}) AS d FROM atoms a JOIN atoms b ON a.owner = 0 AND b.owner <> 0 AND {D2} <= 1.44::DOUBLE), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY CAST(d AS FLOAT), dst) AS rank FROM near) SELECT src, dst, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6""")
+@query(f"""WITH {ATOMS}, near AS (SELECT a.atom AS src, b.atom AS dst, sqrt({D2}) AS d FROM atoms a JOIN atoms b ON a.owner <> b.owner AND {D2} <= 1.44::DOUBLE), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY CAST(d AS FLOAT), dst) AS rank FROM near) SELECT src, dst, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6""")
 def point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = atoms(spark, sf_dir)
     return ops.nearest(a, a, 1.2, 6, "atom", "atom", single=True, keep=others()).select("src", "dst", "rank")
@@ -70,7 +70,7 @@ def exposed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.exposed(a, a, 0.4, "atom").select("atom")
 
 
-@query(f"""WITH {ATOMS}, n AS (SELECT a.atom AS a, b.atom AS b, sqrt({D2}) AS d, b.radius AS r FROM atoms a JOIN atoms b ON a.owner = 0 AND b.owner <> 0 AND {D2} <= 2.25::DOUBLE) SELECT a AS atom, round(arg_min(d - r, (d, b)), 6) AS nearest_gap, round(min(d - r), 6) AS least_gap FROM n GROUP BY a""")
+@query(f"""WITH {ATOMS}, n AS (SELECT a.atom AS a, b.atom AS b, sqrt({D2}) AS d, b.radius AS r FROM atoms a JOIN atoms b ON a.owner <> b.owner AND {D2} <= 2.25::DOUBLE) SELECT a AS atom, round(arg_min(d - r, (d, b)), 6) AS nearest_gap, round(min(d - r), 6) AS least_gap FROM n GROUP BY a""")
 def sphere_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = atoms(spark, sf_dir)
     return ops.gaps(a, a, 1.5, "atom", others()).select("atom", F.round("nearest_gap", 6).alias("nearest_gap"), F.round("least_gap", 6).alias("least_gap"))
@@ -139,7 +139,7 @@ def edge_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy(F.col("a_atom").alias("atom")).agg(F.round((F.max("a_p") + 0.5 * F.sum(F.col("w") * F.col("b_p"))) / (1 + 0.5 * F.sum("w")), 6).alias("refined"), F.round(F.sum(F.col("w") * step * step), 6).alias("variation"))
 
 
-@query(f"""WITH RECURSIVE {near(0.6)}, bfs(src, dst, depth) AS (SELECT atom, atom, 0 FROM atoms WHERE atom < 40 UNION SELECT bfs.src, near.b, bfs.depth + 1 FROM bfs JOIN near ON bfs.dst = near.a WHERE bfs.depth < 3) SELECT src, dst, min(depth) AS depth FROM bfs GROUP BY src, dst""")
+@query(f"""WITH RECURSIVE {near(0.6)}, bfs(src, dst, depth) AS (SELECT atom, atom, 0 FROM atoms UNION SELECT bfs.src, near.b, bfs.depth + 1 FROM bfs JOIN near ON bfs.dst = near.a WHERE bfs.depth < 31) SELECT src, dst, min(depth) AS depth FROM bfs GROUP BY src, dst""")
 def path_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagweave.operators.graph import bounded_depths
 

@@ -53,7 +53,7 @@ def split_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUART = f"""{BAGS}, c AS (SELECT quantile_cont(size, .25) AS a, quantile_cont(size, .5) AS b, quantile_cont(size, .75) AS d FROM bags), s AS (SELECT bags.*, CASE WHEN size <= a THEN 1 WHEN size <= b THEN 2 WHEN size <= d THEN 3 ELSE 4 END AS quartile FROM bags, c)"""
 SCORES = """l AS (SELECT {k}, p, count(*) AS n, sum(target) AS tp FROM {t} GROUP BY ALL), w AS (SELECT *, n - tp AS neg, coalesce(sum(n - tp) OVER (PARTITION BY {k} ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower,
-sum(n) OVER d AS cn, sum(tp) OVER d AS ctp FROM l WINDOW d AS (PARTITION BY {k} ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), z AS (SELECT {k}, CAST(sum(n) AS BIGINT) AS members, round(.3 * sum(tp * (lower + neg / 2.0::DOUBLE)) / nullif(sum(tp) * sum(neg), 0) + .7 * sum(tp * ctp / CAST(cn AS DOUBLE)) / nullif(sum(tp), 0), 6) AS score FROM w GROUP BY {k})"""
+sum(n) OVER d AS cn, sum(tp) OVER d AS ctp FROM l WINDOW d AS (PARTITION BY {k} ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), z AS (SELECT {k}, CAST(sum(n) AS BIGINT) AS members, round(.3 * sum(tp * (lower + neg / 2.0::DOUBLE)) / nullif(sum(tp) * sum(neg), 0) + .7 * sum(tp * ctp / CAST(cn AS DOUBLE)) / nullif(sum(tp), 0) + 1e-9, 6) AS score FROM w GROUP BY {k})"""
 
 
 @query(f"WITH {QUART}, {SCORES.format(k='quartile', t='s')} SELECT * FROM z WHERE members >= 8")
@@ -63,7 +63,7 @@ def quartile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BAGS}, {SCORES.format(k='family', t='bags')} SELECT * FROM z WHERE members >= 8")
 def family_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.subgroup_scores(bags(spark, sf_dir), "family").select("family", "members", r6("score"))
+    return ops.subgroup_scores(bags(spark, sf_dir), "family").select("family", "members", F.round(F.col("score") + 1e-9, 6).alias("score"))  # 1e-9: exact halves on one side
 
 
 @query(f"""WITH {POINTS}, r AS (SELECT region, p, q, p - q AS e FROM points) SELECT region, CAST(count(*) AS BIGINT) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(corr(p, q), 6) AS pearson,

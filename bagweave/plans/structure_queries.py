@@ -20,7 +20,7 @@ def atom_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KINDS = "['single', 'double', 'triple', 'aromatic', 'none']"
-BONDS = f"""bonds AS (SELECT l_partkey % 300 AS a, l_suppkey % 300 AS b, {KINDS}[1 + (l_linenumber % 5)] AS kind, ['explicit', 'template', 'peptide', 'disulfide', 'geometric'][1 + CAST(l_quantity AS INTEGER) % 5] AS source, l_discount * 25 + .5::DOUBLE AS length FROM lineitem WHERE l_partkey % 300 <> l_suppkey % 300 AND l_orderkey % 20 = 0)"""
+BONDS = f"""bonds AS (SELECT l_partkey % 300 AS a, l_suppkey % 300 AS b, {KINDS}[1 + (l_linenumber % 5)] AS kind, ['explicit', 'template', 'peptide', 'disulfide', 'geometric'][1 + CAST(l_quantity AS INTEGER) % 5] AS source, l_discount * 25 + .5::DOUBLE AS length FROM lineitem WHERE l_partkey % 300 <> l_suppkey % 300)"""
 
 
 def bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def edge_conductance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(a, a, 0.9, F.col("a_atom") < F.col("b_atom")).select(F.col("a_atom").alias("a"), F.col("b_atom").alias("b"), F.round(ops.conductance(F.col("d"), gap, gap), 8).alias("w"))
 
 
-@query(f"""WITH {ATOMS}, w AS (SELECT a.atom AS a, exp(-{D2} / 8) AS w, b.p AS p FROM atoms a JOIN atoms b ON a.owner = 0 AND b.owner <> 0 AND {D2} <= 1.0::DOUBLE) SELECT atom, round(coalesce(sum(w * w.p), 0), 6) AS total, round(coalesce(sum(w * w.p) / sum(w), 0), 6) AS mean FROM atoms LEFT JOIN w ON w.a = atom WHERE owner = 0 GROUP BY atom""")
+@query(f"""WITH {ATOMS}, w AS (SELECT a.atom AS a, exp(-{D2} / 8) AS w, b.p AS p FROM atoms a JOIN atoms b ON a.owner <> b.owner AND {D2} <= 1.0::DOUBLE) SELECT atom, round(coalesce(sum(w * w.p), 0), 6) AS total, round(coalesce(sum(w * w.p) / sum(w), 0), 6) AS mean FROM atoms LEFT JOIN w ON w.a = atom GROUP BY atom""")
 def feature_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = atoms(spark, sf_dir)
     g = ops.gaussian_projection(a, a, 1.0, "p", keep=others())
