@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Fixed values of the HTML standard: block elements, elements without content, raw text, and what an opening tag closes.
@@ -24,8 +25,10 @@ RAW = frozenset("script style title textarea xmp iframe noembed noframes".split(
 UNSEEN = frozenset("script style title textarea iframe noembed noframes template head button select option".split())
 ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "option", "select"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: A tag's name; what is left of it, quotes honoured (possessive, so no character is read twice); an attribute, with or without a value.
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+REST = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 READ_ATTRIBUTES = frozenset("class id role itemprop aria-label data-component data-testid".split())
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -48,52 +51,84 @@ class Page:
         self.read(source)
 
     def read(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("html", 0)]  # open block and unseen elements
+        """One pass; each character is looked at a bounded number of times, however deep or broken the page is."""
+        stack: list[tuple[str, int]] = []  # open block and unseen elements
+        where: dict[str, list[int]] = {}  # their places in the stack, by name
         hidden, links, at, run = 0, 0, 0, []
-        length = len(source)
+        length, last = len(source), source.rfind(">")
+
+        def opened(name: str, node: int) -> None:
+            where.setdefault(name, []).append(len(stack))
+            stack.append((name, node))
+
+        def shut_to(place: int) -> None:
+            """Closes what is open from that place of the stack on."""
+            nonlocal hidden
+            while len(stack) > place:
+                name, _ = stack.pop()
+                where[name].pop()
+                hidden -= name in UNSEEN
+
+        def latest(names: set[str]) -> int:
+            return max((where[x][-1] for x in names if where.get(x)), default=-1)
 
         def flush() -> None:
             if run:
-                text = " ".join(html.unescape("".join(run)).split())
+                text = " ".join("".join(run).split())
                 if text:
                     self.runs.append((stack[-1][1], text))
                 run.clear()
 
-        def close(name: str) -> None:
-            nonlocal hidden
-            while stack[-1][0] != name:
-                hidden -= stack.pop()[0] in UNSEEN
-            hidden -= stack.pop()[0] in UNSEEN
-
         def say(begin: int, end: int) -> None:
             if end > begin and not hidden:
-                run.append(source[begin:end])
+                piece = source[begin:end]
+                run.append(html.unescape(piece) if "&" in piece else piece)
                 if links:
                     self.link[stack[-1][1]] += end - begin
 
-        for m in TOKEN.finditer(source):
-            if m.start() < at:
+        opened("html", 0)
+        seek, quotes = 0, True
+        while (begin := source.find("<", seek)) >= 0:
+            if source.startswith("<!--", begin):
+                say(at, begin)
+                end = source.find("-->", begin + 4)
+                at = seek = length if end < 0 else end + 3
+                continue
+            if begin > last:  # no tag ends any more
+                break
+            if source[begin + 1] in "!?":
+                say(at, begin)
+                at = seek = source.find(">", begin) + 1
                 continue
-            say(at, m.start())
-            at = m.end()
-            if not m[2]:
+            m = NAME.match(source, begin)
+            if m is None:
+                seek = begin + 1
                 continue
-            name = m[2].lower()
-            if m[1]:
+            rest = REST.match(source, m.end()) if quotes else None
+            if rest is None:  # a quote is never closed: from here on tags end at their first bracket
+                quotes = False
+            end = rest.end() if rest else source.find(">", m.end()) + 1
+            if not end:
+                break
+            say(at, begin)
+            at = seek = end
+            inner, name = source[m.end() : end - 1], m[1].lower()
+            if source[begin + 1] == "/":
                 if name == "a":
                     links = 0
-                elif (name in BLOCKS or name in UNSEEN) and name not in ("html", "body") and any(t == name for t, _ in stack[1:]):
+                elif (name in BLOCKS or name in UNSEEN) and name not in ("html", "body") and where.get(name):
                     flush()
                     links = 0
-                    close(name)
+                    shut_to(where[name][-1])
                 elif name in BLOCKS:
                     flush()
                 continue
-            if name in RAW and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
+            if name in RAW and not inner.endswith("/"):
+                close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
+                stop = close.start() if close else length
                 if name not in UNSEEN:
-                    say(at, end.start())
-                at = end.end()
+                    say(at, stop)
+                at = seek = source.find(">", stop) + 1 or length
                 continue
             self.elements[stack[-1][1]] += 1
             if name == "a":
@@ -106,44 +141,39 @@ class Page:
                     continue
                 flush()
                 hidden += 1
-                stack.append((name, stack[-1][1]))
+                opened(name, stack[-1][1])
             elif name in BLOCKS:
-                if stack[-1][0] == "head" or (name == "body" and any(t == "head" for t, _ in stack)):
-                    close("head")
+                if stack[-1][0] == "head" or (name == "body" and where.get("head")):
+                    shut_to(where["head"][-1])
                 flush()
                 links = 0
                 if name in ("html", "hr"):
                     continue
-                if name in ENDS_P and any(t == "p" for t, _ in stack):
-                    close("p")
+                if name in ENDS_P and where.get("p"):
+                    shut_to(where["p"][-1])
                 if name in CLOSES:
-                    shut, stop = CLOSES[name]
-                    k = len(stack) - 1
-                    while k and stack[k][0] not in stop and stack[k][0] not in shut:
-                        k -= 1
-                    if k and stack[k][0] in shut:
-                        if name in ("tr",):
-                            while k > 1 and stack[k - 1][0] in shut:
-                                k -= 1
-                        while len(stack) > k:
-                            hidden -= stack.pop()[0] in UNSEEN
-                tokens, gold = set(), "data-gold" in m[3]
-                for a in ATTRIBUTE.finditer(m[3]):
-                    key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-                    if key in READ_ATTRIBUTES:
-                        tokens.update(x.lower() for x in PART.findall(value))
+                    shut, stops = CLOSES[name]
+                    k = latest(shut)
+                    if k > latest(stops):
+                        while name == "tr" and k > 1 and stack[k - 1][0] in shut:
+                            k -= 1
+                        shut_to(k)
+                tokens, gold = set(), "data-gold" in inner
+                for a in ATTRIBUTE.finditer(inner):
+                    if a[1].lower() in READ_ATTRIBUTES:
+                        tokens.update(x.lower() for x in PART.findall(a[2] or a[3] or a[4] or ""))
                 self.tag.append(name)
                 self.parent.append(stack[-1][1])
                 self.tokens.append(frozenset(tokens))
                 self.gold.append(gold)
                 self.link.append(0)
                 self.elements.append(0)
-                if name not in VOID and not m[3].endswith("/"):
-                    stack.append((name, len(self.tag) - 1))
+                if name not in VOID and not inner.endswith("/"):
+                    opened(name, len(self.tag) - 1)
         say(at, length)
         flush()
 
-    def features(self) -> np.ndarray:
+    def numbers(self) -> np.ndarray:
         n = len(self.tag)
         own, stops, words, pieces = (np.zeros(n) for _ in range(4))
         first = np.full(n, np.inf)
@@ -179,25 +209,32 @@ class Page:
             same[v] = seen[parent[v], self.tag[v]]
         up = np.maximum(parent, 0)
         per = lambda a, b: np.maximum(a, 0) / np.maximum(b, 1)
-        numbers = np.stack([
+        return np.stack([
             np.log1p(text), per(link, text), per(tags, text), per(stop, word), depth, per(first, place), per(text, place), children[up], per(same, children[up]),
             np.log1p(per(child_text[up] - text, children[up] - 1)), per(child_link[up] - link, child_text[up] - text), index, np.log1p(word), children, np.log1p(per(text, piece)),
             main_above, other_above, main_own, other_own, np.log1p(text[up]),
         ], 1)
-        marks = np.zeros((n, len(TAGS) + len(MAIN_TOKENS) + 2 * len(OTHER_TOKENS) + len(TAGS)))
-        base = len(TAGS)
-        for v in range(n):
-            if (t := TAG_AT.get(self.tag[v])) is not None:
-                marks[v, t] = 1
-            for x in self.tokens[v]:
-                if (k := TOKEN_AT.get(x)) is not None:
-                    marks[v, base + k] = 1
-        above = base + len(MAIN_TOKENS) + len(OTHER_TOKENS)
-        for v in range(1, n):
-            p = parent[v]
-            marks[v, above : above + len(OTHER_TOKENS)] = np.maximum(marks[p, above : above + len(OTHER_TOKENS)], marks[p, base + len(MAIN_TOKENS) : above])
-            marks[v, above + len(OTHER_TOKENS) :] = np.maximum(marks[p, above + len(OTHER_TOKENS) :], marks[p, :base])
-        return np.concatenate([numbers, marks], 1)
+
+    def marks(self) -> list[int]:
+        """A set of bits for each node: its tag, its main and other tokens, the other tokens and the tags above it."""
+        base, other = len(TAGS), len(TAGS) + len(MAIN_TOKENS)
+        above = other + len(OTHER_TOKENS)
+        own = []
+        for tag, tokens in zip(self.tag, self.tokens, strict=True):
+            bits = 1 << TAG_AT[tag] if tag in TAG_AT else 0
+            for x in tokens:
+                if x in TOKEN_AT:
+                    bits |= 1 << base + TOKEN_AT[x]
+            own.append(bits)
+        out = own[:1]
+        for v in range(1, len(own)):
+            p = self.parent[v]
+            up = (own[p] >> other) | (own[p] & ((1 << base) - 1)) << len(OTHER_TOKENS)
+            out.append(own[v] | (out[p] >> above << above) | up << above)
+        return out
+
+    def features(self) -> np.ndarray:
+        return dense(self.numbers(), self.marks())
 
     def labels(self) -> np.ndarray:
         """1 for nodes that lead to text of marked nodes."""
@@ -226,6 +263,13 @@ class Page:
         return "\n\n".join(text for v, text in self.runs if kept[v])
 
 
+def dense(numbers: np.ndarray, marks: list[int]) -> np.ndarray:
+    width = 2 * len(TAGS) + len(MAIN_TOKENS) + 2 * len(OTHER_TOKENS)
+    size = -(-width // 8)
+    bits = np.frombuffer(b"".join(m.to_bytes(size, "little") for m in marks), np.uint8).reshape(len(marks), size)
+    return np.concatenate([numbers, np.unpackbits(bits, axis=1, bitorder="little")[:, :width]], 1)
+
+
 MAIN, OTHER = frozenset(MAIN_TOKENS), frozenset(OTHER_TOKENS)
 TAG_AT = {t: i for i, t in enumerate(TAGS)}
 TOKEN_AT = {t: i for i, t in enumerate([*MAIN_TOKENS, *OTHER_TOKENS])}
@@ -377,7 +421,8 @@ def training_pages(n: int, seed: int = 3) -> Iterator[str]:
 
 #: The model is fitted on so many generated pages.
 TRAINING_PAGES = 600
-PAGES_AT_ONCE = 128
+#: Pages that are parsed together: so many, or fewer of that many characters; and nodes whose features are spread out at once (1.8 KB each).
+PAGES_AT_ONCE, CHARS_AT_ONCE, NODES_AT_ONCE = 128, 1 << 21, 1 << 14
 _fitted: dict[tuple[int, int], BoostedTrees] = {}
 
 
@@ -393,9 +438,12 @@ def fitted(n: int = TRAINING_PAGES, seed: int = 3) -> BoostedTrees:
 
 
 def main_texts(sources: list[str | None], model: BoostedTrees) -> list[str]:
-    """The main text of each page; the nodes of all pages are scored at once."""
+    """The main text of each page; nodes of several pages, or of a part of a large one, are scored at once."""
     pages = [Page(source or "") for source in sources]
-    odds = model(np.concatenate([page.features() for page in pages])) if pages else np.zeros(0)
+    if not pages:
+        return []
+    numbers, marks = np.concatenate([p.numbers() for p in pages]), [m for p in pages for m in p.marks()]
+    odds = np.concatenate([model(dense(numbers[i : i + NODES_AT_ONCE], marks[i : i + NODES_AT_ONCE])) for i in range(0, len(marks), NODES_AT_ONCE)])
     out, at = [], 0
     for page in pages:
         own = odds[at : at + len(page.tag)]
@@ -415,8 +463,10 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, PAGES_AT_ONCE):
-                b = whole.slice(i, PAGES_AT_ONCE)
+            sizes, i = pc.fill_null(pc.utf8_length(whole.column(2)), 0).to_numpy(zero_copy_only=False), 0
+            while i < whole.num_rows:
+                n = max(1, int(np.searchsorted(np.cumsum(sizes[i : i + PAGES_AT_ONCE]), CHARS_AT_ONCE, side="right")))
+                b, i = whole.slice(i, n), i + n
                 texts = main_texts(b.column(2).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
