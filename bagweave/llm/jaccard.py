@@ -53,6 +53,8 @@ LEAF, FANOUT = 32, 16
 FULL, UNBOUNDED = 65_535, 1 << 32
 #: Pairs with one class that are verified together.
 PAIRS_PER_TASK = 64
+#: Pairs that are few enough to broadcast (16 bytes each).
+FEW = 10_000
 
 
 def least_overlap(n: Column | np.ndarray | int, percent: int):
@@ -200,7 +202,7 @@ def answered(blobs: DataFrame, ranges: int) -> DataFrame:
 
 
 def listed(answers: DataFrame, ranges: int, percent: int) -> DataFrame:
-    """id, chunk, n and the tokens (in the global order, 8 bytes each) of each chunk's classes that share enough for a link."""
+    """id, n and the tokens (in the global order, 8 bytes each) of each chunk's classes that share enough for a link."""
 
     def lists(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         own = next((r for r in rows if r[2]), None)
@@ -222,7 +224,7 @@ def listed(answers: DataFrame, ranges: int, percent: int) -> DataFrame:
         keep = end - begin >= least_overlap(n, percent)
         begin, end, who, n = begin[keep], end[keep], who[keep], n[keep]
         yield batch(
-            "id chunk n tokens", pa.array([own[3][16 * w : 16 * w + 16] for w in who.tolist()], pa.binary()), np.full(len(who), own[1], np.int64), n,
+            "id n tokens", pa.array([own[3][16 * w : 16 * w + 16] for w in who.tolist()], pa.binary()), n,
             pa.array([tokens[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary()),
         )
 
@@ -237,7 +239,7 @@ def listed(answers: DataFrame, ranges: int, percent: int) -> DataFrame:
                 held.append(row)
         yield from lists(held)
 
-    return answers.repartition(ranges, "chunk").sortWithinPartitions("chunk").mapInArrow(stream, "id binary, chunk long, n long, tokens binary")
+    return answers.repartition(ranges, "chunk").sortWithinPartitions("chunk").mapInArrow(stream, "id binary, n long, tokens binary")
 
 
 # --- points and trees ------------------------------------------------------------------------
@@ -493,11 +495,14 @@ def downward(levels: list[DataFrame], percent: int) -> DataFrame:
 def verified(lists: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked: 100 * shared >= percent * (both - shared).
 
-    A task has a class and up to PAIRS_PER_TASK others; a list goes once to each task that compares it.
+    A task has a class and up to PAIRS_PER_TASK others; a list goes once to each task that compares it. If the pairs name at most FEW
+    classes, these are broadcast to the lists instead of dealing all lists.
     """
     many = pairs.groupBy(F.col("b").alias("center")).agg(F.ceil(F.count("*") / PAIRS_PER_TASK).alias("parts"))
     pairs = cut(pairs.join(many, F.col("b") == F.col("center")).select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("task")))
     sides = pairs.select("task", F.col("a").alias("cid")).unionAll(pairs.select("task", F.col("b").alias("cid"))).distinct()
+    if pairs.limit(FEW + 1).count() <= FEW:
+        sides = F.broadcast(sides)
     none = F.lit(None)
     rows = lists.join(sides, "cid").select("task", "cid", none.cast("long").alias("b"), "n", "tokens")
     rows = rows.unionAll(pairs.select("task", F.col("a").alias("cid"), "b", none.cast("long"), none.cast("binary")))
@@ -533,9 +538,8 @@ def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     total = profile.agg(F.sum("n")).first()[0] or 0
     ranges = max(partitions(docs.sparkSession), -(-total // RANGE))
-    raw = cut(listed(answered(sent(docs.filter("doc_id is not null"), ranges), ranges), ranges, percent))
-    named = cut(raw.groupBy("id").agg(F.min("chunk").alias("chunk")).join(classes, "id").select("id", "chunk", "cid"))  # a class of several chunks counts once
-    lists = cut(raw.join(named, ["id", "chunk"]).select("cid", "n", "tokens"))
+    raw = listed(answered(sent(docs.filter("doc_id is not null"), ranges), ranges), ranges, percent)
+    lists = cut(raw.dropDuplicates(["id"]).join(classes, "id").select("cid", raw["n"], "tokens"))  # a class of several chunks has one list
 
     first = cut(entries_of(lists, percent))
     members = F.struct(F.count("*"), F.bit_xor(F.xxhash64("cid")), F.sum(F.shiftright(F.xxhash64("cid", F.lit(1)), 24)))
@@ -554,7 +558,7 @@ def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     links = links.unionAll(cut(verified(lists, more, percent)))
     groups = connected_components(links, "a", "b").select(F.col("id").alias("gid"), "component")
     linked = cut(classes.join(groups, F.col("cid") == F.col("gid"), "left").withColumn("component", F.coalesce("component", "cid")))
-    least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
+    least = cut(linked.groupBy("component").agg(F.min("first").alias("component_id")))  # by itself, so that a large component's classes may be split
     return profile, linked.join(least, "component").select(F.col("id").alias("nid"), "first", "component", "component_id")
 
 
