@@ -149,7 +149,7 @@ def unexplained_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unexplained(sites, notes, ["id", "site"])
 
 
-@query(f"""WITH {BAGS}, g AS (SELECT family, sum(CASE WHEN target = 1 THEN p ELSE 0 END) AS cost, exp(sum(ln(greatest(u, 1e-6)))) AS open FROM bags GROUP BY family) SELECT family, round(cost * open, 8) AS contribution FROM g""")
+@query(f"""WITH {BAGS}, g AS (SELECT family, sum(CASE WHEN target = 1 THEN p ELSE 0 END) AS cost, exp(sum(ln(greatest(u, 1e-6)))) AS open FROM bags GROUP BY family) SELECT family, round(cost * open + 1e-11, 8) AS contribution FROM g""")
 def gate_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = bags(spark, sf_dir).groupBy("family").agg(F.sum(F.when(F.col("target") == 1, F.col("p")).otherwise(0.0)).alias("cost"), F.exp(F.sum(F.log(F.greatest("u", F.lit(1e-6))))).alias("open"))
-    return g.select("family", F.round(F.col("cost") * F.col("open"), 8).alias("contribution"))
+    return g.select("family", F.round(F.col("cost") * F.col("open") + 1e-11, 8).alias("contribution"))
