@@ -501,7 +501,7 @@ def verified(lists: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     many = pairs.groupBy(F.col("b").alias("center")).agg(F.ceil(F.count("*") / PAIRS_PER_TASK).alias("parts"))
     pairs = cut(pairs.join(many, F.col("b") == F.col("center")).select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("task")))
     sides = pairs.select("task", F.col("a").alias("cid")).unionAll(pairs.select("task", F.col("b").alias("cid"))).distinct()
-    if pairs.limit(FEW + 1).count() <= FEW:
+    if pairs.count() <= FEW:
         sides = F.broadcast(sides)
     none = F.lit(None)
     rows = lists.join(sides, "cid").select("task", "cid", none.cast("long").alias("b"), "n", "tokens")

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +40,18 @@ BLOCK, FAN, LEVELS = 1024, 8, 8
 PLACES = 128
 #: Bytes that one suffix array takes, but for a single group.
 ARRAY_BYTES = 1 << 16
+#: Keys that a filter is broadcast for (a bit map of 32 bits a key, 32 MB at most); beyond, documents are joined with what is wanted of them.
+FILTERED = 1 << 23
 #: Stands for a null doc_id, which counts as the last.
 LAST = (1 << 63) - 1
 CHUNK = 1 << 25
 
 
 def suffix_order(text: list[int]) -> list[int]:
-    """The suffix array of a list of small integers that ends in a 0 found nowhere else."""
+    """The suffix array of a list of small integers that ends in a 0 found nowhere else.
+
+    Every suffix is looked at and moved a bounded number of times; groups are sorted by position, which adds a logarithm of their size.
+    """
     n = len(text)
     codes = np.array(text)
     by_char = np.argsort(codes, kind="stable")
@@ -73,9 +79,11 @@ def suffix_order(text: list[int]) -> list[int]:
         end = start
         if not count:
             continue
-        most = max(count.values())
-        for k in range(most, 0, -1) if most > 1 else (1,):
-            moved = count if most == 1 else [p for p, c in count.items() if c == k]
+        by_count: dict[int, list[int]] = {}
+        for p, c in count.items():
+            by_count.setdefault(c, []).append(p)
+        for k in sorted(by_count, reverse=True):
+            moved = by_count[k]
             for p in moved:
                 g = group[p]
                 left = size[g] - 1
@@ -254,19 +262,29 @@ def judged_runs(runs: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("key", "context", "doc", "first").mapInArrow(stream, "doc long, place long, level int, key long")
 
 
-def cut_contexts(docs: DataFrame, wanted: Members, crowded: list[Members]) -> DataFrame:
+def cut_contexts(docs: DataFrame, wanted: Members | None, crowded: list[Members]) -> DataFrame:
     """group, block, parts, h, string, doc, first of the wanted runs, cut at HALF bytes left of the anchor.
 
-    Contexts of an anchor that ``crowded[i]`` holds are dealt over FAN ** (i + 1) blocks by their string.
+    Without a filter the documents carry ``wanted``, the first starts of their wanted runs. Contexts of an anchor that
+    ``crowded[i]`` holds are dealt over FAN ** (i + 1) blocks by their string.
     """
     shared = docs.sparkSession.sparkContext.broadcast((wanted, crowded))
 
+    def hits(rows: pa.RecordBatch, runs: Runs, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+        wanted = shared.value[0]
+        if wanted is not None:
+            return np.flatnonzero(wanted(run_mark(doc, first)))
+        lists = rows.column(rows.schema.get_field_index("wanted"))
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        asked = set(zip(row.tolist(), lists.flatten().to_numpy().tolist(), strict=True))
+        return np.array([i for i, k in enumerate(zip(runs.row.tolist(), first.tolist(), strict=True)) if k in asked], np.int64)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, crowded = shared.value
+        crowded = shared.value[1]
         for rows, raw, at in pieces(batches):
             runs = Runs(raw, at)
             doc = doc_ids(rows)[runs.row]
-            hit = np.flatnonzero(wanted(run_mark(doc, runs.first - at[runs.row])))
+            hit = hits(rows, runs, doc, runs.first - at[runs.row])
             doc, base, p, a, b, key = doc[hit], at[runs.row[hit]], runs.place[hit], runs.first[hit], runs.last[hit], runs.key[hit]
             parts = np.ones(len(hit), np.int64)
             for i, level in enumerate(crowded):
@@ -359,7 +377,12 @@ def removed_spans(docs: DataFrame) -> DataFrame:
             yield record("mark", run_mark(b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy() // PLACES))
 
     counts = {r["level"]: r["n"] for r in firsts.groupBy("level").agg(F.count("*").alias("n")).collect()}
-    wanted = members(firsts.select("doc", "place").mapInArrow(mark, "mark long"), "mark", sum(counts.values()))
+    wanted = None
+    if sum(counts.values()) <= FILTERED:
+        wanted = members(firsts.select("doc", "place").mapInArrow(mark, "mark long"), "mark", sum(counts.values()))
+    else:
+        places = firsts.groupBy("doc").agg(F.collect_list(F.floor(F.col("place") / PLACES).cast("long")).alias("wanted"))  # the runs of one document
+        docs = docs.join(places, F.coalesce("doc_id", F.lit(LAST)) == F.col("doc")).select("doc_id", "text", "wanted")
     crowded = [members(firsts.filter(F.col("level") == i), "key", counts[i]) for i in range(1, max(counts, default=0) + 1)]
     spans = cut(array_spans(cut_contexts(docs, wanted, crowded)))
     rivals = spans.filter("d1 is not null")
@@ -379,7 +402,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     spans = removed_spans(docs).groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     spans = cut(spans)
-    touched = docs.sparkSession.sparkContext.broadcast(members(spans, "doc", spans.count()))
+    many = spans.count()
+    touched = docs.sparkSession.sparkContext.broadcast(members(spans, "doc", many)) if many <= FILTERED else None
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     names = "doc_id n_bytes n_removed n_spans kept_sha256"
 
@@ -410,6 +434,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield record(names, rows.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(),) * 3 + (pa.string(),), strict=True)))
 
+    if touched is None:
+        joined = docs.join(spans, F.coalesce("doc_id", F.lit(LAST)) == F.col("doc"), "left").select("doc_id", "text", "spans")
+        return joined.mapInArrow(clean, result)
     untouched = docs.mapInArrow(whole, result)
     texts = docs.mapInArrow(hit, docs.schema)
     joined = texts.join(spans, F.coalesce("doc_id", F.lit(LAST)) == F.col("doc"), "left").select("doc_id", "text", "spans")

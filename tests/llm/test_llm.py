@@ -209,9 +209,10 @@ def test_decontamination_scattered(spark, monkeypatch):
     assert {x["doc_id"] for x in decontamination.without_leaks(docs, bench).collect()} == set(texts) - {i for i, _ in want}
 
 
-@pytest.mark.parametrize("block", [1024, 2])
-def test_suffix_dedup(spark, texts, monkeypatch, block):
+@pytest.mark.parametrize(("block", "filtered"), [(1024, 1 << 23), (2, 1 << 23), (2, 0)])
+def test_suffix_dedup(spark, texts, monkeypatch, block, filtered):
     monkeypatch.setattr(suffixes, "BLOCK", block)
+    monkeypatch.setattr(suffixes, "FILTERED", filtered)
     monkeypatch.setattr(suffixes, "FAN", 2)
     want = brute.dedup(list(texts.items()))
     got = {x["doc_id"]: tuple(x)[1:] for x in suffixes.deduplicated(frame(spark, texts, [(None, texts[3], None, None), (131, None, None, None)])).collect()}
