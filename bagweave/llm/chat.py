@@ -27,7 +27,7 @@ def unescaped(text: Column) -> Column:
 
 
 def format_chat(rows: DataFrame) -> DataFrame:
-    """conv_id and formatted: one row for each conversation.
+    """conv_id, formatted and loss_spans (start, end: code points of formatted under the loss mask, one span for each assistant turn): one row for each conversation.
 
     Defined cases: a null role or text is empty; turns sort by turn (null first), then role, then text, so ties
     and repeated rows are all kept in a fixed order; a null conv_id is one conversation; an empty table
@@ -35,18 +35,24 @@ def format_chat(rows: DataFrame) -> DataFrame:
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    opened = lambda t: F.concat(F.lit(OPEN), escaped(t["role"]), F.lit(BODY), escaped(t["text"]))
-    start = F.struct(F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("parts"))
+    opened = lambda t: F.concat(F.lit(OPEN), escaped(t["role"]), F.lit(BODY))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    start = F.struct(F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"), none.alias("loss"))
 
     def merged(state: Column, t: Column) -> Column:
-        mark = F.when(state["role"].isNull(), opened(t)).when(state["role"] == t["role"], F.concat(F.lit(PART), escaped(t["text"]))).otherwise(F.concat(F.lit(END), opened(t)))
-        return F.struct(t["role"].alias("role"), F.concat(state["parts"], F.array(mark)).alias("parts"))
+        same = state["role"] == t["role"]
+        lead = F.when(state["role"].isNull(), opened(t)).when(same, F.lit(PART)).otherwise(F.concat(F.lit(END), opened(t)))
+        begin = state["at"] + F.length(lead)
+        end = begin + F.length(escaped(t["text"]))
+        loss = F.when(t["role"] == ASSISTANT, F.concat(state["loss"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(state["loss"])
+        return F.struct(t["role"].alias("role"), F.concat(state["parts"], F.array(lead, escaped(t["text"]))).alias("parts"), end.alias("at"), loss.alias("loss"))
 
-    return turns.select("conv_id", F.aggregate("turns", start, merged, lambda s: F.concat(F.array_join(s["parts"], ""), F.lit(END))).alias("formatted"))
+    done = turns.select("conv_id", F.aggregate("turns", start, merged).alias("s"))
+    return done.select("conv_id", F.concat(F.array_join("s.parts", ""), F.lit(END)).alias("formatted"), F.col("s.loss").alias("loss_spans"))
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text) and formatted, read from the formatted text alone."""
+    """Adds turns (role, text), read from the formatted text alone."""
     blocks = F.filter(F.split("formatted", r"<\|end\|>", -1), lambda b: b != "")
 
     def turns(block: Column) -> Column:
@@ -54,13 +60,13 @@ def read_chat(formatted: DataFrame) -> DataFrame:
         body = F.substring(block, F.length(role) + F.lit(len(OPEN) + len(BODY) + 1), F.length(block))
         return F.transform(F.split(body, r"<\|part\|>", -1), lambda t: F.struct(unescaped(role).alias("role"), unescaped(t).alias("text")))
 
-    return formatted.select("conv_id", F.flatten(F.transform(blocks, turns)).alias("turns"), "formatted")
+    return formatted.withColumn("turns", F.flatten(F.transform(blocks, turns)))
 
 
 def chat_digest(formatted: DataFrame) -> DataFrame:
-    """What the format holds, by reading it back."""
+    """What the format holds, by reading it back: turns from the text, the loss from the text under the mask."""
     back = read_chat(formatted)
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == ASSISTANT), lambda t: t["text"]), "")
+    loss = F.array_join(F.transform("loss_spans", lambda m: unescaped(F.substring("formatted", m["start"] + 1, m["end"] - m["start"]))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),

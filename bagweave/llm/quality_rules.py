@@ -27,6 +27,8 @@ SYMBOLS = b"[#*$%&|<>]"[1:-1]
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: The bound on false rejection in a stratum, the chance that any bound fails, and the levels, lenient first (share of good proposal documents beyond a cutoff).
 ALPHA, DELTA = 0.05, 0.05
+#: Strata whose cutoffs are broadcast (some 100 bytes each); more are joined.
+FEW_STRATA = 10_000
 LEVELS = (0.0, 0.0005, 0.001, 0.002)
 RATES = ("symbol_rate", "line_rate", "repeat_rate", "upper_rate")
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
@@ -109,25 +111,33 @@ def tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(math.exp(x) for x in logs))
 
 
-def chosen_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> list[tuple]:
-    """(lang, cutoff of each rate) of the strata with a passed level. The driver sees one row for each stratum."""
+def chosen_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum and the cutoff of each rate, for the strata with a passed level. Equal rows of one document are one trial."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select(F.col("doc_id").alias("good_id"))
-    rows = stats.join(good, F.col("doc_id") == F.col("good_id")).withColumns(rates()).withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    rows = stats.join(good, F.col("doc_id") == F.col("good_id")).dropDuplicates()
+    rows = rows.withColumns(rates()).withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
     quantiles = F.array(*(F.lit(1.0 - level) for level in LEVELS))
-    proposed = rows.filter("half = 0").groupBy("lang").agg(*(F.percentile_approx(r, quantiles, 10000).alias(f"cut_{r}") for r in RATES)).withColumnRenamed("lang", "stratum")
-    tested = rows.filter("half = 1").join(F.broadcast(proposed) if proposed.limit(1000).count() < 1000 else proposed, F.col("lang") == F.col("stratum"))
+    proposed = cut(rows.filter("half = 0").groupBy("lang").agg(*(F.percentile_approx(r, quantiles, 10000).alias(f"cut_{r}") for r in RATES)).withColumnRenamed("lang", "stratum"))
+    tested = rows.filter("half = 1").join(F.broadcast(proposed) if proposed.count() <= FEW_STRATA else proposed, F.col("lang") == F.col("stratum"))
     fails = [F.count_if(F.greatest(*(F.col(r) > F.col(f"cut_{r}")[i] for r in RATES))).alias(f"k{i}") for i in range(len(LEVELS))]
-    summary = tested.groupBy("lang").agg(F.count("*").alias("n"), *fails, *(F.first(f"cut_{r}").alias(f"cut_{r}") for r in RATES)).collect()
-    out = []
-    for s in sorted(summary, key=lambda s: s["lang"]):
-        passed = None
-        for i in range(len(LEVELS)):
-            if tail(s[f"k{i}"], s["n"], alpha) > delta / len(summary):
-                break
-            passed = i
-        if passed is not None:
-            out.append((s["lang"], *(float(s[f"cut_{r}"][passed]) for r in RATES)))
-    return out
+    summary = cut(tested.groupBy(F.col("lang").alias("stratum")).agg(F.count("*").alias("n"), *fails, *(F.first(f"cut_{r}").alias(f"cut_{r}") for r in RATES)))
+    strata = summary.count()
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for s in b.to_pylist():
+                passed = None
+                for i in range(len(LEVELS)):
+                    if tail(s[f"k{i}"], s["n"], alpha) > delta / strata:
+                        break
+                    passed = i
+                if passed is not None:
+                    out.append((s["stratum"], *(float(s[f"cut_{r}"][passed]) for r in RATES)))
+            columns = list(zip(*out, strict=True)) or [[]] * (1 + len(RATES))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] + [pa.float64()] * len(RATES), strict=True)], ["stratum", *(f"limit_{r}" for r in RATES)])
+
+    return cut(summary.mapInArrow(test, "stratum string, " + ", ".join(f"limit_{r} double" for r in RATES)))
 
 
 def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -139,10 +149,9 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
     """
     stats = cut(measured(docs))
     cutoffs = chosen_cutoffs(stats, labels, alpha, delta)
+    cutoffs = F.broadcast(cutoffs) if cutoffs.count() <= FEW_STRATA else cutoffs
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    lang, rate = F.coalesce(F.col("lang"), F.lit("")), rates()
-    beyond = F.lit(False)
-    for stratum, *limits in cutoffs:
-        over = [rate[r] > limit for r, limit in zip(RATES, limits, strict=True)]
-        beyond = beyond | ((lang == stratum) & (over[0] | over[1] | over[2] | over[3]))
-    return stats.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~beyond)
+    rate = rates()
+    beyond = F.coalesce(F.greatest(*(rate[r] > F.col(f"limit_{r}") for r in RATES)), F.lit(False))
+    rows = stats.join(cutoffs, F.coalesce("lang", F.lit("")) == F.col("stratum"), "left")
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~beyond).drop("stratum", *(f"limit_{r}" for r in RATES))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -303,6 +306,10 @@ def test_chat(spark):
         loss = "".join(x for _, r, x in own if r == "assistant")
         assert (got[conv]["n_turns"], got[conv]["turns_sha256"]) == (len(own), brute.sha("".join(f"{r}\n{x}\n" for _, r, x in own)))
         assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(loss), brute.sha(loss))
+    for x in chat.format_chat(df).collect():
+        masked = [x["formatted"][m["start"] : m["end"]] for m in x["loss_spans"]]
+        said = sorted((t, x2 or "") for c, t, r, x2 in turns if c == x["conv_id"] and r == "assistant")
+        assert [m.replace("&lt;", "<").replace("&amp;", "&") for m in masked] == [t for _, t in said]
     one = chat.format_chat(df.filter("conv_id = 1")).first()["formatted"]
     assert one.count(chat.OPEN) == 3 and one.count(chat.PART) == 2
     assert chat.format_chat(df.limit(0)).count() == 0
@@ -329,6 +336,54 @@ def test_rules_bound_false_rejection(spark):
     assert quality_rules.tail(0, 10, 0.5) == pytest.approx(0.5**10) and quality_rules.tail(3, 3, 0.2) == pytest.approx(1)
 
 
+def plain_verdicts(rows: list[tuple], labels: dict[int, int]) -> list[bool]:
+    """kept of (doc_id, text, lang) rows by the definition: levels tested in order on the half of the good documents that didn't propose them."""
+    measures = []
+    for i, text, lang in rows:
+        t = text or ""
+        words = brute.WORD.findall(t)
+        lines = [x for x in t.split("\n") if brute.WORD.search(x)]
+        counts = brute.rules(t)
+        upper = sum(c.isascii() and c.isupper() for c in t)
+        rates = (counts[2] / max(len(words), 1), counts[3] / max(len(lines), 1), counts[4] / max(len(words), 1), upper / max(counts[1], 1))
+        measures.append((i, lang or "", rates, counts[5], counts))
+    limits = {}
+    halves: dict = {}
+    for i, lang, rates, _, counts in {(m[0], m[1], m[2], m[3], m[4]) for m in measures}:
+        if labels.get(i) == 1:
+            half = xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest()
+            half = (half - (1 << 64) if half >> 63 else half) % 2
+            halves.setdefault(lang, ([], []))[half].append(rates)
+    strata = sum(bool(a and b) for a, b in halves.values())
+    for lang, (proposing, testing) in halves.items():
+        passed = None
+        for level in quality_rules.LEVELS if proposing and testing else ():
+            cut = [sorted(r[k] for r in proposing)[max(0, math.ceil((1 - level) * len(proposing)) - 1)] for k in range(4)]
+            bad = sum(any(r[k] > cut[k] for k in range(4)) for r in testing)
+            chance = sum(math.comb(len(testing), j) * quality_rules.ALPHA**j * (1 - quality_rules.ALPHA) ** (len(testing) - j) for j in range(bad + 1))
+            if chance > quality_rules.DELTA / strata:
+                break
+            passed = cut
+        if passed:
+            limits[lang] = passed
+    return [not failed and not (lang in limits and any(rates[k] > limits[lang][k] for k in range(4))) for _, lang, rates, failed, _ in measures]
+
+
+def test_rule_verdicts(spark):
+    """Every verdict against the definition; three languages, one with too few labels, repeated rows, null texts and languages."""
+    r = random.Random(81)
+    odd = lambda t: r.choice([t, t.upper(), t.replace(" ", " # "), "\n".join([t[:60]] * 4)])
+    rows = [(i, prose(r.randint(15, 60), r) if i % 5 or i % 100 == 0 else odd(prose(r.randint(15, 60), r)), r.choice(["en", "en", "de", None])) for i in range(1200)] + [(2000 + i, prose(30, r), "xx") for i in range(20)]
+    rows += [rows[5], rows[5], (3000, None, "en"), (3001, "", None)]
+    labels = {i: int(i % 5 > 0 or i % 200 == 0) for i, _, _ in rows if i % 7 and i < 2020}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n", F.lit("x")).withColumn("stratum", F.lit(1))
+    got = quality_rules.judged(docs, spark.createDataFrame([(i, q) for i, q in labels.items()], "doc_id long, quality int")).collect()
+    want = plain_verdicts(rows, labels)
+    assert sorted((x["doc_id"], x["kept"]) for x in got) == sorted((row[0], k) for row, k in zip(rows, want, strict=True))
+    method = [k for (i, t, _), k in zip(rows, want, strict=True) if not k and not brute.rules(t or "")[5]]
+    assert len(method) > 20
+
+
 def test_mixing(spark, texts):
     more = [(600, None, None, None), (601, "w " * 5, None, None), (602, "w " * 5000, None, "s0"), (3, texts[3], "en", "s3")]
     docs = frame(spark, texts, more)
