@@ -23,4 +23,4 @@ def query(oracle: str | None = None, name: str | None = None):
     return add
 
 
-from bagweave.plans import asset_queries, bag_queries, field_queries, link_queries, member_queries, policy_queries, record_queries, spatial_queries, strata_queries, structure_queries, study_queries  # noqa: E402, F401
+from bagweave.plans import asset_queries, bag_queries, field_queries, file_queries, link_queries, member_queries, policy_queries, record_queries, spatial_queries, strata_queries, structure_queries, study_queries  # noqa: E402, F401
