@@ -104,11 +104,12 @@ def gated_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.gated_scan(r, ["trial"], "attempt", "g", "metric").select("trial", F.round("state", 5).alias("state"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BAGS}, l AS (SELECT list(p) AS ps FROM bags), b(i, low, high) AS (SELECT 0, -30.0::DOUBLE, 30.0::DOUBLE UNION ALL SELECT i + 1, CASE WHEN m < .2 THEN mid ELSE low END, CASE WHEN m < .2 THEN high ELSE mid END FROM (SELECT i, low, high, (low + high) / 2 AS mid, list_avg(list_transform(ps, lambda x: 1 / (1 + exp(-(x + (low + high) / 2))))) AS m FROM b, l WHERE i < 64)),
+c AS (SELECT (low + high) / 2 AS bias FROM b WHERE i = 64) SELECT round(bias, 9) AS bias, round(avg(1 / (1 + exp(-(p + bias)))), 6) AS mean FROM bags, c GROUP BY bias""")
 def prevalence_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bags(spark, sf_dir)
     bias = ops.matching_bias(b, "p", 0.2)
-    return b.agg(F.lit(bias).alias("bias"), F.round(F.avg(1 / (1 + F.exp(-(F.col("p") + bias)))), 6).alias("mean"))
+    return b.agg(F.lit(round(bias, 9)).alias("bias"), F.round(F.avg(1 / (1 + F.exp(-(F.col("p") + bias)))), 6).alias("mean"))
 
 
 CURVE2 = """c AS (SELECT user_id % 20 AS run, event_type AS stratum, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS epoch, arg_max(value, event_id) / 1000.0::DOUBLE AS g, arg_max(event_id % 97, event_id) / 97.0::DOUBLE AS s FROM events GROUP BY 1, 2, 3)"""

@@ -101,7 +101,9 @@ def relation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.relation_messages(b, nodes, {"single": 0.5, "double": 1.5}).withColumn("message", F.round("message", 6))
 
 
-@query()
+@query(f"""WITH {ATOMS}, n AS (SELECT k, 1 - (2 * k + 1) / 96.0::DOUBLE AS z FROM (SELECT unnest(generate_series(0, 95)) AS k)), u AS (SELECT k, sqrt(1 - z * z) * cos(k * pi() * (3 - sqrt(5))) AS x, sqrt(1 - z * z) * sin(k * pi() * (3 - sqrt(5))) AS y, z FROM n),
+a AS (SELECT atom, k, atoms.x + (radius + .1) * u.x AS x, atoms.y + (radius + .1) * u.y AS y, atoms.z + (radius + .1) * u.z AS z FROM atoms, u), g AS (SELECT a.atom, count(DISTINCT k) AS gone FROM a JOIN atoms b ON a.atom <> b.atom AND sqrt({D2}) < b.radius + .1 - 1e-9 GROUP BY a.atom)
+SELECT atoms.atom, round((1 - coalesce(gone, 0) / 96.0::DOUBLE) * 4 * pi() * (radius + .1) * (radius + .1), 6) AS area FROM atoms LEFT JOIN g ON g.atom = atoms.atom""")
 def exposed_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = table(spark, sf_dir, "region").filter("r_regionkey = 0").select("r_regionkey")
     area = ops.exposed_area(atoms(spark, sf_dir), fibonacci_sphere(one, 96).select("k", "x", "y", "z"), 0.1, 0.4, 96)
