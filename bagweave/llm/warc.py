@@ -41,9 +41,11 @@ def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
     marks = rows.select("page_id", "mark", F.octet_length("html").alias("bytes"))
     firsts = marks.groupBy("mark").agg(F.min("page_id").alias("first_id")).withColumnRenamed("mark", "m")
     repeats = marks.filter(F.col("bytes") >= least).join(firsts, F.col("mark") == F.col("m")).filter("page_id > first_id or page_id is null and first_id is not null")
-    repeats = repeats.select(F.col("page_id").alias("p"), F.col("mark").alias("m"), "first_id").distinct()
-    planned = rows.join(repeats, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("mark") == F.col("m")), "left").select("page_id", "url", "html", F.coalesce("first_id", "page_id").alias("first_id"), "mark")
-    return planned.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "mark").orderBy("url"))).drop("mark")
+    # one dealing of the html serves the join and the numbering: both go by these keys
+    keyed = lambda df: df.withColumn("page_key", F.coalesce("page_id", F.lit(0).cast("long"))).withColumn("no_page", F.col("page_id").isNull())
+    keys = ["page_key", "no_page", "mark"]
+    planned = keyed(rows).join(keyed(repeats).select(*keys, "first_id").distinct(), keys, "left").withColumn("first_id", F.coalesce("first_id", "page_id"))
+    return planned.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("url"))).select("page_id", "url", "html", "first_id", "nth")
 
 
 def record_id(page_id: int | None, digest: str, nth: int = 1) -> str:
