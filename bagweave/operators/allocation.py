@@ -7,6 +7,7 @@ distinct stratum with its count), not on the records; what they decide is joined
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections import Counter, defaultdict
 from collections.abc import Mapping, Sequence
 
@@ -96,15 +97,20 @@ def nested_subsets(rows: DataFrame, group: str, strata: Sequence[str], fractions
         seen: dict[str, Counter] = defaultdict(Counter)
         left = {getattr(r, group): r for r in pdf.itertuples(index=False)}
         ranks = {g: rank_key(f"{seed}{replicate}", g) for g in left}
-        out, place = [], 0
-        while left:
-            g = min(left, key=lambda g: (tuple(sum(n * seen[s][v] for v, n in getattr(left[g], s)) for s in strata), ranks[g]))
-            r = left.pop(g)
+        cost = lambda g: (tuple(sum(n * seen[s][v] for v, n in getattr(left[g], s)) for s in strata), ranks[g])
+        heap = [(cost(g), g) for g in left]  # costs only grow, so an entry that is still true when it comes up is the least
+        heapq.heapify(heap)
+        out = []
+        while heap:
+            told, g = heapq.heappop(heap)
+            if (now := cost(g)) != told:
+                heapq.heappush(heap, (now, g))
+                continue
+            r = left[g]
             for s in strata:
                 for v, n in getattr(r, s):
                     seen[s][v] += n
-            place += 1
-            out.append((g, place, int(r.size_)))
+            out.append((g, len(out) + 1, int(r.size_)))
         return pd.DataFrame(out, columns=[group, "place", "size"])
 
     table = group_table(rows, group, strata).withColumnRenamed("size", "size_")
@@ -130,8 +136,6 @@ def diverse_choice(rows: DataFrame, identifier: str, group: str, strata: Sequenc
     counted = cells.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_rank").alias("_first"))
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
         records = pdf.to_dict("records")
         seen, taken = Counter(), Counter()
         key = lambda i: (records[i]["_pref"], *(seen[k, records[i][k]] for k in keys[1:]), records[i]["_first"])

@@ -135,13 +135,15 @@ def surface_normals(points: DataFrame, by: str, k: int = 8) -> DataFrame:
     """Per point: the direction of least spread of its k nearest, turned away from the structure's centre."""
 
     def normals(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("atom")
         x = pdf[["x", "y", "z"]].to_numpy()
-        d = ((x[:, None] - x[None]) ** 2).sum(2)
-        out = np.empty_like(x)
-        for i, row in enumerate(d):
-            near = x[np.lexsort((pdf["atom"].to_numpy(), row))[: k + 1]]
-            n = np.linalg.eigh(np.cov((near - near.mean(0)).T))[1][:, 0]
-            out[i] = n if (x[i] - x.mean(0)) @ n >= 0 else -n
+        out, middle = np.empty_like(x), x.mean(0)
+        for b in range(0, len(x), 256):  # distances of a block to all; rows are in id order, so ties go to the lower id
+            d = ((x[b : b + 256, None] - x[None]) ** 2).sum(2)
+            for i, order in enumerate(np.argsort(d, axis=1, kind="stable")[:, : k + 1], b):
+                near = x[order]
+                n = np.linalg.eigh(np.cov((near - near.mean(0)).T))[1][:, 0]
+                out[i] = n if (x[i] - middle) @ n >= 0 else -n
         return pd.DataFrame({"atom": pdf["atom"], "nx": out[:, 0], "ny": out[:, 1], "nz": out[:, 2]})
 
     return grouped_kernel(points, by, normals, "atom long, nx double, ny double, nz double")
