@@ -247,6 +247,33 @@ def test_jaccard_join(spark, texts, monkeypatch, leaf, fanout, chunk, spread):
     assert len({c for _, c in want.values()}) < len(want) - 20
 
 
+def test_jaccard_family(spark, monkeypatch):
+    """A family whose members are about as alike as the threshold, with parts that many share, among others; small leaves, chunks and ranges."""
+    for name, value in (("LEAF", 4), ("FANOUT", 2), ("CHUNK", 900), ("RANGE", 400), ("PAIRS_PER_TASK", 3), ("FEW", 0)):
+        monkeypatch.setattr(jaccard, name, value)
+    r = random.Random(52)
+    base = prose(90, r)
+    family = [base]
+    for i in range(50):
+        family.append(edited(r.choice(family[-8:]), (0.01, 0.03, 0.05)[i % 3], r))
+    line = prose(12, r)
+    texts = dict(enumerate(family)) | {100 + i: prose(25, r) + " " + line for i in range(20)} | {200 + i: line for i in range(3)} | {300: "a b c", 301: "A b C", 302: "a b", 303: ""}
+    got = {x["doc_id"]: tuple(x)[1:] for x in jaccard.linked(frame(spark, texts)).collect()}
+    want = brute.components(texts)
+    assert got == want
+    assert 3 < len({c for _, c in (want[i] for i in range(51))}) < 45
+
+
+def test_jaccard_thue_morse(spark):
+    """Words that a polynomial hash of any odd base modulo a power of two takes for one another are told apart."""
+    bits = "0"
+    while len(bits) < 4096:
+        bits += "".join("10"[int(b)] for b in bits)
+    one = bits.replace("0", "x").replace("1", "y")
+    df = spark.createDataFrame([(1, one), (2, bits.replace("1", "x").replace("0", "y")), (3, one.upper())], "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in jaccard.linked(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_jaccard_edges(spark):
     assert jaccard.linked(spark.createDataFrame([], EMPTY)).count() == 0
     df = spark.createDataFrame([(2, "a b c d e f", "en", "s"), (2, "a b c d e f", "en", "s"), (None, "a b c d e f", "en", "s"), (None, "q r s t u v", "en", "s"), (1, "A B C D E F", "en", "s")], EMPTY)
@@ -455,6 +482,30 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "source mixing"]
 
 
+def test_pipeline_odd_rows(spark):
+    """Every stage on rows without ids, texts or sources, repeated rows, and columns named like those used inside; all columns stay as they are."""
+    r = random.Random(91)
+    rows = [(i, prose(40, r), "en", f"s{i % 3}") for i in range(30)]
+    rows += [rows[3], rows[3], (None, prose(40, r), None, None), (None, None, None, None), (40, "", "en", "s0"), (41, None, "en", "s1"), (7, prose(40, r), "de", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    extra = ["set_id", "set_row", "mix_key", "taken", "hex", "entropy", "id", "n", "score", "size", "component", "wanted"]
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in extra}).repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, rows[5][1]), (2, None)], "item_id long, text string")
+    steps = [lambda d: quality_knn.good_documents(d, labels, 0.0), jaccard.representatives, lambda d: decontamination.without_leaks(d, bench), secrets.redact_secrets, mixing.mixed_documents]
+    for k, step in enumerate(steps):
+        before, docs = docs, step(docs).cache()
+        assert docs.columns == before.columns + (["_taken"] if k == 4 else [])
+        for x in docs.collect():
+            assert all(x[c] == f"{c}:{'-' if x['doc_id'] is None else x['doc_id']}" for c in extra)
+        if k == 1:
+            assert sorted((x["doc_id"] for x in docs.collect()), key=str) == sorted([*range(30), 7, None, None, 40, 41], key=str)
+        if k == 2:
+            assert docs.count() == before.count() - 1
+        assert step(before.limit(0)).count() == 0
+    assert docs.filter("doc_id is null").count() == 1 and docs.agg(F.sum("_taken")).first()[0] > 0
+
+
 @pytest.mark.parametrize("name", ["op3_benchmark_decontamination", "op6_warc", "op7_chat_formatting"])
 def test_sql(spark, name):
     import duckdb
