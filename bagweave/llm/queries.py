@@ -59,15 +59,35 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The distinct shingles of five words of each row (fewer words: one shingle), for a table with an id and a text.
 SHINGLES = """{name}_w AS (SELECT {id} AS id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
 {name} AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM {name}_w)"""
+_quoted = lambda text: "'" + text.replace("'", "''") + "'"
 _fill = {"upper": LETTERS, "lower": LETTERS.lower()}
 
 ORACLES: dict[str, str] = {
+    "op1_secret_scans": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k(kind, rk, pat) AS (VALUES ('assign', 0, {_quoted(secrets.ASSIGN)}), ('access', 1, {_quoted(secrets.ACCESS)}), ('hex', 2, {_quoted(secrets.HEX)}), ('run', 3, {_quoted(secrets.CANDIDATE)})),
+l AS (SELECT doc_id, kind, rk, string_split_regex(t, pat) AS gaps, regexp_extract_all(t, pat, 0) AS wholes, CASE WHEN kind = 'assign' THEN regexp_extract_all(t, pat, 2) ELSE regexp_extract_all(t, pat, 0) END AS vals FROM d, k), m AS (SELECT doc_id, kind, rk, unnest(gaps) AS gap, unnest(wholes) AS whole, unnest(vals) AS val, generate_subscripts(gaps, 1) AS nth FROM l WHERE len(wholes) > 0),
+s AS (SELECT *, sum(length(gap) + coalesce(length(whole), 0)) OVER (PARTITION BY doc_id, kind ORDER BY nth) AS stop FROM m), f AS (SELECT doc_id, kind, rk, CAST(stop - length(whole) AS BIGINT) AS begin, CAST(stop AS BIGINT) AS stop, whole FROM s WHERE whole IS NOT NULL AND (kind <> 'assign' OR length(val) >= 6)),
+base AS (SELECT * FROM f WHERE rk < 3), covered AS (SELECT DISTINCT doc_id, unnest(range(begin, stop)) AS pos FROM base), chars AS (SELECT doc_id, begin AS run, unnest(range(begin, stop)) AS pos, unnest(string_split(whole, '')) AS ch FROM f WHERE rk = 3),
+free AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS isle FROM chars ANTI JOIN covered USING (doc_id, pos)), rem AS (SELECT doc_id, min(pos) AS begin, max(pos) + 1 AS stop, string_agg(ch, '' ORDER BY pos) AS v FROM free GROUP BY doc_id, run, isle HAVING count(*) >= {secrets.WINDOW}),
+c AS (SELECT * FROM rem WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, {_quoted("|".join(secrets.ALLOW))}) AND NOT regexp_full_match(v, '/?(?:[A-Za-z]+[0-9]{{0,4}}[/_-])+(?:[A-Za-z]+[0-9]{{0,4}}|[0-9]{{1,4}})?')),
+w AS (SELECT doc_id, begin, stop, v, k, substr(v, k + 1, {secrets.WINDOW}) AS w FROM (SELECT *, unnest(range(0, length(v) - {secrets.WINDOW - 1})) AS k FROM c)), g AS (SELECT doc_id, begin, stop, v, k, ch, count(*) AS n FROM (SELECT *, unnest(string_split(w, '')) AS ch FROM w WHERE NOT regexp_matches(w, '{"|".join(secrets.LITERALS)}')) GROUP BY ALL),
+e AS (SELECT doc_id, begin, stop, v, log2({secrets.WINDOW}) - sum(n * log2(n)) / {secrets.WINDOW} AS bits FROM g GROUP BY doc_id, begin, stop, v, k), high AS (SELECT DISTINCT doc_id, 'entropy' AS kind, 3 AS rk, begin, stop FROM e WHERE bits >= CASE {" ".join(f"WHEN regexp_matches(v, '{p}') THEN {b}" for p, b in secrets.CLASSES.values())} END),
+spans AS (SELECT doc_id, kind, rk, begin, stop FROM base UNION ALL SELECT * FROM high) SELECT d.doc_id, CAST(count(*) FILTER (rk = 0) AS BIGINT) AS n_assign, CAST(count(*) FILTER (rk = 1) AS BIGINT) AS n_access, CAST(count(*) FILTER (rk = 2) AS BIGINT) AS n_hex,
+sha256(coalesce(string_agg(kind || ':' || begin || ':' || stop, ',' ORDER BY begin, rk) FILTER (rk < 3), '')) AS base_sha256, coalesce(string_agg(kind || ':' || begin || ':' || stop, ',' ORDER BY begin, rk), '') AS spans FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id""",
     "op3_benchmark_decontamination": f"""WITH {SHINGLES.format(name="d", id="doc_id", table="documents", **_fill)}, {SHINGLES.format(name="q", id="item_id", table="benchmark", **_fill)}, n AS (SELECT id, count(*) AS n FROM q GROUP BY id),
 p AS (SELECT d.id AS doc_id, q.id AS item_id, count(*) AS k FROM d JOIN q ON d.s = q.s GROUP BY 1, 2) SELECT doc_id, item_id, CAST(k AS BIGINT) AS n_shared, CAST(n AS BIGINT) AS n_item, k / CAST(n AS DOUBLE) AS containment FROM p JOIN n ON n.id = item_id WHERE k >= .75 * n""",
     "op7_chat_formatting": """WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (SELECT *, length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) AS t, length(replace(replace(role, '&', '&amp;'), '<', '&lt;')) AS o, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM r)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(CASE WHEN before = role THEN 8 + t ELSE 23 + o + t END) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+    "op4_suffix_array_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), w AS (SELECT doc_id, i, hash(substr(h, CAST(2 * i + 1 AS BIGINT), 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)),
+a AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM w) WHERE nth > 1), b AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS opens FROM a),
+c AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b), r AS (SELECT doc_id, min(i) AS begin, max(i) + 100 AS stop FROM c GROUP BY doc_id, run), k AS (SELECT doc_id, begin, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY begin), 0) AS before FROM r),
+p AS (SELECT doc_id, begin AS o, substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (begin - before) AS BIGINT)) AS piece FROM k JOIN d USING (doc_id) UNION ALL SELECT doc_id, 9223372036854775807, substr(h, CAST(2 * coalesce(stop, 0) + 1 AS BIGINT)) FROM d LEFT JOIN (SELECT doc_id, max(stop) AS stop FROM r GROUP BY doc_id) USING (doc_id)),
+q AS (SELECT doc_id, sha256(unhex(string_agg(piece, '' ORDER BY o))) AS kept FROM p GROUP BY doc_id), n AS (SELECT doc_id, sum(stop - begin) AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, kept AS kept_sha256 FROM d JOIN q USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op5_ngram_jaccard_join": f"""WITH RECURSIVE {SHINGLES.format(name="d", id="doc_id", table="documents", **_fill)}, n AS (SELECT id, count(*) AS n FROM d GROUP BY id), x AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM d a JOIN d b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
+e AS (SELECT a, b FROM x JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * k >= 75 * (p.n + q.n - k)), v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), c(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT v.b, c.root FROM c JOIN v ON v.a = c.id WHERE c.root < v.b)
+SELECT c.id AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id FROM c LEFT JOIN n ON n.id = c.id GROUP BY c.id""",
     "op6_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY h), x AS (SELECT page_id, first_id, octet_length(encode(p.h)) AS n, sha1(p.h) AS d FROM p JOIN f ON p.h = f.h),
 b AS (SELECT page_id, first_id, n, list_reduce(list_transform(range(1, 33), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(d, 1 + ((5 * (i - 1)) // 4), 2) || CASE WHEN (5 * (i - 1)) // 4 = 39 THEN '0' ELSE '' END)::BIGINT >> (3 - (5 * (i - 1)) % 4)) & 31 AS BIGINT), 1)), lambda u, v: u || v) AS digest FROM x)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM b""",
