@@ -52,12 +52,13 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
     own; repeated rows each count, as do rows without a doc_id (their texts spread them over the ranges; ties of the key fall to
     doc_id, then size, which leaves the same multiset of results); an empty table gives an empty result; other columns are ignored.
     """
-    sized = docs.select("doc_id", "source", size_of().alias("size"), F.xxhash64("text").alias("text_hash")).withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).withColumn("range", F.shiftrightunsigned("key", 64 - (RANGES - 1).bit_length()).cast("int"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+    sized = docs.select("doc_id", "source", size_of().alias("size"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("key")).withColumn("range", F.shiftrightunsigned("key", 60 - (RANGES - 1).bit_length()).cast("int"))
     sums = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     totals = source_targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = sums.withColumn("base", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).select("source", "range", "base").withColumnRenamed("source", "s1").withColumnRenamed("range", "r1")
-    inside = Window.partitionBy("source", "range").orderBy(F.shiftleft("key", 12), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(ranges, F.col("source").eqNullSafe(F.col("s1")) & (F.col("range") == F.col("r1"))).drop("s1", "r1")
     totals = totals.withColumnRenamed("source", "s2")

@@ -88,6 +88,11 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed,
     "op5_ngram_jaccard_join": f"""WITH RECURSIVE {SHINGLES.format(name="d", id="doc_id", table="documents", **_fill)}, n AS (SELECT id, count(*) AS n FROM d GROUP BY id), x AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM d a JOIN d b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
 e AS (SELECT a, b FROM x JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * k >= 75 * (p.n + q.n - k)), v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), c(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT v.b, c.root FROM c JOIN v ON v.a = c.id WHERE c.root < v.b)
 SELECT c.id AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id FROM c LEFT JOIN n ON n.id = c.id GROUP BY c.id""",
+    "op9_source_mixing": """WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5(concat_ws(':', '0', doc_id, md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source), w AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS cap FROM s),
+o AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w WINDOW q AS (ORDER BY cap / weight, source IS NULL, source)),
+t AS (SELECT source, source_size, least(cap, weight * coalesce((SELECT max(level) FROM o WHERE level <= cap / weight), 0)) AS target FROM o), x AS (SELECT z.*, source_size, target, CAST(round(target) AS BIGINT) AS budget, coalesce(sum(size) OVER (PARTITION BY z.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(coalesce(budget // nullif(source_size, 0), 0) * size + greatest(0, least(size, budget - coalesce(budget // nullif(source_size, 0), 0) * source_size - before)) AS BIGINT) AS taken FROM x""",
     "op6_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY h), x AS (SELECT page_id, first_id, octet_length(encode(p.h)) AS n, sha1(p.h) AS d FROM p JOIN f ON p.h = f.h),
 b AS (SELECT page_id, first_id, n, list_reduce(list_transform(range(1, 33), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(d, 1 + ((5 * (i - 1)) // 4), 2) || CASE WHEN (5 * (i - 1)) // 4 = 39 THEN '0' ELSE '' END)::BIGINT >> (3 - (5 * (i - 1)) % 4)) & 31 AS BIGINT), 1)), lambda u, v: u || v) AS digest FROM x)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM b""",

@@ -506,7 +506,7 @@ def test_pipeline_odd_rows(spark):
     assert docs.filter("doc_id is null").count() == 1 and docs.agg(F.sum("_taken")).first()[0] > 0
 
 
-@pytest.mark.parametrize("name", ["op3_benchmark_decontamination", "op6_warc", "op7_chat_formatting"])
+@pytest.mark.parametrize("name", ["op1_secret_scans", "op3_benchmark_decontamination", "op9_source_mixing", "op4_suffix_array_dedup", "op5_ngram_jaccard_join", "op6_warc", "op7_chat_formatting"])
 def test_sql(spark, name):
     import duckdb
 
