@@ -115,7 +115,7 @@ def chosen_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, de
     """stratum and the cutoff of each rate, for the strata with a passed level. Equal rows of one document are one trial."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select(F.col("doc_id").alias("good_id"))
     rows = stats.join(good, F.col("doc_id") == F.col("good_id")).dropDuplicates()
-    rows = rows.withColumns(rates()).withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    rows = rows.withColumns(rates()).withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("half", F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long") % 2)
     quantiles = F.array(*(F.lit(1.0 - level) for level in LEVELS))
     proposed = cut(rows.filter("half = 0").groupBy("lang").agg(*(F.percentile_approx(r, quantiles, 10000).alias(f"cut_{r}") for r in RATES)).withColumnRenamed("lang", "stratum"))
     tested = rows.filter("half = 1").join(F.broadcast(proposed) if proposed.count() <= FEW_STRATA else proposed, F.col("lang") == F.col("stratum"))

@@ -88,6 +88,17 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed,
     "op5_ngram_jaccard_join": f"""WITH RECURSIVE {SHINGLES.format(name="d", id="doc_id", table="documents", **_fill)}, n AS (SELECT id, count(*) AS n FROM d GROUP BY id), x AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM d a JOIN d b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
 e AS (SELECT a, b FROM x JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * k >= 75 * (p.n + q.n - k)), v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), c(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT v.b, c.root FROM c JOIN v ON v.a = c.id WHERE c.root < v.b)
 SELECT c.id AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id FROM c LEFT JOIN n ON n.id = c.id GROUP BY c.id""",
+    "op8_quality_rules": f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents), l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)), y AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS k FROM v) WHERE k > 1), p AS (SELECT doc_id, count(DISTINCT place) AS rep FROM (SELECT doc_id, unnest(range(i, i + 8)) AS place FROM y) GROUP BY doc_id),
+a AS (SELECT d.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(rep, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper FROM d LEFT JOIN l USING (doc_id) LEFT JOIN p USING (doc_id)),
+r AS (SELECT *, [n_symbols / CAST(greatest(n_words, 1) AS DOUBLE), n_dup_lines / CAST(greatest(n_lines, 1) AS DOUBLE), n_repeat_words / CAST(greatest(n_words, 1) AS DOUBLE), n_upper / CAST(greatest(word_chars, 1) AS DOUBLE)] AS rates, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % 2 AS half FROM a),
+g AS (SELECT * FROM r WHERE doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)), lv(i, level) AS (VALUES {", ".join(f"({i}, {x}::DOUBLE)" for i, x in enumerate(quality_rules.LEVELS))}),
+c AS (SELECT lang, i, [list_sort(list(rates[1]))[k], list_sort(list(rates[2]))[k], list_sort(list(rates[3]))[k], list_sort(list(rates[4]))[k]] AS cut FROM (SELECT lang, i, rates, CAST(greatest(1, ceil((1 - level) * count(*) OVER (PARTITION BY lang, i))) AS BIGINT) AS k FROM g, lv WHERE half = 0) GROUP BY lang, i, k),
+x AS (SELECT lang, i, any_value(cut) AS cut, count(*) AS n, count(*) FILTER (rates[1] > cut[1] OR rates[2] > cut[2] OR rates[3] > cut[3] OR rates[4] > cut[4]) AS k FROM g JOIN c USING (lang) WHERE half = 1 GROUP BY lang, i), q AS (SELECT count(DISTINCT lang) AS strata FROM x),
+b AS (SELECT lang, i, cut, strata, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - CASE WHEN n = j THEN 0 ELSE lgamma(n - j + 1) END + j * ln({quality_rules.ALPHA}) + (n - j) * ln(1 - {quality_rules.ALPHA})))) AS chance FROM x, q),
+o AS (SELECT lang, i, cut, bool_and(chance <= {quality_rules.DELTA} / strata) OVER (PARTITION BY lang ORDER BY i) AS passes FROM b), m AS (SELECT lang, arg_max(cut, i) AS cut FROM o WHERE passes GROUP BY lang)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT coalesce(rates[1] > cut[1] OR rates[2] > cut[2] OR rates[3] > cut[3] OR rates[4] > cut[4], false) AS kept FROM r LEFT JOIN m USING (lang)""",
     "op9_source_mixing": """WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5(concat_ws(':', '0', doc_id, md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source), w AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS cap FROM s),
 o AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w WINDOW q AS (ORDER BY cap / weight, source IS NULL, source)),
