@@ -143,21 +143,21 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE_ROWS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches of about PIECE_BYTES of text and ``most`` rows: the rows, their bytes, their offsets."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches of about ``size`` bytes of text and ``most`` rows: the rows, their bytes, their offsets."""
     for batch in batches:
         raw, at = text_bytes(batch.column(batch.schema.get_field_index(text)))
         i = 0
         while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE_BYTES, side="right")) - 1)
+            j = max(i + 1, int(np.searchsorted(at, at[i] + size, side="right")) - 1)
             j = min(j, i + most, batch.num_rows)
             yield batch.slice(i, j - i), raw[at[i] : at[j]], at[i : j + 1] - at[i]
             i = j
 
 
-def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, byte after the last, and row of each word."""
-    inside = ~SPACE[raw]
+def word_spans(raw: np.ndarray, at: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte after the last, and row of each word; ``gaps``: the bytes between words."""
+    inside = ~gaps[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[at] = True
     before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1] if len(raw) else inside

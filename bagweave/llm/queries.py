@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bagweave.llm import chat, decontamination, html_text, jaccard, mixing, quality_knn, quality_rules, secrets, suffixes, warc
+from bagweave.llm import chat, collocations, decontamination, html_text, jaccard, mixing, packing, quality_knn, quality_rules, repair, secrets, suffixes, warc
 from bagweave.llm.common import fresh_dir, table
 
 
@@ -52,8 +52,23 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_quality_classifier, op3_benchmark_decontamination, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_warc, op7_chat_formatting, op8_quality_rules, op9_source_mixing, op10_html_extraction,
+    op11_best_fit_packing, op12_conversation_repair, op13_phrase_collocations,
 )}
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The distinct shingles of five words of each row (fewer words: one shingle), for a table with an id and a text.
@@ -62,7 +77,36 @@ SHINGLES = """{name}_w AS (SELECT {id} AS id, regexp_extract_all(translate(coale
 _quoted = lambda text: "'" + text.replace("'", "''") + "'"
 _fill = {"upper": LETTERS, "lower": LETTERS.lower()}
 
+#: Cost (nine digits) and audit of a path as one string that sorts like them; an edit adds to both.
+_edit = lambda path, cost, letter: f"lpad(CAST(CAST(substr({path}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({path}, 10) || '{letter}'"
+_insert = lambda path: "(" + _edit(path, repair.INSERT, "I") + ")"
+_twice = lambda path: _insert(_insert(path))
+_keep = lambda path, initial: f"CASE WHEN fault > 1 AND ini = '{initial}' THEN {_edit(path, f'CASE WHEN fault = 2 THEN {repair.TRUNCATED} ELSE 0 END', 'K')} END"
+_turn = lambda path, initial: f"CASE WHEN fault <= 1 THEN NULL WHEN ini = '{initial}' THEN {_edit(path, f'CASE WHEN fault = 2 THEN {repair.TRUNCATED} ELSE 0 END', 'K')} ELSE {_edit(path, f'CASE WHEN fault = 2 THEN {repair.TRUNCATED} ELSE 0 END + {repair.REROLE}', 'R')} END"
+_delete = lambda path: _edit(path, repair.DELETE, "D")
+
 ORACLES: dict[str, str] = {
+    "op12_conversation_repair": f"""WITH RECURSIVE t AS (SELECT list(v ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_concat([CAST(b AS BIGINT)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM (SELECT unnest(range(256)) AS b))),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: xor(c // 256, tab[CAST(xor(c % 256, x) + 1 AS BIGINT)])), 4294967295) % 20 AS f FROM conversations, t),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h, (VALUES (1), (2)) v(c) WHERE f > 0 AND (c = 1 OR f = 3)),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nth) AS same, substr(role, 1, 1) AS ini FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth FROM d)),
+x AS (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY nth) || ini AS two, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 0 WHEN same > 1 THEN 1 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 2 ELSE 3 END AS fault FROM g),
+r(conv_id, nth, s0, s1, s2, s3) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '000000000', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM conversations
+UNION ALL SELECT conv_id, nth, {_delete("e0")}, least({_delete("s1")}, {_keep("e0", "s")}), least({_delete("e2")}, {_turn("e0", "u")}, {_turn("s1", "u")}, {_turn("e3", "u")}), least({_delete("e3")}, {_turn("e2", "a")}) FROM (SELECT r.conv_id, x.nth, fault, ini, s0 AS e0, s1, least(s2, {_insert("s0")}, {_insert("s1")}, {_insert("s3")}) AS e2, least(s3, {_insert("s2")}, {_twice("s0")}, {_twice("s1")}) AS e3
+FROM r JOIN x ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND x.nth = r.nth + 1)),
+b AS (SELECT conv_id, least(s0, s3, {_insert("s2")}, {_twice("s1")}) AS k FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY nth DESC) AS back FROM r) WHERE back = 1), c AS (SELECT conv_id, CAST(substr(k, 1, 9) AS BIGINT) AS cost, substr(k, 10) AS audit FROM b),
+l AS (SELECT conv_id, p, e, CAST(count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS BIGINT) AS nth FROM (SELECT conv_id, unnest(string_split(audit, '')) AS e, generate_subscripts(string_split(audit, ''), 1) AS p FROM c WHERE audit <> '')),
+o AS (SELECT l.conv_id, p, e, role, text, row_number() OVER (PARTITION BY l.conv_id ORDER BY p) - max(CASE WHEN e = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS k FROM l LEFT JOIN x ON l.conv_id IS NOT DISTINCT FROM x.conv_id AND l.nth = x.nth AND e <> 'I' WHERE e <> 'D'),
+y AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN k % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS whole FROM o GROUP BY conv_id),
+z AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 0) AS blank, count(*) FILTER (fault = 1) AS duplicate, count(*) FILTER (fault = 2) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM x GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, cost, audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM c LEFT JOIN z ON c.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN y ON c.conv_id IS NOT DISTINCT FROM y.conv_id""",
+    "op13_phrase_collocations": f"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang), g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) v(k))),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= {collocations.LEAST}), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, a, j, x.f AS l, y.f AS r, CAST(CAST(a AS HUGEINT) * 2000000 // (x.f + y.f) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:c.k], ' ')),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM s) WHERE nth = 1), o AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most FROM (SELECT lang, w, a, k, m, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) v(m) WHERE m < k) GROUP BY ALL)
+SELECT * FROM (SELECT b.lang, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS BIGINT) AS rank, b.phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score FROM b JOIN n ON n.lang = b.lang LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE most IS NULL OR 100 * most < {collocations.COVERED} * a) WHERE rank <= {collocations.TOP}""",
     "op1_secret_scans": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k(kind, rk, pat) AS (VALUES ('assign', 0, {_quoted(secrets.ASSIGN)}), ('access', 1, {_quoted(secrets.ACCESS)}), ('hex', 2, {_quoted(secrets.HEX)}), ('run', 3, {_quoted(secrets.CANDIDATE)})),
 l AS (SELECT doc_id, kind, rk, string_split_regex(t, pat) AS gaps, regexp_extract_all(t, pat, 0) AS wholes, CASE WHEN kind = 'assign' THEN regexp_extract_all(t, pat, 2) ELSE regexp_extract_all(t, pat, 0) END AS vals FROM d, k), m AS (SELECT doc_id, kind, rk, unnest(gaps) AS gap, unnest(wholes) AS whole, unnest(vals) AS val, generate_subscripts(gaps, 1) AS nth FROM l WHERE len(wholes) > 0),
 s AS (SELECT *, sum(length(gap) + coalesce(length(whole), 0)) OVER (PARTITION BY doc_id, kind ORDER BY nth) AS stop FROM m), f AS (SELECT doc_id, kind, rk, CAST(stop - length(whole) AS BIGINT) AS begin, CAST(stop AS BIGINT) AS stop, whole FROM s WHERE whole IS NOT NULL AND (kind <> 'assign' OR length(val) >= 6)),
