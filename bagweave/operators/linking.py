@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from bagweave.functions.ranged import ranged_places
 from bagweave.functions.scalar import fraction
 from bagweave.operators.graph import connected_components
 
@@ -43,13 +44,13 @@ def star_edges(rows: DataFrame, identifier: str, keys: dict[str, str]) -> DataFr
 
 
 def leakage_groups(rows: DataFrame, identifier: str, edges: Sequence[DataFrame]) -> DataFrame:
-    """Adds leakage_group (least id reachable over all edges) and group_name, L%05d in order of the least ids, to every row."""
+    """Adds leakage_group (least id reachable over all edges) and group_name, L and a number of five digits or more in order of the least ids, to every row."""
     union = None
     for e in edges:
         union = e.select("src", "dst") if union is None else union.unionAll(e.select("src", "dst"))
     comp = connected_components(union).withColumnRenamed("id", "vertex")
     out = rows.join(comp, F.col(identifier) == F.col("vertex"), "left").withColumn("leakage_group", F.coalesce("component", F.col(identifier))).drop("vertex", "component")
-    names = out.select("leakage_group").distinct().withColumn("group_name", F.concat(F.lit("L"), F.lpad(F.dense_rank().over(Window.orderBy("leakage_group")).cast("string"), 5, "0")))
+    names = ranged_places(out.select("leakage_group").distinct(), [F.col("leakage_group")], "nth").select("leakage_group", F.format_string("L%05d", "nth").alias("group_name"))
     return out.join(names, "leakage_group")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from bagweave.functions.ranged import ranged_sums
 from bagweave.functions.scalar import ratio
 
 
@@ -32,11 +33,11 @@ def matches(where: Sequence[Mapping[str, object]], parameters: str = "parameters
 def pareto(rows: DataFrame, identifier: str, low: str, high: str) -> DataFrame:
     """Rows that no other beats: lower ``low`` and higher ``high`` are better. Equal points stay together.
 
-    A running maximum over sorted distinct points replaces the self join: a point falls if a cheaper one reaches as high, or an equally cheap one higher.
+    A running maximum over sorted distinct points, by ranges, replaces the self join: a point falls if a cheaper one reaches as high, or an equally cheap one higher.
     """
     points = rows.groupBy(F.col(low).alias("_l")).agg(F.max(high).alias("_h"))
-    best = Window.orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)  # distinct values of one column of aggregated points
-    kept = points.withColumn("_b", F.max("_h").over(best)).filter("_b is null or _h > _b").select("_l", "_h")
+    reached = ranged_sums(points, [F.col("_l")], {"_b": F.struct("_h", (-F.col("_l")).alias("_n"))}, how=F.max)  # of equal heights the cheapest
+    kept = reached.filter(F.col("_b._n") == -F.col("_l")).select("_l", "_h")
     return rows.join(kept, (F.col(low) == F.col("_l")) & (F.col(high) == F.col("_h"))).drop("_l", "_h")
 
 
@@ -82,11 +83,10 @@ def families_first(rows: DataFrame, family: str, score: str, tie: str) -> DataFr
 
 
 def tail_pvalues(rows: DataFrame, score: str, reserve: DataFrame, reserve_score: str) -> DataFrame:
-    """Adds pvalue = (1 + number of reserve scores >= score) / (reserve size + 1), from counts per distinct score and one ordered window over them."""
+    """Adds pvalue = (1 + number of reserve scores >= score) / (reserve size + 1), from counts per distinct score and their running sums by ranges."""
     levels = rows.select(F.col(score).alias("s")).distinct().select("s", F.lit(0).alias("n")).unionAll(reserve.groupBy(F.col(reserve_score).alias("s")).agg(F.count("*").cast("int").alias("n")))
     sums = levels.groupBy("s").agg(F.sum("n").alias("n"))
-    w = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tail = sums.withColumn("above", F.sum("n").over(w)).crossJoin(F.broadcast(sums.agg(F.sum("n").alias("total"))))
+    tail = ranged_sums(sums, [F.col("s").desc()], {"above": F.col("n")}).crossJoin(F.broadcast(sums.agg(F.sum("n").alias("total"))))
     return rows.join(tail.select("s", ((1 + F.col("above")) / (F.col("total") + 1)).alias("pvalue")), F.col(score) == F.col("s")).drop("s")
 
 
@@ -94,9 +94,8 @@ def best_threshold(rows: DataFrame, score: str, label: str) -> DataFrame:
     """The threshold of best balanced accuracy; ties go to higher specificity, then to the larger threshold; one above the maximum takes part."""
     levels = rows.groupBy(F.col(score).alias("t")).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
     above = levels.agg((F.max("t") + 1e-9).alias("t"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
-    w = Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = levels.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-    c = levels.unionAll(above).withColumns({"hit": F.sum("p").over(w), "all": F.sum("n").over(w)}).crossJoin(F.broadcast(total))
+    c = ranged_sums(levels.unionAll(above), [F.col("t").desc()], {"hit": F.col("p"), "all": F.col("n")}).crossJoin(F.broadcast(total))
     recall, spec = ratio(F.col("hit"), F.col("tp")), 1 - ratio(F.col("all") - F.col("hit"), F.col("tn") - F.col("tp"))
     c = c.withColumn("ba", F.round((recall + spec) / 2, 12)).withColumn("spec", F.round(spec, 12))
     return c.agg(F.max_by(F.struct("t", "ba", "spec"), F.struct("ba", "spec", "t")).alias("x")).select(F.col("x.t").alias("threshold"), F.col("x.ba").alias("balanced_accuracy"), F.col("x.spec").alias("specificity"))

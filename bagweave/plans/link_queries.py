@@ -55,7 +55,7 @@ def link_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {STARS}, sides AS (SELECT src AS a, dst AS b FROM stars UNION ALL SELECT dst, src FROM stars), reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),
-c AS (SELECT a AS id, min(b) AS leakage_group FROM reach GROUP BY a) SELECT id, leakage_group, 'L' || lpad(CAST(dense_rank() OVER (ORDER BY leakage_group) AS VARCHAR), 5, '0') AS group_name FROM c""")
+c AS (SELECT a AS id, min(b) AS leakage_group FROM reach GROUP BY a) SELECT id, leakage_group, printf('L%05d', dense_rank() OVER (ORDER BY leakage_group)) AS group_name FROM c""")
 def leakage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     return linking.leakage_groups(rows, "id", [stars_of(spark, sf_dir)]).select("id", "leakage_group", "group_name")

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagweave.functions.lineage import cut, ensure_shared_dir
-from bagweave.operators import fields, structures
+from bagweave.operators import assets, fields, structures
 from bagweave.operators.spatial import near_pairs
 from bagweave.plans.asset_queries import VIEWS, member_views, sha
 from bagweave.plans.registry import query
 from bagweave.plans.spatial_queries import near
 from bagweave.plans.study_queries import rounded
 from bagweave.plans.views import atoms, table
-from bagweave.sources import arrays
+from bagweave.sources import arrays, readers
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -23,12 +23,50 @@ def place(spark: SparkSession, name: str) -> str:
 
 
 @query("SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS width, 0.0::DOUBLE AS curvature FROM embeddings")
-def array_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+def array_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "embeddings").select(F.lit("3.0").alias("schema_version"), "vec_id", "label", F.size("embedding").alias("width"), "embedding")
     families = {"identity": ["vec_id", "label"], "shape": ["width", "curvature"], "field": ["embedding"]}
     return arrays.array_table(df, "3.0", ["vec_id", "embedding"], {"curvature": F.lit(0.0)}, families, ["identity", "shape"])
 
 
+@query("""SELECT 'm' || CAST(vec_id // 64 AS VARCHAR) AS name, vec_id, label, CAST(len(embedding) AS INTEGER) AS width, round(CAST(embedding[1] AS DOUBLE), 6) AS x, 0.5::DOUBLE AS curvature FROM embeddings WHERE vec_id // 64 <> 1""")
+def array_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of 64 vectors each, written and read back by the arrays that are wanted; one of them is pruned by its name."""
+    path = place(spark, "archives")
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("m"), F.floor(F.col("vec_id") / 64).cast("string")).alias("member"), "vec_id", "label", "embedding")
+    readers.write_archives(rows, "member", ["vec_id", "label", "embedding"], "3.0", path).write.format("noop").mode("overwrite").save()
+    readers.register(spark)
+    wanted = "name string, vec_id array<bigint>, label array<int>, embedding array<array<float>>, curvature double"
+    read = spark.read.format("array_archive").schema(wanted).option("version", "3.0").option("required", "vec_id,embedding").option("defaults", '{"curvature": 0.5}').option("bytes", 1 << 18).load(path)
+    pruned = read.filter("name <> 'm1'")
+    each = pruned.select("name", "curvature", F.explode(F.arrays_zip("vec_id", "label", "embedding")).alias("r"))
+    return each.select("name", "r.vec_id", "r.label", F.size("r.embedding").alias("width"), F.round(F.col("r.embedding")[0].cast("double"), 6).alias("x"), "curvature")
+
+
+SITES = """a AS (SELECT 's' || CAST(vec_id // 50 AS VARCHAR) AS file, CAST(vec_id % 50 AS INTEGER) AS residue_number, CASE WHEN vec_id % 2 = 0 THEN 'A' ELSE 'B' END AS chain, floor(CAST(embedding[1] AS DOUBLE) * 1000) / 100 AS x, floor(CAST(embedding[2] AS DOUBLE) * 1000) / 100 AS y, floor(CAST(embedding[3] AS DOUBLE) * 1000) / 100 AS z, vec_id FROM embeddings),
+b AS (SELECT a.*, alt, CASE WHEN alt = 'A' THEN (vec_id % 10) / 10.0::DOUBLE ELSE 0.5::DOUBLE END AS occupancy, CASE WHEN alt = 'A' THEN a.x ELSE a.x + 1 END AS px FROM a, (VALUES ('A'), ('B')) v(alt))"""
+
+
+@query(f"""WITH {SITES}, r AS (SELECT *, row_number() OVER (PARTITION BY file, residue_number ORDER BY occupancy DESC, alt) AS k FROM b WHERE chain = 'A')
+SELECT file, residue_number, alt AS altloc, round(px - avg(px) OVER (PARTITION BY file), 6) AS x, round(y - avg(y) OVER (PARTITION BY file), 6) AS y, round(z - avg(z) OVER (PARTITION BY file), 6) AS z FROM r WHERE k = 1""")
+def structure_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures of 50 sites, as mmCIF and PDB files in turn, with two models and two alternatives of each atom; read back by model and chain, reduced and centred."""
+    path = place(spark, "structures")
+    e = F.col("embedding")
+    two = F.floor(e[0].cast("double") * 1000) / 100, F.floor(e[1].cast("double") * 1000) / 100, F.floor(e[2].cast("double") * 1000) / 100
+    sites = table(spark, sf_dir, "embeddings").withColumns(dict(zip("xyz", two, strict=True))).withColumn("k", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(a).alias("alt")) for m in (1, 2) for a in "AB"))))
+    atoms = sites.select(
+        F.concat(F.lit("s"), F.floor(F.col("vec_id") / 50).cast("string")).alias("file"), F.when(F.floor(F.col("vec_id") / 50) % 2 == 0, "cif").otherwise("pdb").alias("format"), "k.model", F.when(F.col("vec_id") % 2 == 0, "A").otherwise("B").alias("chain"),
+        F.lit("GLY").alias("residue_name"), (F.col("vec_id") % 50).cast("int").alias("residue_number"), F.col("k.alt").alias("altloc"), F.lit("CA").alias("atom_name"), F.lit("C").alias("element"), (F.col("x") + F.when(F.col("k.alt") == "B", 1).otherwise(0) + F.when(F.col("k.model") == 2, 5).otherwise(0)).alias("x"), "y", "z",
+        F.when(F.col("k.alt") == "A", F.col("vec_id") % 10 / 10.0).otherwise(0.5).alias("occupancy"), F.lit(1.5).alias("b_iso"), F.lit(False).alias("hetero"), (F.col("vec_id") * 2 + F.when(F.col("k.alt") == "B", 1).otherwise(0)).alias("place"),
+    )
+    readers.write_atoms(atoms, path, "place").write.format("noop").mode("overwrite").save()
+    readers.register(spark)
+    read = spark.read.format("atom_file").option("bytes", 1 << 16).load(path).filter((F.col("model") == 1) & (F.col("chain") == "A"))
+    kept = assets.centred(assets.reduced_sites(read, ["file"], "residue_number", "occupancy", "altloc"), ["file"], ("x", "y", "z"))
+    return kept.select("file", "residue_number", "altloc", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
 @query(f"WITH {VIEWS} SELECT id, grp FROM v WHERE split = 'train' AND list_contains(views, 'half')")
 def managed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = member_views(spark, sf_dir).withColumn("task", F.lit("binding"))
