@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bagweave.llm.common import bound_to, cut_out, scanned
+
 OPEN, BODY, PART, END = "<|role|>", "<|text|>", "<|part|>", "<|end|>"
 ASSISTANT = "assistant"
 
@@ -35,20 +37,24 @@ def format_chat(rows: DataFrame) -> DataFrame:
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    opened = lambda t: F.concat(F.lit(OPEN), escaped(t["role"]), F.lit(BODY))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    start = F.struct(F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"), none.alias("loss"))
+    turns = turns.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escaped(t["text"]).alias("text"))))
+
+    def lead(t: Column, before: Column) -> Column:
+        """What stands before a turn's text: a mark if the turn before has its role, else the end of that block and a new one's start."""
+        end = F.when(before.isNull(), "").otherwise(END)
+        return F.when(before == t["role"], PART).otherwise(F.concat(end, F.lit(OPEN), escaped(t["role"]), F.lit(BODY)))
+
+    def parts(t: Column) -> Column:
+        roles = F.concat(F.array(F.lit(None).cast("string")), F.slice(F.transform(t, lambda x: x["role"]), F.lit(1), F.size(t) - 1))
+        return F.zip_with(t, roles, lambda x, before: F.struct(lead(x, before).alias("lead"), x["text"].alias("text"), (x["role"] == ASSISTANT).alias("loss")))
 
-    def merged(state: Column, t: Column) -> Column:
-        same = state["role"] == t["role"]
-        lead = F.when(state["role"].isNull(), opened(t)).when(same, F.lit(PART)).otherwise(F.concat(F.lit(END), opened(t)))
-        begin = state["at"] + F.length(lead)
-        end = begin + F.length(escaped(t["text"]))
-        loss = F.when(t["role"] == ASSISTANT, F.concat(state["loss"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(state["loss"])
-        return F.struct(t["role"].alias("role"), F.concat(state["parts"], F.array(lead, escaped(t["text"]))).alias("parts"), end.alias("at"), loss.alias("loss"))
+    def loss(p: Column) -> Column:
+        lengths = F.flatten(F.transform(p, lambda x: F.array(F.length(x["lead"]), F.length(x["text"]))))
+        spans = lambda at: F.transform(p, lambda x, i: F.struct(F.get(at, 2 * i + 1).alias("start"), F.get(at, 2 * i + 2).alias("end"), x["loss"].alias("loss")))
+        return F.transform(F.filter(bound_to(scanned(lengths), spans), lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-    done = turns.select("conv_id", F.aggregate("turns", start, merged).alias("s"))
-    return done.select("conv_id", F.concat(F.array_join("s.parts", ""), F.lit(END)).alias("formatted"), F.col("s.loss").alias("loss_spans"))
+    text = lambda p: F.concat(F.array_join(F.transform(p, lambda x: F.concat(x["lead"], x["text"])), ""), F.lit(END))
+    return turns.select("conv_id", bound_to(bound_to(F.col("turns"), parts), text).alias("formatted"), bound_to(bound_to(F.col("turns"), parts), loss).alias("loss_spans"))
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:
@@ -66,7 +72,7 @@ def read_chat(formatted: DataFrame) -> DataFrame:
 def chat_digest(formatted: DataFrame) -> DataFrame:
     """What the format holds, by reading it back: turns from the text, the loss from the text under the mask."""
     back = read_chat(formatted)
-    loss = F.array_join(F.transform("loss_spans", lambda m: unescaped(F.substring("formatted", m["start"] + 1, m["end"] - m["start"]))), "")
+    loss = F.array_join(F.transform(cut_out(F.col("formatted"), F.col("loss_spans")), unescaped), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),

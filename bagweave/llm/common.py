@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -57,6 +57,57 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+# --- scans of array columns ----------------------------------------------------------------
+
+#: Elements of an array that are scanned in a row.
+SCAN_BLOCK = 256
+
+
+def bound_to(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scanned(values: Column, step=lambda a, b: a + b) -> Column:
+    """Of an array of ints, 0 and what ``step`` makes of 0 and the elements so far: one element more than the array has.
+
+    Elements are scanned in blocks, then the blocks; no array grows by one element at a time beyond a block, so that the work is
+    nearly linear in the array's size.
+    """
+    def run(block: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, state, lambda s, v: F.struct(step(s["at"], v).alias("at"), F.concat(s["out"], F.array(step(s["at"], v))).alias("out")))["out"]
+
+    def blocks(whole: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / SCAN_BLOCK).cast("int"))
+        parts = F.transform(numbers, lambda b: F.slice(whole, b * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)))
+
+        def joined(parts: Column) -> Column:
+            starts = run(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, b: step(a, b))), F.lit(0))
+            return F.flatten(F.transform(F.arrays_zip(parts.alias("part"), F.concat(F.array(F.lit(0)), F.slice(starts, F.lit(1), F.size(parts) - 1)).alias("start")), lambda x: run(x["part"], x["start"])))
+
+        return F.concat(F.array(F.lit(0)), bound_to(parts, joined))
+
+    return bound_to(values, lambda v: F.when(F.size(v) > 0, blocks(v)).otherwise(F.array(F.lit(0))))
+
+
+def cut_out(text: Column, spans: Column) -> Column:
+    """The parts of a text that spans (start, end, ordered by start) cover, in an array.
+
+    A place in a text is found by reading up to it, so SCAN_BLOCK spans cut their stretch out first, and their parts out of that.
+    """
+    def stretch(whole: Column, own: Column) -> Column:
+        begin, end = F.get(own, 0)["start"], F.array_max(F.transform(own, lambda s: s["end"]))
+        held = F.struct(own.alias("own"), F.substring(whole, begin + 1, end - begin).alias("piece"), begin.alias("begin"))
+        return bound_to(held, lambda x: F.transform(x["own"], lambda s: F.substring(x["piece"], s["start"] - x["begin"] + 1, s["end"] - s["start"])))
+
+    def parts(x: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(x["spans"]) - 1) / SCAN_BLOCK).cast("int"))
+        return F.flatten(F.transform(numbers, lambda b: bound_to(F.slice(x["spans"], b * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)), lambda own: stretch(x["text"], own))))
+
+    return bound_to(F.struct(text.alias("text"), spans.alias("spans")), lambda x: F.when(F.size(x["spans"]) > 0, parts(x)).otherwise(F.array().cast("array<string>")))
+
+
 # --- bounded membership filters ------------------------------------------------------------
 
 

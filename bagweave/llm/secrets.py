@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagweave.llm.common import free_names
+from bagweave.llm.common import bound_to, cut_out, free_names, scanned
 
 #: Fixed values of the contract: patterns and least lengths.
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -47,11 +47,6 @@ SPANS = "array<struct<start:int,end:int,value:string>>"
 KINDS = ("assign", "access", "hex", "entropy")
 
 
-def bound_to(value: Column, use) -> Column:
-    """use(value), with the value computed once however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def appended(found: Column, start: Column, end: Column, value: Column) -> Column:
     return F.concat(found, F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value"))))
 
@@ -86,26 +81,31 @@ def located(text: Column, pattern: str, group: int | None = None) -> Column:
 
 
 def remainders(runs: Column, spans: Column) -> Column:
-    """Array of (start, end, value): what the spans leave of the runs, in parts of WINDOW characters or more; one sweep over both by start."""
-    run = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("value"))
+    """Array of (start, end, value): what the spans leave of the runs, in parts of WINDOW characters or more.
+
+    Runs and spans are sorted into one array; of each place in it, the end of what spans before it cover and the number of runs before
+    it come from scans, so a part is judged by its place alone.
+    """
 
     def tagged(rows: Column, kind: int) -> Column:
-        return F.transform(rows, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), (m["value"] if kind else F.lit("")).alias("value")))
+        return F.transform(rows, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
 
-    def emitted(state: Column, end: Column) -> Column:
-        """What was found, and the open run's part from the end of what is covered."""
-        begin, stop = F.greatest(state["covered"], state["run"]["start"]), F.least(end, state["run"]["end"])
-        value = F.substring(state["run"]["value"], begin - state["run"]["start"] + 1, stop - begin)
-        return F.when(stop - begin >= WINDOW, appended(state["found"], begin, stop, value)).otherwise(state["found"])
+    def parts(x: Column) -> Column:
+        """A part ends where the next run or span starts, or where its run ends."""
+        def part(e: Column, i: Column) -> Column:
+            run = F.get(x["runs"], F.get(x["opened"], i) - 1)
+            begin, stop = F.greatest(F.get(x["covered"], i), run["start"]), F.least(e["start"], run["end"])
+            return F.struct(begin.alias("start"), stop.alias("end"), F.when(stop - begin >= WINDOW, F.substring(run["value"], begin - run["start"] + 1, stop - begin)).alias("value"))
 
-    def step(state: Column, e: Column) -> Column:
-        is_run = e["kind"] == 1
-        opened = F.struct(e["start"].alias("start"), e["end"].alias("end"), e["value"].alias("value"))
-        return F.struct(F.when(is_run, state["covered"]).otherwise(F.greatest(state["covered"], e["end"])).alias("covered"), F.when(is_run, opened).otherwise(state["run"]).alias("run"), emitted(state, e["start"]).alias("found"))
+        last = F.array(F.struct(F.lit(2147483647).alias("start"), F.lit(0).alias("kind"), F.lit(0).alias("end")))
+        return F.filter(F.transform(F.concat(x["events"], last), part), lambda m: m["value"].isNotNull())
+
+    def swept(x: Column) -> Column:
+        ends = F.transform(x["events"], lambda e: F.when(e["kind"] == 0, e["end"]).otherwise(0))
+        return bound_to(F.struct(x["events"].alias("events"), x["runs"].alias("runs"), scanned(ends, F.greatest).alias("covered"), scanned(F.transform(x["events"], lambda e: e["kind"])).alias("opened")), parts)
 
-    events = F.array_sort(F.concat(tagged(spans, 0), tagged(runs, 1)))
-    start = F.struct(F.lit(0).alias("covered"), run.alias("run"), F.array().cast(SPANS).alias("found"))
-    return F.aggregate(events, start, step, lambda s: emitted(s, s["run"]["end"]))
+    events = lambda r: F.struct(r.alias("runs"), F.array_sort(F.concat(tagged(spans, 0), tagged(r, 1))).alias("events"))
+    return bound_to(bound_to(runs, events), lambda x: F.when(F.size(x["runs"]) > 0, swept(x)).otherwise(F.array().cast(SPANS)))
 
 
 def window_entropy(value: Column) -> Column:
@@ -186,14 +186,14 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every found span replaced by the mark; spans that overlap become one. n_chars, if present, is counted anew. Other columns stay as they are."""
     names = free_names(docs, *KINDS)
     spans = F.array_sort(F.concat(*(F.transform(F.col(k), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))) for k in names)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     text = F.coalesce(F.col("text"), F.lit(""))
 
-    def step(state: Column, s: Column) -> Column:
-        kept = F.when(s["start"] >= state["at"], F.concat(state["parts"], F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark)))).otherwise(state["parts"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), kept.alias("parts"))
+    def marked(x: Column) -> Column:
+        """What lies between the spans that begin a mark and the ends of what the spans before them cover, a mark behind each; then the rest."""
+        gaps = F.filter(F.transform(x["spans"], lambda s, i: F.struct(F.get(x["covered"], i).alias("start"), s["start"].alias("end"))), lambda s: s["end"] >= s["start"])
+        return F.concat(F.array_join(F.transform(cut_out(text, gaps), lambda t: F.concat(t, F.lit(mark))), ""), F.substring(text, F.element_at(x["covered"], -1) + 1, 2147483647))
 
-    clean = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, 2147483647)))
+    clean = bound_to(spans, lambda s: bound_to(F.struct(s.alias("spans"), scanned(F.transform(s, lambda m: m["end"]), F.greatest).alias("covered")), marked))
     columns, hit = docs.columns, F.size(F.concat(*names)) > 0
     found = scan_secrets(docs, tuple(names)).withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
     if "n_chars" in columns:
