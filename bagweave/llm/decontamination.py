@@ -7,9 +7,10 @@ FUNCTIONS values; one equal value makes a candidate. Windows of one class are me
 shingle is hashed once for each function. With containment of 0.75 the Jaccard similarity of an item and
 its window is at least 0.18, so a passage that stands in one place is missed with a chance below 4e-6.
 
-What signatures may miss (that chance, and shingles that lie scattered over a document) is found by bottom sketches: of an item of n
-shingles of which k must be shared, a document that qualifies holds one of the n - k + 1 with the least values of the first hash
-function. These are few, each is looked up in the document's shingles, and no pair is missed. Every candidate is
+What signatures may miss (that chance, and shingles that lie scattered over a document) is found by rarest sketches: of an item of n
+shingles of which k must be shared, a document that qualifies holds one of any n - k + 1; those that the fewest items of the block have are
+taken, ties by the first hash function. These are few, each is looked up in the document's shingles, and no pair is missed. So a signature value that more
+than COMMON items share, such as that of a stem that many questions begin with, is left to the sketches. Every candidate is
 verified by counting the item's shingles in the document.
 
 Items come in blocks of BLOCK_SHINGLES shingles, or of one item that has more; each block is a stated query set against all documents.
@@ -33,6 +34,8 @@ SMALL = 4
 FIRST_CLASS = 8
 #: Words of the items that one pass over the documents searches for, on average; and blocks whose indexes are in memory at once.
 BLOCK_WORDS, LIVE_BLOCKS = 2_000_000, 4
+#: Items that a signature value may have to be looked up.
+COMMON = 16
 MATCHES = "doc_id long, item_id long, n_shared long, n_item long, containment double"
 
 _rng = np.random.default_rng(7)
@@ -54,41 +57,54 @@ class Items:
         for level, own in by_level.items():
             if level < 0:
                 values, who = np.concatenate([sets[i] for i in own]), np.repeat(own, [len(sets[i]) for i in own])
-                self.levels[level] = [self.index(values, who)]
+                self.levels[level] = [self.index(values, who, COMMON)]
             else:
                 signatures = np.array([[(sets[i] * a + b).min() for i in own] for a, b in zip(FACTORS, TERMS, strict=True)])
-                self.levels[level] = [self.index(v, np.array(own)) for v in signatures]
-        few = [s[np.argsort(s * FACTORS[0] + TERMS[0], kind="stable")[: len(s) - int(np.ceil(threshold * len(s))) + 1]] for s in sets]
+                self.levels[level] = [self.index(v, np.array(own), COMMON) for v in signatures]
+        # shingles that few items of the block have come first, so that a stem that many items share is in few sketches
+        known, place, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+        often = times[place] if len(known) else place
+        ends = np.cumsum([len(s) for s in sets])
+        few = [s[np.lexsort((s * FACTORS[0] + TERMS[0], often[e - len(s) : e]))[: len(s) - int(np.ceil(threshold * len(s))) + 1]] for s, e in zip(sets, ends, strict=True)]
         self.bottom = self.index(np.concatenate([np.zeros(0, np.uint64), *few]), np.repeat(np.arange(len(sets)), [len(f) for f in few]))
 
     @staticmethod
-    def index(values: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def index(values: np.ndarray, who: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values in order with their items, behind a map of their upper bits; values of more than ``most`` items are left out."""
         order = np.argsort(values, kind="stable")
+        values, who = values[order], who[order]
+        if most is not None and len(values):
+            rare = np.searchsorted(values, values, "right") - np.searchsorted(values, values, "left") <= most
+            values, who = values[rare], who[rare]
         seen = np.zeros(1 << 16, bool)
         seen[(values >> np.uint64(48)).astype(np.int64)] = True
-        return seen, values[order], who[order]
+        return seen, values, who
 
     @staticmethod
-    def found(index: tuple[np.ndarray, np.ndarray, np.ndarray], windows: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(row, item) of the windows whose value an item has."""
+    def found(index: tuple[np.ndarray, np.ndarray, np.ndarray], windows: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """row and item, packed, of the windows whose value an item has; each pair once."""
         seen, values, who = index
         maybe = np.flatnonzero(seen[(windows >> np.uint64(48)).astype(np.int64)])
         left, right = np.searchsorted(values, windows[maybe], "left"), np.searchsorted(values, windows[maybe], "right")
-        for j in np.flatnonzero(right > left):
-            for k in range(left[j], right[j]):
-                yield int(row[maybe[j]]), int(who[k])
+        n = right - left
+        to = np.cumsum(n)
+        item = who[np.arange(n.sum()) + np.repeat(left - (to - n), n)] if n.any() else np.zeros(0, np.int64)
+        return np.unique((np.repeat(row[maybe], n).astype(np.int64) << 32) | item)
 
     def candidates(self, hashes: np.ndarray, row: np.ndarray) -> set[tuple[int, int]]:
         """hashes: the shingles in order; row: of each, ascending."""
-        out: set[tuple[int, int]] = set()
         if not len(hashes):
-            return out
-        out.update(self.found(self.bottom, hashes, row))
+            return set()
+        packed = [self.found(self.bottom, hashes, row)]
         if -1 in self.levels:
-            out.update(self.found(self.levels[-1][0], hashes, row))
+            packed.append(self.found(self.levels[-1][0], hashes, row))
+        self.windows(hashes, row, packed)
+        return {(int(x >> 32), int(x & 0xFFFFFFFF)) for x in np.unique(np.concatenate(packed))}
+
+    def windows(self, hashes: np.ndarray, row: np.ndarray, packed: list[np.ndarray]) -> None:
         top = max(self.levels, default=-1)
         if top < 0:
-            return out
+            return
         change = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
         length = np.diff(np.concatenate([change, [len(row)]]))
         place = np.arange(len(row)) - np.repeat(change, length)
@@ -108,9 +124,8 @@ class Items:
                 if level in self.levels:
                     windows = blocks.copy()
                     np.minimum(windows[:-1], blocks[1:], out=windows[:-1], where=~alone[:-1])
-                    out.update(self.found(self.levels[level][f], windows, rows))
+                    packed.append(self.found(self.levels[level][f], windows, rows))
                 blocks = np.minimum.reduceat(blocks, merge)
-        return out
 
 
 def matches(items: Items, raw: np.ndarray, at: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
@@ -124,7 +139,7 @@ def matches(items: Items, raw: np.ndarray, at: np.ndarray, threshold: float) ->
     for i in np.flatnonzero((count > 0) & (count < 5)):  # a text of fewer words is one shingle
         short[int(i)] = shingle_sets(raw[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]))[0][0]
         if -1 in items.levels:
-            pairs.update((int(i), j) for _, j in items.found(items.levels[-1][0], short[int(i)], np.zeros(1, np.int64)))
+            pairs.update((int(i), int(x)) for index in (items.levels[-1][0], items.bottom) for x in items.found(index, short[int(i)], np.zeros(1, np.int64)))
     out: list[tuple[int, int, int]] = []
     place = np.searchsorted(owner, np.arange(len(at)))
     held, of = np.zeros(0, np.uint64), -1
