@@ -2,7 +2,8 @@
 
 The reader's tasks get byte ranges. A task scans its range for the gzip magic, takes a position as a
 member only if decoding it gives a WARC header, and owns the records that start inside its range;
-a record may end beyond it. From one member the next is known to start where it ends.
+a record may end beyond it. From one member the next is known to start where it ends; these chains are followed from range to
+range, so a member that is stored inside another is not taken for a record, and a broken one is an error.
 Archives are written to and read from any store that pyarrow.fs opens by its URI.
 """
 
@@ -13,6 +14,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -107,10 +109,15 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, level: int = 3) -> D
     return pages.sparkSession.createDataFrame(files, "file string, records long, bytes long")
 
 
-def members_in(store: pafs.FileSystem, path: str, begin: int, end: int, size: int) -> Iterator[bytes]:
-    """The decoded members that start in [begin, end)."""
+def chains_in(store: pafs.FileSystem, path: str, begin: int, end: int, size: int) -> Iterator[tuple[int, int, bytes | None, bool]]:
+    """Chains of members that start in [begin, end), each from where the one before ends: (start of the chain, place, member, whole).
+
+    After a chain's members comes a row without a member: the place where it leaves the range or the file, or where it breaks off (not
+    whole). Behind a break the search for a first member goes on: one member may be stored inside another, and only the chains of the
+    ranges before tell which of them is an archive's own.
+    """
     with store.open_input_file(path) as source:
-        at, buffer, base = begin, b"", begin
+        at, buffer, base, chain = begin, b"", begin, None
 
         def more() -> bool:
             nonlocal buffer
@@ -120,34 +127,76 @@ def members_in(store: pafs.FileSystem, path: str, begin: int, end: int, size: in
             return bool(got)
 
         while at < end:
-            found = buffer.find(MAGIC, at - base)
-            if found < 0:
-                keep = max(at, base + len(buffer) - len(MAGIC) + 1)
-                buffer, base, at = buffer[keep - base :], keep, keep
-                if at >= end or not more():
+            if chain is None:  # any magic may start one
+                found = buffer.find(MAGIC, at - base)
+                if found < 0:
+                    keep = max(at, base + len(buffer) - len(MAGIC) + 1)
+                    buffer, base, at = buffer[keep - base :], keep, keep
+                    if at >= end or not more():
+                        return
+                    continue
+                at = base + found
+                if at >= end:
                     return
-                continue
-            at = base + found
-            if at >= end:
-                return
-            buffer, base = buffer[found:], at
-            unpack, out, used = zlib.decompressobj(31), [], 0
+            buffer, base = buffer[at - base :], at
+            unpack, out, used, got = zlib.decompressobj(31), [], 0, 0
             try:
                 while not unpack.eof:
                     if used == len(buffer) and not more():
                         break
                     out.append(unpack.decompress(buffer[used:]))
                     used = len(buffer)
-                    if out and sum(map(len, out[:2])) >= 7 and not b"".join(out[:2]).startswith(b"WARC/1."):
+                    got += len(out[-1])
+                    if got >= 7 and not b"".join(out[:8]).startswith(b"WARC/1."):
                         raise zlib.error("not a record")
                 valid = unpack.eof and b"".join(out).startswith(b"WARC/1.")
             except zlib.error:
                 valid = False
             if not valid:
+                if chain is not None:
+                    yield chain, at, None, False
+                    chain = None
                 at += 1
                 continue
-            yield b"".join(out)
+            chain = at if chain is None else chain
+            yield chain, at, b"".join(out), True
             at = base + len(buffer) - len(unpack.unused_data)
+            if at >= size:
+                break
+        if chain is not None:
+            yield chain, at, None, True
+
+
+def members_in(store: pafs.FileSystem, path: str) -> Iterator[bytes]:
+    """The members of a whole archive, in order; an error where there is none."""
+    size = store.get_file_info(path).size
+    ends = 0
+    for chain, at, data, whole in chains_in(store, path, 0, size, size):
+        if chain or not whole:
+            break
+        if data is not None:
+            yield data
+        else:
+            ends = at
+    if ends != size:
+        raise ValueError(f"{path}: broken archive, no whole member where one has to start")
+
+
+def own_chains(found: DataFrame) -> DataFrame:
+    """path and chain of an archive's own chains: the first starts at 0, each other where the one before leaves its range. A gap or a break is an error with its place."""
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        path, size = pdf["path"].iloc[0], int(pdf["length"].iloc[0])
+        ends = {int(c): (int(at), bool(whole)) for c, at, whole in zip(pdf["chain"], pdf["at"], pdf["whole"], strict=True)}
+        own, at = [], 0
+        while at < size:
+            if at not in ends or not ends[at][1]:
+                raise ValueError(f"{path}: broken archive, no whole member at byte {ends[at][0] if at in ends else at}")
+            own.append(at)
+            at = ends[at][0]
+        return pd.DataFrame({"path": path, "chain": pd.Series(own, dtype="int64")})
+
+    return found.filter("page is null").select("path", "length", "chain", "at", "whole").groupBy("path").applyInPandas(follow, "path string, chain long")
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -157,40 +206,49 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["Content-Length"])]
 
 
+def record_row(file: str, data: bytes) -> tuple | None:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of a response or revisit."""
+    headers, block = parse_record(data)
+    if headers["WARC-Type"] not in ("response", "revisit"):
+        return None
+    http, _, payload = block.partition(b"\r\n\r\n")
+    told = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+    if headers["WARC-Type"] == "response":
+        if (digest := base64.b32encode(hashlib.sha1(payload).digest()).decode()) != told:
+            raise ValueError(f"{file}: {headers['WARC-Record-ID']} has another payload than its digest says")
+        return page_of(headers["WARC-Record-ID"]), len(payload), digest, "response", None
+    length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+    return page_of(headers["WARC-Record-ID"]), length, told, "revisit", page_of(headers["WARC-Refers-To"])
+
+
 def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the archives in a folder.
 
     A response's digest and length come from its payload; a revisit's from its header and the headers of its HTTP block.
-    A response whose payload doesn't have the digest of its header raises an error.
+    Each range's task reads the records of every chain of members that starts there; the chains that hang together from a file's first byte to its last count,
+    and records that were stored inside others go. A member that is broken or cut off, a gap, and a response whose payload doesn't have the
+    digest of its header raise an error that names the file.
     """
+    kinds = pa.schema([("path", pa.string()), ("length", pa.int64()), ("chain", pa.int64()), ("at", pa.int64()), ("whole", pa.bool_()), ("page", pa.struct([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 store, file = pafs.FileSystem.from_uri(row["path"])
                 rows = []
-                for data in members_in(store, file, row["begin"], min(row["begin"] + split_bytes, row["length"]), row["length"]):
-                    headers, block = parse_record(data)
-                    if headers["WARC-Type"] not in ("response", "revisit"):
-                        continue
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    told = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if headers["WARC-Type"] == "response":
-                        if (digest := base64.b32encode(hashlib.sha1(payload).digest()).decode()) != told:
-                            raise ValueError(f"{file}: {headers['WARC-Record-ID']} has another payload than its digest says")
-                        rows.append((page_of(headers["WARC-Record-ID"]), len(payload), digest, "response", None))
-                    else:
-                        length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                        rows.append((page_of(headers["WARC-Record-ID"]), length, told, "revisit", page_of(headers["WARC-Refers-To"])))
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                for chain, at, data, whole in chains_in(store, file, row["begin"], min(row["begin"] + split_bytes, row["length"]), row["length"]):
+                    if data is None or (record := record_row(file, data)) is not None:
+                        page = None if data is None else dict(zip(kinds.field("page").type.names, record, strict=True))
+                        rows.append({"path": row["path"], "length": row["length"], "chain": chain, "at": at, "whole": whole, "page": page})
+                yield pa.RecordBatch.from_pylist(rows, kinds)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("begin"))
     n, total = ranges.agg(F.count("*"), F.sum(F.least(F.lit(split_bytes), F.col("length") - F.col("begin")))).first()
     tasks = max(-(-(total or 0) // TASK_BYTES), min(n, 4 * spark.sparkContext.defaultParallelism), 1)
-    return ranges.repartition(tasks, "path", "begin").mapInArrow(read, RECORDS)  # a stated number of tasks stays: the rows are tiny, what they name is not
+    dealt = ranges.repartition(tasks, "path", "begin")  # a stated number of tasks stays: the rows are tiny, what they name is not
+    found = cut(dealt.mapInArrow(read, f"path string, length long, chain long, at long, whole boolean, page struct<{RECORDS.replace(' ', ':').replace(',:', ',')}>"))
+    return found.filter("page is not null").join(own_chains(found), ["path", "chain"]).select("page.*")
 
 
 def archived(pages: DataFrame, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -202,7 +260,7 @@ def archived(pages: DataFrame, path: str, split_bytes: int = SPLIT_BYTES) -> Dat
 
 
 def round_trip(pages: DataFrame, path: str) -> DataFrame:
-    """What the archives say of the pages; the archives go once their records are checkpointed."""
-    found = cut(archived(pages, path))
+    """What the archives say of the pages; the archives go, as their records are checkpointed."""
+    found = archived(pages, path)
     drop_dir(path)
     return found
