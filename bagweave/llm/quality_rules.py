@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bagweave.functions.ranged import ranged_sums
 from bagweave.llm.common import cut, pieces, run_hashes, span_hashes, word_spans
 
 #: Fixed values of the contract: symbols, window, base rules.
@@ -29,7 +30,7 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 ALPHA, DELTA = 0.05, 0.05
 #: Strata whose cutoffs are broadcast (some 100 bytes each); more are joined.
 FEW_STRATA = 10_000
-LEVELS = (0.0, 0.0005, 0.001, 0.002)
+LEVELS = (0.0, 0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.015, 0.02, 0.03, 0.05)
 RATES = ("symbol_rate", "line_rate", "repeat_rate", "upper_rate")
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
 
@@ -111,13 +112,28 @@ def tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(math.exp(x) for x in logs))
 
 
+def cutoffs_by_level(rows: DataFrame) -> DataFrame:
+    """stratum and, for each rate, an array of its exact upper quantiles at LEVELS: of n values in order, that at place ceil((1 - level) n).
+
+    Equal rates are counted once, and places are running sums over ranges of (language, rate, value), so a large language is no hot key.
+    """
+    pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("rate"), F.col(r).alias("value")) for i, r in enumerate(RATES))))
+    counts = rows.select("lang", pairs.alias("p")).groupBy("lang", "p.rate", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(ranged_sums(counts, [F.col("lang"), F.col("rate"), F.col("value")], {"upto": F.col("n")}))
+    groups = placed.groupBy("lang", "rate").agg(F.sum("n").alias("all"), F.min(F.col("upto") - F.col("n")).alias("base"))
+    levels = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x).alias("level")) for i, x in enumerate(LEVELS))))
+    wanted = groups.withColumn("l", levels).select("lang", "rate", "l.i", (F.col("base") + F.greatest(F.lit(1.0), F.ceil((1 - F.col("l.level")) * F.col("all"))).cast("long")).alias("place"))
+    found = placed.join(wanted, ["lang", "rate"]).filter((F.col("place") <= F.col("upto")) & (F.col("place") > F.col("upto") - F.col("n")))
+    at = lambda i, r: F.max(F.when((F.col("i") == i) & (F.col("rate") == r), F.col("value")))
+    return found.groupBy(F.col("lang").alias("stratum")).agg(*(F.array(*(at(i, r) for i in range(len(LEVELS)))).alias(f"cut_{name}") for r, name in enumerate(RATES)))
+
+
 def chosen_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum and the cutoff of each rate, for the strata with a passed level. Equal rows of one document are one trial."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select(F.col("doc_id").alias("good_id"))
     rows = stats.join(good, F.col("doc_id") == F.col("good_id")).dropDuplicates()
     rows = rows.withColumns(rates()).withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("half", F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long") % 2)
-    quantiles = F.array(*(F.lit(1.0 - level) for level in LEVELS))
-    proposed = cut(rows.filter("half = 0").groupBy("lang").agg(*(F.percentile_approx(r, quantiles, 10000).alias(f"cut_{r}") for r in RATES)).withColumnRenamed("lang", "stratum"))
+    proposed = cut(cutoffs_by_level(rows.filter("half = 0")))
     tested = rows.filter("half = 1").join(F.broadcast(proposed) if proposed.count() <= FEW_STRATA else proposed, F.col("lang") == F.col("stratum"))
     fails = [F.count_if(F.greatest(*(F.col(r) > F.col(f"cut_{r}")[i] for r in RATES))).alias(f"k{i}") for i in range(len(LEVELS))]
     summary = cut(tested.groupBy(F.col("lang").alias("stratum")).agg(F.count("*").alias("n"), *fails, *(F.first(f"cut_{r}").alias(f"cut_{r}") for r in RATES)))
