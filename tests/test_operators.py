@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bagweave.functions.scalar import cosine_taper, membership_digest
-from bagweave.operators import allocation, audits, bags, clustering, graph, linking, policies, spatial, strata
+from bagweave.operators import allocation, audits, bags, graph, linking, policies, spatial, strata
 from bagweave.sources import records, sinks
 from bagweave.streaming import regions
 
@@ -87,14 +87,6 @@ def test_latest_before_status(spark):
     assert rows(policies.latest_eligible(r, ["run"], "attempt", "status", "ok")) == [("b", 1, "ok")]
 
 
-def test_density_labels_find_two_groups():
-    rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(0, 0.1, (30, 2)), rng.normal(5, 0.1, (30, 2)), [[2.5, 2.5]]])
-    k = clustering.density_labels(x, 8, 4)
-    assert len(set(k[:30])) == 1 and len(set(k[30:60])) == 1 and k[0] != k[30]
-    assert (clustering.density_labels(x[:10], 8, 4) == -1).all()
-
-
 def test_scans(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text('{"identifier":"1ABC_A_Q","sequence":"acde","label":1,"protein_copy":1}\n\n{"identifier":"2","sequence":"A1","label":1,"protein_copy":1}\n')
     got = records.evidence_jsonl(spark, f"file://{tmp_path}/e.jsonl").orderBy("identifier").collect()
