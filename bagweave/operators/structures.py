@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from bagweave.functions.lineage import cut
 from bagweave.functions.scalar import pearson, ratio
 from bagweave.operators.spatial import XYZ, near_pairs
 
@@ -175,16 +177,45 @@ def outside_cells(cells: DataFrame, by: str) -> DataFrame:
     return grouped_kernel(cells, by, flood, f"{by} {cells.schema[by].dataType.simpleString()}, cx long, cy long, cz long, state string")
 
 
-def independent_directions(vectors: DataFrame, identifier: str, values: str, score: str, threshold: float, most: int = 4096) -> list:
-    """Greedy by falling score: ids whose cosine with every id kept so far is under the threshold. A list of at most ``most`` candidates, else an error."""
-    rows = vectors.orderBy(F.col(score).desc(), identifier).select(identifier, values).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} directions")
-    kept, units = [], []
-    for r in rows:
-        v = np.array(r[values], float)
-        v /= max(np.linalg.norm(v), 1e-12)
-        if all(abs(v @ u) < threshold for u in units):
-            kept.append(r[identifier])
-            units.append(v)
-    return kept
+def similar_directions(vectors: DataFrame, identifier: str, values: str, threshold: float) -> DataFrame:
+    """src < dst: pairs whose cosine is ``threshold`` (above 0) or more, or minus that or less.
+
+    Directions so alike, one of them turned round where the cosine is negative, are within sqrt(2 - 2 threshold) of each other, and so are
+    their coordinates on any axes: cells on the three axes of most spread find all of them, and the cosine decides. The higher the threshold, the more the cells spare.
+    """
+    unit = F.transform(values, lambda x: x.cast("double"))
+    rows = vectors.select(F.col(identifier).alias("id"), unit.alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    rows = cut(rows.withColumn("length", length).select("id", F.transform("v", lambda x: x / F.greatest(F.col("length"), F.lit(1e-12))).alias("v")))
+    spread = rows.select(F.posexplode("v").alias("axis", "x")).groupBy("axis").agg(F.sum(F.col("x") * F.col("x")).alias("s")).orderBy(F.desc("s"), "axis").limit(len(XYZ)).collect()
+    axes = [r["axis"] for r in spread]
+    at = lambda v, k: v[axes[k]] if k < len(axes) else F.lit(0.0)
+    side = F.explode(F.array(F.lit(1.0), F.lit(-1.0)))
+    left = rows.withColumn("sign", side).select("id", "v", *((at(F.col("v"), k) * F.col("sign")).alias(c) for k, c in enumerate(XYZ)))
+    right = rows.select("id", "v", *(at(F.col("v"), k).alias(c) for k, c in enumerate(XYZ)))
+    near = near_pairs(left, right, math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9, F.col("a_id") < F.col("b_id"))
+    cosine = F.aggregate(F.zip_with("a_v", "b_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return near.filter(F.abs(cosine) >= threshold).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")).distinct()
+
+
+def independent_directions(vectors: DataFrame, identifier: str, values: str, score: str, threshold: float) -> DataFrame:
+    """identifier and score of what a greedy pass by falling score (ties: the lesser id) keeps: ids whose absolute cosine with every id kept before is under the threshold.
+
+    The pass is the lexicographically first independent set of the pairs that are too alike: in each round an id is kept if no undecided id with
+    such a pair goes before it, and those alike go. Rounds are as many as the longest chain of falling scores along pairs.
+    """
+    pairs = cut(similar_directions(vectors, identifier, values, threshold))
+    rank = vectors.select(F.col(identifier).alias("id"), F.struct((-F.col(score)).alias("s"), F.col(identifier).alias("i")).alias("rank"))
+    both = pairs.join(rank.select(F.col("id").alias("src"), F.col("rank").alias("a")), "src").join(rank.select(F.col("id").alias("dst"), F.col("rank").alias("b")), "dst")
+    first = F.col("a") < F.col("b")
+    open_ = cut(both.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("before"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("after")))
+    gone = None
+    while not open_.isEmpty():
+        waits = open_.select(F.col("after").alias("before")).distinct()
+        kept = open_.select("before").distinct().join(waits, "before", "left_anti")
+        new = cut(open_.join(kept, "before", "left_semi").select(F.col("after").alias("id")).distinct())
+        gone = new if gone is None else gone.unionAll(new)
+        open_ = cut(open_.join(kept, "before", "left_anti").join(new.withColumnRenamed("id", "before"), "before", "left_anti").join(new.withColumnRenamed("id", "after"), "after", "left_anti"))
+    own = vectors.select(identifier, score)
+    return own if gone is None else own.join(gone.withColumnRenamed("id", identifier), identifier, "left_anti")
+

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagweave.functions.lineage import cut, ensure_shared_dir
+from bagweave.functions.ranged import ranged_places
 from bagweave.operators import assets, fields, structures
 from bagweave.operators.spatial import near_pairs
 from bagweave.plans.asset_queries import VIEWS, member_views, sha
@@ -221,8 +222,7 @@ def torsions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def independent_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings kept greedily by id score whose cosine with all kept before is under 0.5."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(1000)).alias("score"))
-    kept = structures.independent_directions(e, "vec_id", "embedding", "score", 0.5)
-    return spark.createDataFrame([(i, int(v)) for i, v in enumerate(kept)], "place long, vec_id long")
+    return ranged_places(structures.independent_directions(e, "vec_id", "embedding", "score", 0.5), [F.desc("score"), F.col("vec_id")], "place").select((F.col("place") - 1).alias("place"), "vec_id")
 
 
 @query()
