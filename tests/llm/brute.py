@@ -87,3 +87,27 @@ def leaks(texts: dict[int, str], items: dict[int, str], threshold: float = 0.75)
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def mix(rows: list[tuple]) -> dict:
+    """doc_id: words taken, of (doc_id, source, text) rows; sources weigh 1, 2, 3 in turn, and targets stop at three times their size."""
+    sized = [(i, s, len(WORD.findall(t or "")), int(hashlib.md5(f"0:{i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:15], 16)) for i, s, t in rows]
+    own = defaultdict(int)
+    for _, s, n, _ in sized:
+        own[s] += n
+    weight = {s: i % 3 + 1 for i, s in enumerate(sorted(own, key=lambda s: (s is None, s or "")))}
+    open_, target, left = set(own), {}, float(sum(own.values()))
+    while open_:
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * own[s]}
+        target |= share if not over else {s: 3.0 * own[s] for s in over}
+        left -= sum(target[s] for s in over)
+        open_ = open_ - over if over else set()
+    out = {}
+    for s in own:
+        budget, before = round(target[s]), 0
+        whole, rest = divmod(budget, own[s]) if own[s] else (0, 0)
+        for i, _, n, _ in sorted((x for x in sized if x[1] == s), key=lambda x: (x[3], x[0], x[2])):
+            out[i] = whole * n + max(0, min(n, rest - before))
+            before += n
+    return out

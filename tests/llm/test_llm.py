@@ -497,8 +497,9 @@ def test_pipeline(spark):
     leaks = {i for i, _ in brute.leaks({i: t or "" for i, t in left.items()}, {r["item_id"]: r["text"] for r in bench.collect()})}
     left = {i: t for i, t in left.items() if i not in leaks}
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
-    assert got and set(got) <= set(left)
-    assert sum(r["taken"] for r in got.values()) == pytest.approx(sum(len(brute.WORD.findall(t or "")) for t in left.values()), rel=0.02)
+    clean = {r["doc_id"]: r for r in secrets.redact_secrets(docs.filter(F.col("doc_id").isin(*left))).collect()}
+    taken = {i: n for i, n in brute.mix([(i, r["source"], r["text"]) for i, r in clean.items()]).items() if n}
+    assert {i: (r["taken"], r["text"], r["source"]) for i, r in got.items()} == {i: (n, clean[i]["text"], clean[i]["source"]) for i, n in taken.items()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "source mixing"]
 
 
