@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bagweave.llm import decontamination, jaccard, mixing, quality_knn, secrets
-from bagweave.llm.common import drop_dir, fresh_dir, table
+from bagweave.llm.common import cut, drop_dir, fresh_dir, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +46,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
-        path = fresh_dir(spark, "pipeline-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:  # nothing reads the stage before any more; that of the last stage's input stays for the caller
-            drop_dir(before)
-        before = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The last stage's rows, checkpointed; what the stages wrote goes, also after an error."""
+    docs, paths = table(spark, sf_dir, "documents"), []
+    try:
+        for name, stage in STAGES[:-1]:
+            paths.append(fresh_dir(spark, "pipeline-" + name.replace(" ", "-")))
+            stage(spark, docs, sf_dir).write.parquet(paths[-1])
+            docs = spark.read.parquet(paths[-1])
+            if len(paths) > 1:  # nothing reads the stage before any more
+                drop_dir(paths.pop(0))
+        return cut(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        for path in paths:
+            drop_dir(path)
