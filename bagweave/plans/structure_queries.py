@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bagweave.operators import envelopes
 from bagweave.operators import structures as ops
 from bagweave.operators.spatial import fibonacci_sphere, near_pairs
 from bagweave.plans.registry import query
@@ -126,3 +127,16 @@ def surface_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = atoms(spark, sf_dir).groupBy("owner", *(F.floor(F.col(c) / 0.8).cast("long").alias(f"c{c}") for c in "xyz")).agg((F.count("*") > 1).alias("filled"))
     return ops.outside_cells(cells, "owner")
+
+
+@query(f"""WITH {ATOMS}, p AS (SELECT * FROM atoms WHERE atom % 2 = 0), s AS (SELECT * FROM atoms WHERE atom % 2 = 1), n AS (SELECT a.atom, a.owner, sqrt({D2}) - (b.radius + 0.3::DOUBLE) AS g, (a.x - b.x) / greatest(sqrt({D2}), 1e-12) AS rx, (a.y - b.y) / greatest(sqrt({D2}), 1e-12) AS ry, (a.z - b.z) / greatest(sqrt({D2}), 1e-12) AS rz, a.nx, a.ny, a.nz FROM p a JOIN s b ON a.owner = b.owner AND sqrt({D2}) <= 1.1::DOUBLE),
+m AS (SELECT *, min(g) OVER (PARTITION BY atom) AS least FROM n), e AS (SELECT atom, any_value(least) AS gap, sum(exp(-(g - least) / 0.1::DOUBLE) * rx) AS ex, sum(exp(-(g - least) / 0.1::DOUBLE) * ry) AS ey, sum(exp(-(g - least) / 0.1::DOUBLE) * rz) AS ez, any_value(nx) AS nx, any_value(ny) AS ny, any_value(nz) AS nz FROM m WHERE g <= least + 0.25::DOUBLE GROUP BY atom),
+c AS (SELECT p.owner, p.atom, gap, coalesce((ex * e.nx + ey * e.ny + ez * e.nz) / greatest(sqrt(ex * ex + ey * ey + ez * ez), 1e-12), 0) AS cosine FROM p LEFT JOIN e USING (atom))
+SELECT owner, CAST(count(*) AS BIGINT) AS points, round(min(gap), 6) AS least_gap, round(max(gap), 6) AS largest_gap, round(max(abs(gap)), 6) AS widest_gap, round(min(cosine), 6) AS least_cosine, round(avg(cosine), 6) AS mean_cosine, CAST(count(*) FILTER (gap < -0.01::DOUBLE) AS BIGINT) AS inside, CAST(count(*) FILTER (gap IS NULL OR gap > 0.01::DOUBLE) AS BIGINT) AS off, CAST(count(*) FILTER (cosine < 0.99::DOUBLE) AS BIGINT) AS turned FROM c GROUP BY owner""")
+def surface_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms of even numbers as points of a surface, those of odd numbers as its spheres."""
+    a = atoms(spark, sf_dir)
+    points = a.filter("atom % 2 = 0").select("owner", "atom", "x", "y", "z", "nx", "ny", "nz")
+    found = envelopes.alignment(points, a.filter("atom % 2 = 1").select("owner", F.col("atom").alias("sphere"), "x", "y", "z", "radius"), "owner", "atom", 0.4, 0.3, 0.4)
+    report = envelopes.envelope_report(found, "owner", 0.4)
+    return report.select("owner", "points", *(F.round(c, 6).alias(c) for c in ("least_gap", "largest_gap", "widest_gap", "least_cosine", "mean_cosine")), "inside", "off", "turned")
