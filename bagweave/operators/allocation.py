@@ -127,18 +127,19 @@ def nested_subsets(rows: DataFrame, group: str, strata: Sequence[str], fractions
 def diverse_choice(rows: DataFrame, identifier: str, group: str, strata: Sequence[str], target: int, seed: int = 2026, preferred: str | None = None) -> DataFrame:
     """The identifiers of ``target`` rows, picked one by one by the least (not preferred, count of its group, counts of its strata, seeded rank).
 
-    Rows of one group and strata differ only by rank, so the loop runs over (group, strata) cells with their counts, in a heap
-    whose stale entries are put back; it decides how many rows each cell gives, and Spark takes those of the least rank.
+    Rows of one group and strata differ only by rank, so the loop runs over (group, strata) cells with the ranks of their first ``target`` rows,
+    eight bytes each, in a heap whose stale entries are put back; it decides how many rows each cell gives, and Spark takes those of the least rank.
     """
     cells = rows.withColumn("_pref", F.lit(0) if preferred is None else F.when(F.col(preferred), 0).otherwise(1))
     cells = cells.select(F.col(identifier).alias("_id"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_g"), *(F.coalesce(F.col(s).cast("string"), F.lit("")).alias(f"_s{i}") for i, s in enumerate(strata)), "_pref", seeded_rank(seed, F.col(identifier)).alias("_rank"))
     keys = ["_pref", "_g", *(f"_s{i}" for i in range(len(strata)))]
-    counted = cells.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_rank").alias("_first"))
+    ranked = cells.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_rank", "_id"))).filter(F.col("_r") <= target)
+    counted = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.conv(F.substring("_rank", 1, 15), 16, 10).cast("long"))).alias("_ranks"))
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         records = pdf.to_dict("records")
         seen, taken = Counter(), Counter()
-        key = lambda i: (records[i]["_pref"], *(seen[k, records[i][k]] for k in keys[1:]), records[i]["_first"])
+        key = lambda i: (records[i]["_pref"], *(seen[k, records[i][k]] for k in keys[1:]), records[i]["_ranks"][taken[i]])
         heap = [(key(i), i) for i in range(len(records))]
         heapq.heapify(heap)
         picked = 0
@@ -151,12 +152,11 @@ def diverse_choice(rows: DataFrame, identifier: str, group: str, strata: Sequenc
             taken[i] += 1
             for k in keys[1:]:
                 seen[k, records[i][k]] += 1
-            if taken[i] < records[i]["_n"]:
+            if taken[i] < len(records[i]["_ranks"]):
                 heapq.heappush(heap, (key(i), i))
         return pd.DataFrame([{**{k: records[i][k] for k in keys}, "_take": n} for i, n in taken.items()], columns=[*keys, "_take"])
 
     takes = sequential(counted, decide, ", ".join("_pref int" if k == "_pref" else f"{k} string" for k in keys) + ", _take long")
-    ranked = cells.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_rank", "_id")))
     return ranked.join(takes, keys).filter("_r <= _take").select(F.col("_id").alias(identifier))
 
 

@@ -59,17 +59,17 @@ def all_neighbours(points: DataFrame, by: str, key: str, columns: Sequence[str],
     rows = own.join(sizes, by)
     least = F.row_number().over(Window.partitionBy(by, *columns).orderBy(key))
     found = cut(rows.withColumn("_r", least))
-    there = found.filter(F.col("_r") <= k + 1).select(F.col(by).alias("_by"), F.col(key).alias("dst"), *(F.col(c).alias(f"_b{c}") for c in columns))
+    there = found.filter(F.col("_r") <= k + 1).select(F.col(by).alias("_by"), F.col(key).alias("dst"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(columns)))
     left, out, factor = found.drop("_r"), None, 1.0
     while True:
         edge = F.col("edge") * factor
         near = cells_around(left.withColumns(cell_of(columns, edge)), columns)
-        beside = there.join(sizes.select(F.col(by).alias("_by"), "edge"), "_by").withColumns({f"_d{i}": F.floor(F.col(f"_b{c}") / edge).cast("long") for i, c in enumerate(columns[:AXES])}).drop("edge")
+        beside = there.join(sizes.select(F.col(by).alias("_by"), "edge"), "_by").withColumns({f"_d{i}": F.floor(F.col(f"_o{i}") / edge).cast("long") for i in range(len(columns[:AXES]))}).drop("edge")
         same = [F.col(by) == F.col("_by"), *(F.col(f"_c{i}") == F.col(f"_d{i}") for i in range(len(columns[:AXES])))]
         on = same[0]
         for c in same[1:]:
             on = on & c
-        d = F.sqrt(sum((F.col(c) - F.col(f"_b{c}")) * (F.col(c) - F.col(f"_b{c}")) for c in columns))
+        d = F.sqrt(sum((F.col(c) - F.col(f"_o{i}")) * (F.col(c) - F.col(f"_o{i}")) for i, c in enumerate(columns)))
         pairs = near.join(beside, on).filter(F.col(key) != F.col("dst")).select(by, F.col(key).alias("src"), "dst", d.alias("d"), "n", "span", (F.col("edge") * factor).alias("ring"))
         ranked = pairs.filter((F.col("d") <= F.col("ring")) | (F.col("ring") >= F.col("span"))).withColumn("rank", F.row_number().over(Window.partitionBy(by, "src").orderBy("d", "dst"))).filter(F.col("rank") <= k)
         whole = ranked.withColumn("got", F.count(F.lit(1)).over(Window.partitionBy(by, "src"))).filter(F.col("got") == F.least(F.lit(k), F.col("n") - 1))
@@ -177,8 +177,8 @@ def band(heads: DataFrame, columns: Sequence[str], reach: float) -> DataFrame:
     around = cells_around(held, columns)
     mixed = around.join(held.withColumnRenamed("comp", "there"), names).filter("comp <> there").select(*names, "there", "comp").distinct()
     one = cells_around(live, columns).join(mixed, [*names, "comp"])
-    two = live.select(*names, F.col("comp").alias("there"), F.col("id").alias("_id"), F.col("core").alias("_core"), *(F.col(c).alias(f"_b{c}") for c in columns))
-    w = F.greatest(F.col("core"), F.col("_core"), F.sqrt(sum((F.col(c) - F.col(f"_b{c}")) * (F.col(c) - F.col(f"_b{c}")) for c in columns)))
+    two = live.select(*names, F.col("comp").alias("there"), F.col("id").alias("_id"), F.col("core").alias("_core"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(columns)))
+    w = F.greatest(F.col("core"), F.col("_core"), F.sqrt(sum((F.col(c) - F.col(f"_o{i}")) * (F.col(c) - F.col(f"_o{i}")) for i, c in enumerate(columns))))
     pairs = one.join(two, [*names, "there"]).filter(F.col("id") < F.col("_id")).select("comp", "there", "id", "_id", w.alias("w")).filter(F.col("w") <= reach)
     best = pairs.groupBy(F.least("comp", "there").alias("ca"), F.greatest("comp", "there").alias("cb")).agg(F.min(F.struct("w", F.col("id").alias("a"), F.col("_id").alias("b"))).alias("e"))
     return cut(best.select("e.a", "e.b", "e.w", "ca", "cb"))

@@ -125,14 +125,20 @@ def staged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrays.staged_pages(pages, "total", "items", "struct<id: bigint, term: string>")
 
 
-KNOWN = ("curvature", "depth", "charge", "donor", "gap", "ring")
-GROUPS = {"shape": ("curvature", "depth"), "chemistry": ("charge", "donor", "ring")}
+KNOWN = ("signup", "view", "click", "purchase", "error")
+GROUPS = {"buying": ("purchase", "click"), "coming": ("signup", "view", "click")}
 
 
-@query("SELECT * FROM (VALUES (1, 'charge'), (2, 'ring'), (3, 'gap'), (4, 'curvature')) t(place, feature)")
+@query("""WITH u AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS names, list_sort(list(DISTINCT CASE WHEN event_id % 3 = 0 THEN 'error' WHEN event_id % 50 = 1 THEN 'view' END) FILTER (event_id % 3 = 0 OR event_id % 50 = 1)) AS less FROM events GROUP BY user_id),
+a AS (SELECT user_id, list_concat(CASE user_id % 3 WHEN 0 THEN ['purchase', 'click'] WHEN 1 THEN ['signup', 'view', 'click'] ELSE [] END, names) AS asked, coalesce(less, []) AS less FROM u), e AS (SELECT user_id, unnest(asked) AS feature, generate_subscripts(asked, 1) AS k, less FROM a), f AS (SELECT user_id, feature, min(k) AS k FROM e WHERE NOT list_contains(less, feature) GROUP BY ALL)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY k) AS INTEGER) AS place, feature FROM f""")
 def feature_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = arrays.resolved(["gap", "charge", "curvature"], KNOWN, GROUPS, "chemistry", ["donor"])
-    return spark.createDataFrame(list(enumerate(names, 1)), "place int, feature string")
+    """The features that each user's events ask for, with a group and exclusions by user and event."""
+    less = F.when(F.col("event_id") % 3 == 0, "error").when(F.col("event_id") % 50 == 1, "view")
+    asked = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("names"), F.collect_set(less).alias("less"))
+    requests = asked.withColumn("group", F.when(F.col("user_id") % 3 == 0, "buying").when(F.col("user_id") % 3 == 1, "coming"))
+    found = arrays.resolved(requests, "names", KNOWN, GROUPS, "group", "less")
+    return found.select("user_id", F.posexplode("features").alias("k", "feature")).select("user_id", (F.col("k") + 1).alias("place"), "feature")
 
 
 @query("""WITH a AS (SELECT l_orderkey AS member, CASE l_linenumber % 3 WHEN 0 THEN 'surface' WHEN 1 THEN 'graph' ELSE 'spectral' END AS family, l_suppkey % 3 AS parent FROM lineitem)

@@ -166,6 +166,20 @@ def density_phenotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.phenotypes(descriptors.robust_scaled(e, [f"v{i}" for i in range(4)]), "vec_id", [f"v{i}" for i in range(4)], "G", 8, 4)
 
 
+@query()
+def stable_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the least of three sizes, if those of the others agree with them."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(3)))
+    return clustering.stable_phenotypes(e, "vec_id", ["v0", "v1", "v2"], "P", [4, 6, 8], 3, 0.5)[0]
+
+
+@query()
+def diverse_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers that the diverse choice takes, preferring those in debt."""
+    c = table(spark, sf_dir, "customer").withColumn("debt", F.col("c_acctbal") < 0)
+    return allocation.diverse_choice(c, "c_custkey", "c_nationkey", ["c_mktsegment"], 60, preferred="debt")
+
+
 @query()
 def shortcut_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "n_chars", "lang", F.col("quality").cast("double").alias("label"))

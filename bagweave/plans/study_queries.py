@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bagweave.functions.scalar import metric_name, ratio
@@ -173,15 +173,18 @@ def pooling_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("owner", "mode", "max", F.round(F.col("area_mean") + 1e-9, 6).alias("mean"), F.round("lse", 6).alias("log_sum_exp"), r6("gem"), F.round(F.col("max_mean") + 1e-9, 6).alias("max_mean"))
 
 
-@query("""SELECT unnest([1, 2, 3]) AS place, unnest([1e-3 / sqrt(10), 1e-3, 1e-3 * sqrt(10)]) AS lambda""")
+@query(f"""WITH {RUNS}, s AS (SELECT trial, arg_max(k, (metric, attempt)) / 1000.0::DOUBLE AS selected FROM runs WHERE k IS NOT NULL GROUP BY trial), g AS (SELECT trial, selected, place, CASE WHEN selected = 0 THEN CASE place WHEN 1 THEN 0.0 WHEN 2 THEN 1e-6 ELSE 1e-5 END::DOUBLE ELSE selected * CASE place WHEN 1 THEN 1 / sqrt(10) WHEN 2 THEN 1 ELSE sqrt(10) END END AS weight FROM s, (VALUES (1), (2), (3)) t(place))
+SELECT trial, CAST(place AS INTEGER) AS place, round(weight, 9) AS "lambda", sha256(trial || ':' || place || ':' || CAST(selected * 1000 AS INTEGER)) AS parameters FROM g""")
 def lambda_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = ops_lambdas(1e-3)
-    return spark.createDataFrame(list(enumerate(grid, 1)), "place int, lambda double")
+    """The finer grid about the weight that each trial's best run took, and a digest of what each cell is made of."""
+    best = runs(spark, sf_dir).filter("k is not null").groupBy("trial").agg((F.max_by("k", F.struct("metric", "attempt")) / F.lit(1000.0)).alias("selected"))
+    cells = best.select("trial", "selected", F.posexplode(local_lambdas(F.col("selected"))).alias("k", "lambda")).withColumn("place", F.col("k") + 1)
+    return cells.select("trial", "place", F.round("lambda", 9).alias("lambda"), F.sha2(F.concat_ws(":", "trial", "place", F.round(F.col("selected") * 1000).cast("int")), 256).alias("parameters"))
 
 
-def ops_lambdas(selected: float) -> tuple[float, ...]:
+def local_lambdas(selected: Column) -> Column:
     """Three values about the selected one, half a decade apart; from 0 upward where that is selected."""
-    return (0.0, 1e-6, 1e-5) if selected == 0 else tuple(selected * 10 ** (e / 2) for e in (-1, 0, 1))
+    return F.when(selected == 0, F.array(F.lit(0.0), F.lit(1e-6), F.lit(1e-5))).otherwise(F.array(*(selected * 10 ** (e / 2) for e in (-1, 0, 1))))
 
 
 @query(f"""WITH {RUNS}, k AS (SELECT run, trial, seed, metric, status FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY attempt DESC) AS r FROM runs) WHERE r = 1), t AS (SELECT trial, avg(metric) AS mean FROM k WHERE status <> 'error' GROUP BY trial), b AS (SELECT trial, mean, row_number() OVER (ORDER BY mean DESC, trial) AS place FROM t)

@@ -98,11 +98,14 @@ def staged_pages(pages: DataFrame, total: str, items: str, schema: str) -> DataF
     return rows
 
 
-def resolved(names: Sequence[str], known: Sequence[str], groups: dict[str, Sequence[str]], group: str | None = None, exclude: Sequence[str] = ()) -> tuple[str, ...]:
-    """The group's features, then the named ones, each once in that order, without the excluded ones; unknown names are errors."""
-    if group is not None and group not in groups:
-        raise ValueError(f"unknown group: {group!r}")
-    asked = [*groups.get(group, ()), *names]
-    if unknown := sorted({*asked, *exclude} - set(known)):
-        raise ValueError(f"unknown features: {unknown}")
-    return tuple(n for n in dict.fromkeys(asked) if n not in exclude)
+def resolved(requests: DataFrame, names: str, known: Sequence[str], groups: dict[str, Sequence[str]], group: str, exclude: str) -> DataFrame:
+    """Adds ``features`` to requests: the group's features (a null group has none), then the named ones (array columns ``names`` and ``exclude``), each
+    once in that order, without the excluded ones. An unknown group or feature is an error when read."""
+    whole = F.create_map(*(x for k, v in groups.items() for x in (F.lit(k), F.array(*(F.lit(n) for n in v)))))
+    none = F.array().cast("array<string>")
+    own = F.when(F.col(group).isNull(), none).otherwise(F.coalesce(F.try_element_at(whole, F.col(group)), F.raise_error(F.concat(F.lit("unknown group: "), group)).cast("array<string>")))
+    asked, less = F.concat(own, F.coalesce(names, none)), F.coalesce(exclude, none)
+    unknown = F.array_except(F.concat(asked, less), F.array(*(F.lit(n) for n in known)))
+    fine = F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown features: "), F.array_join(F.array_sort(unknown), ", "))).cast("array<string>")).otherwise(F.array_except(asked, less))
+    return requests.withColumn("features", fine)
+

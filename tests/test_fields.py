@@ -78,8 +78,6 @@ def test_gates_fail(spark, tmp_path):
         arrays.legacy_manifest(df, "id;label")
     with pytest.raises(ValueError, match="1 items of 5"):
         arrays.staged_pages(spark.createDataFrame([(5, '[{"id": 1}]')], "total int, items string"), "total", "items", "struct<id: int>")
-    with pytest.raises(ValueError, match="unknown features"):
-        arrays.resolved(["z"], ["a"], {})
     path = f"file://{tmp_path}/out"
     assert arrays.validated_write(df, path)[0] == 2 and arrays.validated_write(df.limit(1), path)[0] == 1
     assert spark.read.parquet(path).count() == 1 and not (tmp_path / "out.writing").exists()
