@@ -27,7 +27,7 @@ LEAST, LONGEST = 30, 4
 #: Phrases that are returned of each language.
 TOP = 2000
 #: Text that is worked on at once, in bytes, and projections that are grown at once.
-TEXT_BYTES, ROWS = 1 << 21, 1 << 18
+TEXT_BYTES, ROWS = 1 << 21, 1 << 16
 #: A candidate goes if a longer one that holds it has at least this share of its count, in percent.
 COVERED = 80
 
