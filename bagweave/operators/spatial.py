@@ -1,15 +1,23 @@
 """Spatial joins by cells: equal-sized cells, an equi-join on the 27 neighbours, then the exact distance.
 
-No join here is a cross join; a cell holds the points of one volume, so the work follows local density.
+No join here is a cross join; a cell holds the points of one volume, so the work follows local density. What only asks for the
+nearest reads rings that grow up to its radius, so dense places are settled by small cells.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from bagweave.functions.lineage import cut
+
 XYZ = ("x", "y", "z")
+#: A ring settles what is this much nearer than its edge, so that rounding, to 32 bits too, hides nothing.
+WITHIN = 1 - 1e-6
 
 
 def cell(size: float | Column) -> list[Column]:
@@ -24,11 +32,11 @@ def neighbour_cells(df: DataFrame, size: float, around: int = 1) -> DataFrame:
     return df.withColumns({f"c{c}": F.floor(F.col(c) / size).cast("long") + F.col(f"d{c}") for c in XYZ}).drop(*(f"d{c}" for c in XYZ))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius: float, keep: Column | None = None) -> DataFrame:
-    """Pairs within the radius (inclusive): columns of left as a_*, of right as b_*, and d (their distance)."""
-    a = neighbour_cells(left, radius)
+def near_pairs(left: DataFrame, right: DataFrame, radius: float, keep: Column | None = None, spread: str = "left") -> DataFrame:
+    """Pairs within the radius (inclusive): columns of left as a_*, of right as b_*, and d (their distance). The rows of ``spread`` go to all 27 cells."""
+    own = lambda df: df.withColumns({f"c{c}": F.floor(F.col(c) / radius).cast("long") for c in XYZ})
+    a, b = (neighbour_cells(left, radius), own(right)) if spread == "left" else (own(left), neighbour_cells(right, radius))
     a = a.select(*(F.col(c) if c in ("cx", "cy", "cz") else F.col(c).alias(f"a_{c}") for c in a.columns))
-    b = right.withColumns({f"c{c}": F.floor(F.col(c) / radius).cast("long") for c in XYZ})
     b = b.select(*(F.col(c) if c in ("cx", "cy", "cz") else F.col(c).alias(f"b_{c}") for c in b.columns))
     d2 = sum((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in XYZ)
     pairs = a.join(b, ["cx", "cy", "cz"]).drop("cx", "cy", "cz").withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
@@ -36,20 +44,62 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, keep: Column |
     return pairs if keep is None else pairs.filter(keep)
 
 
+def first_ring(rows: DataFrame, k: int, reach: float) -> float:
+    """A radius in which some k rows lie about a row of a usual place, from one aggregate: 3.5 deviations stand for the width of an axis."""
+    r = rows.agg(F.count(F.lit(1)).alias("n"), *(F.stddev_pop(c).alias(c) for c in XYZ)).first()
+    widths = [3.5 * r[c] for c in XYZ if r[c] is not None and 0 < r[c] < math.inf]
+    if not widths:
+        return reach
+    return min(reach, max((math.prod(widths) * k / 4 / r["n"]) ** (1 / len(widths)), reach / 1024))
+
+
+def by_rings(left: DataFrame, right: DataFrame, key: Sequence[str], first: float, reach: float, settled: Callable[[DataFrame, float, bool], DataFrame], keep: Column | None = None, spread: str = "left") -> DataFrame:
+    """The rows of ``settled(pairs, ring, last)`` for the left rows (told apart by key), each from the first ring that settles it.
+
+    Rings double from ``first`` to ``reach``. Only left rows without a settled row go on, so dense places are never read with large cells.
+    """
+    ring, out = first, None
+    while True:
+        last = ring >= reach
+        done = cut(settled(near_pairs(left, right, min(ring, reach), keep, spread), ring, last))
+        out = done if out is None else out.unionAll(done)
+        if last:
+            return out
+        left = cut(left.join(done.select(*key).distinct(), list(key), "left_anti"))
+        if left.isEmpty():
+            return out
+        ring *= 2
+
+
+def few_of_place(rows: DataFrame, identifier: str, count: int, alike: Sequence[str] = ()) -> DataFrame:
+    """Of the rows of one place (and of equal ``alike``) those of the ``count`` least ids: nobody's nearest are among the others."""
+    least = F.row_number().over(Window.partitionBy(*XYZ, *alike).orderBy(identifier))
+    return cut(rows.filter(" and ".join(f"{c} is not null" for c in XYZ)).withColumn("_r", least).filter(F.col("_r") <= count).drop("_r"))
+
+
 def contacts(left: DataFrame, right: DataFrame, largest: float, slack: float = 0.5) -> DataFrame:
     """Pairs of spheres (radius column) that touch: distance strictly under the sum of radii and the slack."""
     reach = F.col("a_radius") + F.col("b_radius") + slack
     return near_pairs(left, right, 2 * largest + slack, F.col("d2") < reach * reach)
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, k: int, left_id: str, right_id: str, self_join: bool = False, single: bool = False, keep: Column | None = None) -> DataFrame:
-    """The k nearest within the radius by (distance, id): left_id, right_id, d, rank from 1. ``single`` orders by 32-bit distances."""
-    pairs = near_pairs(left, right, radius, keep)
-    if self_join:
-        pairs = pairs.filter(F.col(f"a_{left_id}") != F.col(f"b_{right_id}"))
-    d = F.col("d").cast("float") if single else F.col("d")
-    rank = F.row_number().over(Window.partitionBy(f"a_{left_id}").orderBy(d, f"b_{right_id}"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col(f"a_{left_id}").alias("src"), F.col(f"b_{right_id}").alias("dst"), "d", "rank")
+def nearest(left: DataFrame, right: DataFrame, radius: float, k: int, left_id: str, right_id: str, self_join: bool = False, single: bool = False, keep: Column | None = None, alike: Sequence[str] | None = None) -> DataFrame:
+    """The k nearest within the radius by (distance, id): left_id, right_id, d, rank from 1. ``single`` orders by 32-bit distances.
+
+    ``alike`` names the columns of right, besides its id, that ``keep`` reads; with it, or without keep, a place that very many rows share is no hot cell.
+    """
+    a, b = f"a_{left_id}", f"b_{right_id}"
+    there = right if keep is not None and alike is None else few_of_place(right, right_id, k + 1, alike or ())
+    d, own = F.col("d").cast("float") if single else F.col("d"), Window.partitionBy("src")
+
+    def settled(pairs: DataFrame, ring: float, last: bool) -> DataFrame:
+        pairs = pairs.filter(F.col(a) != F.col(b)) if self_join else pairs
+        pairs = pairs.select(F.col(a).alias("src"), F.col(b).alias("dst"), "d")
+        ranked = (pairs if last else pairs.filter(F.col("d") <= ring * WITHIN)).withColumn("rank", F.row_number().over(own.orderBy(d, "dst"))).filter(F.col("rank") <= k)
+        return ranked if last else ranked.withColumn("got", F.count(F.lit(1)).over(own)).filter(F.col("got") == k).drop("got")
+
+    here = left.withColumn("src", F.col(left_id))
+    return by_rings(here, there, ["src"], first_ring(there, k, radius), radius, settled, keep)
 
 
 def symmetric_ranks(neighbours: DataFrame) -> DataFrame:
@@ -59,12 +109,13 @@ def symmetric_ranks(neighbours: DataFrame) -> DataFrame:
 
 def mutual_nearest(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, least_cosine: float) -> DataFrame:
     """Pairs that are each other's nearest within the radius and whose normals (nx, ny, nz) agree: a, b, d, cosine."""
-    pairs = near_pairs(left, right, radius)
-    a, b = f"a_{left_id}", f"b_{right_id}"
-    both = pairs.withColumn("ra", F.row_number().over(Window.partitionBy(a).orderBy("d", b))).withColumn("rb", F.row_number().over(Window.partitionBy(b).orderBy("d", a))).filter("ra = 1 and rb = 1")
+    there = nearest(left, right, radius, 1, left_id, right_id).select(F.col("src").alias("a"), F.col("dst").alias("b"), "d")
+    back = nearest(right, left, radius, 1, right_id, left_id).select(F.col("dst").alias("a"), F.col("src").alias("b"))
+    normals = lambda df, key, s: df.select(F.col(key).alias(s), *(F.col(f"n{c}").alias(f"{s}_n{c}") for c in XYZ))
+    both = there.join(back, ["a", "b"]).join(normals(left, left_id, "a"), "a").join(normals(right, right_id, "b"), "b")
     dot = sum(F.col(f"a_n{c}") * F.col(f"b_n{c}") for c in XYZ)
     norm = lambda s: F.sqrt(sum(F.col(f"{s}_n{c}") * F.col(f"{s}_n{c}") for c in XYZ))
-    return both.withColumn("cosine", dot / (norm("a") * norm("b"))).filter(F.col("cosine") >= least_cosine).select(F.col(a).alias("a"), F.col(b).alias("b"), "d", "cosine")
+    return both.withColumn("cosine", dot / (norm("a") * norm("b"))).filter(F.col("cosine") >= least_cosine).select("a", "b", "d", "cosine")
 
 
 def inverse_square_weights(neighbours: DataFrame) -> DataFrame:
@@ -81,10 +132,21 @@ def exposed(points: DataFrame, spheres: DataFrame, largest: float, point_id: str
     return points.join(inside, F.col(point_id) == F.col("gone"), "left_anti")
 
 
-def gaps(points: DataFrame, spheres: DataFrame, reach: float, point_id: str, keep: Column | None = None) -> DataFrame:
-    """Per point: the centre distance minus radius of the nearest centre, and the least over all spheres within reach."""
-    pairs = near_pairs(points, spheres, reach, keep)
-    return pairs.groupBy(F.col(f"a_{point_id}").alias(point_id)).agg(F.min_by(F.col("d") - F.col("b_radius"), F.struct("d", "b_atom")).alias("nearest_gap"), F.min(F.col("d") - F.col("b_radius")).alias("least_gap"))
+def gaps(points: DataFrame, spheres: DataFrame, reach: float, point_id: str, keep: Column | None = None, alike: Sequence[str] | None = None) -> DataFrame:
+    """Per point: the centre distance minus radius of the nearest centre, and the least over all spheres within reach.
+
+    A ring settles a point if a sphere beyond it, were it of the largest radius, would be neither nearer nor less far. ``alike`` as in nearest().
+    """
+    there = spheres if keep is not None and alike is None else few_of_place(spheres, "atom", 1, ["radius", *(alike or ())])
+    largest = there.agg(F.max("radius")).first()[0] or 0.0
+    gap = F.col("d") - F.col("b_radius")
+
+    def settled(pairs: DataFrame, ring: float, last: bool) -> DataFrame:
+        own = pairs.groupBy(F.col(f"a_{point_id}").alias(point_id)).agg(F.min_by(gap, F.struct("d", "b_atom")).alias("nearest_gap"), F.min(gap).alias("least_gap"), F.min("d").alias("d"))
+        seen = ring * WITHIN
+        return (own if last else own.filter((F.col("d") <= seen) & (F.col("least_gap") <= seen - largest))).drop("d")
+
+    return by_rings(points, there, [point_id], first_ring(there, 8, reach), reach, settled, keep)
 
 
 def voxel_representatives(points: DataFrame, size: float, point_id: str) -> DataFrame:

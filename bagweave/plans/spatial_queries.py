@@ -47,7 +47,7 @@ def bounded_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ATOMS}, near AS (SELECT a.atom AS src, b.atom AS dst, sqrt({D2}) AS d FROM atoms a JOIN atoms b ON a.owner <> b.owner AND {D2} <= 1.44::DOUBLE), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY CAST(d AS FLOAT), dst) AS rank FROM near) SELECT src, dst, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6""")
 def point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = atoms(spark, sf_dir)
-    return ops.nearest(a, a, 1.2, 6, "atom", "atom", single=True, keep=others()).select("src", "dst", "rank")
+    return ops.nearest(a, a, 1.2, 6, "atom", "atom", single=True, keep=others(), alike=["owner"]).select("src", "dst", "rank")
 
 
 @query(f"""WITH {ATOMS}, n AS (SELECT a.atom AS a, b.atom AS b, sqrt({D2}) AS d, (a.nx * b.nx + a.ny * b.ny + a.nz * b.nz) / (sqrt(a.nx * a.nx + a.ny * a.ny + a.nz * a.nz) * sqrt(b.nx * b.nx + b.ny * b.ny + b.nz * b.nz)) AS cosine FROM atoms a JOIN atoms b ON a.atom % 2 = 0 AND b.atom % 2 = 1 AND {D2} <= 1.0::DOUBLE),
@@ -73,7 +73,7 @@ def exposed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ATOMS}, n AS (SELECT a.atom AS a, b.atom AS b, sqrt({D2}) AS d, b.radius AS r FROM atoms a JOIN atoms b ON a.owner <> b.owner AND {D2} <= 2.25::DOUBLE) SELECT a AS atom, round(arg_min(d - r, (d, b)), 6) AS nearest_gap, round(min(d - r), 6) AS least_gap FROM n GROUP BY a""")
 def sphere_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = atoms(spark, sf_dir)
-    return ops.gaps(a, a, 1.5, "atom", others()).select("atom", F.round("nearest_gap", 6).alias("nearest_gap"), F.round("least_gap", 6).alias("least_gap"))
+    return ops.gaps(a, a, 1.5, "atom", others(), ["owner"]).select("atom", F.round("nearest_gap", 6).alias("nearest_gap"), F.round("least_gap", 6).alias("least_gap"))
 
 
 @query(f"""WITH {ATOMS}, v AS (SELECT *, CAST(floor(x / .9) AS BIGINT) AS cx, CAST(floor(y / .9) AS BIGINT) AS cy, CAST(floor(z / .9) AS BIGINT) AS cz FROM atoms) SELECT cx, cy, cz, arg_min(atom, (pow(x - (cx + .5::DOUBLE) * .9::DOUBLE, 2) + pow(y - (cy + .5::DOUBLE) * .9::DOUBLE, 2) + pow(z - (cz + .5::DOUBLE) * .9::DOUBLE, 2), atom)) AS atom, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY cx, cy, cz""")
