@@ -13,7 +13,7 @@ from pyspark.sql import Window
 
 from bagweave.functions.lineage import cut
 from bagweave.functions.scalar import pearson, ratio
-from bagweave.operators.spatial import XYZ, near_pairs
+from bagweave.operators.spatial import XYZ, by_rings, few_of_place, first_ring, near_pairs
 
 #: Order of a bond by its category.
 BOND_ORDERS = {"single": 1.0, "double": 2.0, "triple": 3.0, "aromatic": 1.5, "none": 0.0}
@@ -92,8 +92,10 @@ def exposed_area(atoms: DataFrame, directions: DataFrame, probe: float, largest:
     """Per atom: the share of the directions (k, x, y, z of a unit sphere, ``count`` rows) at its expanded radius that lie in no other atom's, times 4 pi R^2."""
     d = directions.select("k", *(F.col(c).alias(f"u{c}") for c in XYZ))
     r = F.col("radius") + probe
-    spots = atoms.crossJoin(F.broadcast(d)).select("atom", "owner", "radius", "k", *((F.col(c) + r * F.col(f"u{c}")).alias(c) for c in XYZ))  # count directions for each atom
-    hidden = near_pairs(spots, atoms, largest + probe, (F.col("d") < F.col("b_radius") + probe - 1e-9) & (F.col("a_atom") != F.col("b_atom"))).select(F.col("a_atom").alias("atom"), F.col("a_k").alias("k")).distinct()
+    spots = atoms.crossJoin(F.broadcast(d)).select("atom", "k", *((F.col(c) + r * F.col(f"u{c}")).alias(c) for c in XYZ))  # count directions for each atom
+    inside = (F.col("d") < F.col("b_radius") + probe - 1e-9) & (F.col("a_atom") != F.col("b_atom"))
+    there, reach = few_of_place(atoms.select("atom", *XYZ, "radius"), "atom", 2, ["radius"]), largest + probe
+    hidden = by_rings(spots, there, ["atom", "k"], first_ring(there, 4, reach), reach, lambda pairs, ring, last: pairs.select(F.col("a_atom").alias("atom"), F.col("a_k").alias("k")).distinct(), inside, "right")
     gone = hidden.groupBy("atom").agg(F.count("*").alias("gone"))
     return atoms.join(gone, "atom", "left").select("atom", ((1 - F.coalesce("gone", F.lit(0)) / count) * 4 * F.lit(np.pi) * r * r).alias("area"))
 
