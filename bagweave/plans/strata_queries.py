@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bagweave.functions.ranged import exact_quantiles
 from bagweave.functions.scalar import ratio
 from bagweave.operators import strata as ops
 from bagweave.plans.registry import query
@@ -76,9 +77,9 @@ def regression_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_returnflag, CAST(count(*) AS BIGINT) AS outside FROM lineitem JOIN q ON f = l_returnflag WHERE l_extendedprice < a - .75 * (b - a) OR l_extendedprice > b + .75 * (b - a) GROUP BY 1""", name="fence_warnings_narrow")
 def fence_warnings_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
-    q = df.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    spread = F.col("q")[1] - F.col("q")[0]
-    return df.join(q, "l_returnflag").filter((F.col("l_extendedprice") < F.col("q")[0] - 0.75 * spread) | (F.col("l_extendedprice") > F.col("q")[1] + 0.75 * spread)).groupBy("l_returnflag").agg(F.count("*").alias("outside"))
+    q = exact_quantiles(df, ["l_returnflag"], "l_extendedprice", {"low": 0.25, "high": 0.75})
+    spread = F.col("high") - F.col("low")
+    return df.join(F.broadcast(q), "l_returnflag").filter((F.col("l_extendedprice") < F.col("low") - 0.75 * spread) | (F.col("l_extendedprice") > F.col("high") + 0.75 * spread)).groupBy("l_returnflag").agg(F.count("*").alias("outside"))
 
 
 @query("""WITH q AS (SELECT lang, quantile_cont(CAST(n_chars AS DOUBLE), .25) AS a, quantile_cont(CAST(n_chars AS DOUBLE), .75) AS b FROM documents GROUP BY 1)
@@ -127,7 +128,8 @@ def feature_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT split, CAST(count(*) AS BIGINT) AS n, round(avg((v - mu) / sd), 5) AS mean_z FROM x, f GROUP BY split""")
 def target_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 4).alias("split"), (F.col("l_extendedprice") - 30000).alias("v"))
-    x = x.crossJoin(F.broadcast(x.agg(F.percentile(F.abs("v"), F.lit(0.5)).alias("m")))).select("split", F.asinh(F.col("v") / F.col("m")).alias("v"))
+    middle = exact_quantiles(x.select(F.abs("v").alias("size")), [], "size", {"m": 0.5})
+    x = x.crossJoin(F.broadcast(middle)).select("split", F.asinh(F.col("v") / F.col("m")).alias("v"))
     fit = x.filter("split < 3").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
     return x.crossJoin(F.broadcast(fit)).groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg((F.col("v") - F.col("mu")) / F.col("sd")), 5).alias("mean_z"))
 
