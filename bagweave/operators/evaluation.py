@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagweave.functions.lineage import cut
+from bagweave.functions.ranged import ranged_sums
 from bagweave.functions.scalar import pearson, ratio, sigmoid
 
 
@@ -67,8 +68,6 @@ def global_reductions(df: DataFrame, by: list[str], value: str, area: str) -> Da
 def map_comparison(aligned: DataFrame, by: list[str], first: str, second: str, area: str, valid: str, shares: tuple[float, ...] = (0.05, 0.1), tie: str = "point") -> DataFrame:
     """A destination's map against another one brought onto it: coverage by area and points, area-weighted errors of
     logits and probabilities, rank correlation, and the overlap of the top shares of the supported area."""
-    from bagweave.operators.bags import spearman, top_area
-
     seen, a, b, w = F.col(valid), F.col(first), F.col(second), F.when(F.col(valid), F.col(area))
     weighted = lambda x: ratio(F.sum(w * x), F.sum(w))
     pa, pb = sigmoid(a), F.col("second_p")
@@ -77,15 +76,57 @@ def map_comparison(aligned: DataFrame, by: list[str], first: str, second: str, a
         weighted(F.abs(pa - pb)).alias("probability_mae"), F.sqrt(weighted((pa - pb) * (pa - pb))).alias("probability_rmse"),
     )
     kept = aligned.filter(seen)
-    out = out.join(spearman(kept, by, first, second), by, "left").withColumnRenamed("rho", "spearman")
-    for share in shares:
-        left = top_area(kept, by, first, area, share, tie).withColumnRenamed("mass", "left_mass")
-        both = top_area(left, by, second, area, share, tie)
-        overlap = both.groupBy(*by).agg(ratio(F.sum(F.least("left_mass", "mass")), F.sum(F.greatest("left_mass", "mass"))).alias(f"top_{round(100 * share)}_iou"))
+    out = out.join(rank_correlation(kept, by, first, second), by, "left").withColumnRenamed("rho", "spearman")
+    names = {round(100 * share): share for share in shares}
+    cuts = {side: area_cuts(kept, by, column, area, names, tie) for side, column in (("l", first), ("r", second))}
+    for name in names:
+        rows, mass = kept, {}
+        for side, column in (("l", first), ("r", second)):
+            at = cuts[side].filter(F.col("name") == name).select(*by, *(F.col(c).alias(f"{side}_{c}") for c in ("score", "tie", "mass")))
+            rows = rows.join(F.broadcast(at), by, "left")
+            score, level, mark = F.col(column), F.col(f"{side}_score"), F.col(f"{side}_tie")
+            inside = (score > level) | ((score == level) & (F.col(tie) < mark))
+            mass[side] = F.when(inside, F.col(area)).when((score == level) & (F.col(tie) == mark), F.col(f"{side}_mass")).otherwise(0.0)
+        overlap = rows.groupBy(*by).agg(ratio(F.sum(F.least(mass["l"], mass["r"])), F.sum(F.greatest(mass["l"], mass["r"]))).alias(f"top_{name}_iou"))
         out = out.join(overlap, by, "left")
     return out
 
 
+def level_ends(levels: DataFrame, by: list[str], order: list[Column], size: str) -> DataFrame:
+    """Levels with ``before`` and ``total``: the sum of sizes ahead of each in its group's order, and the group's. Running sums by ranges; groups are few."""
+    placed = ranged_sums(levels, [*map(F.col, by), *order], {"_end": F.col(size)})
+    span = placed.groupBy(*by).agg(F.min(F.col("_end") - F.col(size)).alias("_start"), F.sum(size).alias("total"))
+    return placed.join(F.broadcast(span), by).withColumn("before", F.col("_end") - F.col(size) - F.col("_start")).drop("_end", "_start")
+
+
+def rank_correlation(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """spearman() for few large groups: ranks come from counted values, so no task holds a group's rows."""
+    cells = cut(df.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n")))
+
+    def ranks(side: str) -> DataFrame:
+        ends = level_ends(cells.groupBy(*by, side).agg(F.sum("n").alias("m")), by, [F.col(side)], "m")
+        return ends.select(*by, side, (F.col("before") + F.col("m") / 2 - F.col("total") / 2).alias(f"r{side}"))  # about the mean rank
+
+    n, x, y = F.col("n"), F.col("ra"), F.col("rb")
+    sums = cells.join(ranks("a"), [*by, "a"]).join(ranks("b"), [*by, "b"]).groupBy(*by).agg(F.sum("n").alias("n"), F.sum(n * x * x).alias("va"), F.sum(n * y * y).alias("vb"), F.sum(n * x * y).alias("c"))
+    return sums.select(*by, F.when((F.col("n") > 1) & (F.col("va") > 0) & (F.col("vb") > 0), F.col("c") / (F.sqrt("va") * F.sqrt("vb"))).alias("rho"))
+
+
+def area_cuts(df: DataFrame, by: list[str], score: str, area: str, shares: dict[int, float], tie: str) -> DataFrame:
+    """Where top_area() ends in each group, for each named share: name, the score and tie of the row at the boundary and its mass; rows before it count in full.
+
+    Areas are summed by score first; only the rows of the boundary's score are put in order. The tie must tell rows apart.
+    """
+    levels = level_ends(df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(area).alias("size")), by, [F.desc("score")], "size")
+    names = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(float(v)).alias("share")) for k, v in shares.items())))
+    reach = F.col("share") * F.col("total")
+    at = cut(levels.withColumn("s", names).select(*by, "score", "size", "before", "total", "s.*").filter((F.col("before") < reach) & (reach <= F.col("before") + F.col("size"))))
+    rows = df.withColumnRenamed(score, "score").join(F.broadcast(at.select(*by, "score", "name", "share", F.col("before").alias("ahead"), F.col("total").alias("whole"))), [*by, "score"]).select(*by, "score", "name", "share", "ahead", "whole", F.col(tie).alias("tie"), F.col(area).alias("size"))
+    left = F.col("share") * F.col("whole") - F.col("ahead") - F.col("before")
+    placed = level_ends(rows, [*by, "name"], [F.col("tie")], "size")
+    return placed.filter((left > 0) & (left <= F.col("size"))).select(*by, "name", "score", "tie", left.alias("mass"))
+
+
 def admission_summary(df: DataFrame, by: list[str], target: str, admitted: str) -> DataFrame:
     """Rates of owners with any admitted region: false ones among negatives, sensitivity among positives."""
     hit, real = F.col(admitted), F.col(target) == 1
