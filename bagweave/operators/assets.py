@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bagweave.functions.ranged import dealt
 from bagweave.functions.scalar import ratio
 
 
@@ -164,13 +165,13 @@ def structured_page(rows: DataFrame, predicate: Column, key: str, expected: int
 
 def reconstruction(original: DataFrame, prepared: DataFrame, by: list[str], residue: str, atom: str) -> DataFrame:
     """Prepared against observed heavy atoms of an owner: atoms lost and rebuilt, their share, affected residues, category."""
-    o, p = original.select(*by, residue, atom).distinct().withColumn("was", F.lit(True)), prepared.select(*by, residue, atom).distinct().withColumn("is", F.lit(True))
-    j = o.join(p, [*by, residue, atom], "full")
-    new = F.col("was").isNull()
-    a = j.groupBy(*by).agg(
-        F.count_if(F.col("is").isNull()).alias("missing"), F.count_if(new).alias("rebuilt"), F.count_if(~new).alias("observed"), F.countDistinct(F.when(new, F.col(residue))).alias("affected"), F.countDistinct(F.when(~new, F.col(residue))).alias("residues"),
-        F.count_if(new & (F.col(atom) != "OXT")).alias("inner"),
-    )
+    seen = lambda df, was: df.select(*by, residue, atom, F.lit(was).alias("was"), F.lit(not was).alias("is"))
+    unlike = F.when(F.greatest(*(F.col(c).isNull() for c in (*by, residue, atom))), F.col("was"))  # nulls are equal to nothing
+    both = dealt(seen(original, True).unionAll(seen(prepared, False)), by).groupBy(*by, residue, atom, unlike.alias("_unlike")).agg(F.bool_or("was").alias("was"), F.bool_or("is").alias("is"))
+    lost, new = ~F.col("is"), ~F.col("was")
+    r = both.groupBy(*by, residue).agg(F.count_if(lost).alias("missing"), F.count_if(new).alias("rebuilt"), F.count_if(~new).alias("observed"), F.count_if(new & (F.col(atom) != "OXT")).alias("inner"))
+    known = F.col(residue).isNotNull()
+    a = r.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("missing", "rebuilt", "observed", "inner")), F.count_if(known & (F.col("rebuilt") > 0)).alias("affected"), F.count_if(known & (F.col("observed") > 0)).alias("residues"))
     category = F.when(F.col("rebuilt") == 0, "observed_only").when(F.col("inner") == 0, "terminal_oxygen_only").otherwise("sidechain_completion")
     return a.select(*by, "missing", "rebuilt", "affected", ratio(F.col("rebuilt"), F.col("observed")).alias("rebuilt_share"), ratio(F.col("affected"), F.col("residues")).alias("affected_share"), category.alias("category"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from bagweave.functions.ranged import dealt
 from bagweave.functions.scalar import binary_entropy, logit, ratio, softplus
 
 
@@ -56,7 +57,7 @@ def binary_metrics(counts: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Rank correlation with average ranks, NULL for fewer than two points or a constant side."""
     rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
-    ranked = df.withColumn("ra", rank(a)).withColumn("rb", rank(b))
+    ranked = dealt(df.select(*by, a, b), by).withColumn("ra", rank(a)).withColumn("rb", rank(b))
     sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.var_pop("ra").alias("va"), F.var_pop("rb").alias("vb"), F.covar_pop("ra", "rb").alias("c"))
     return sums.select(*by, F.when((F.col("n") > 1) & (F.col("va") > 0) & (F.col("vb") > 0), F.col("c") / F.sqrt(F.col("va") * F.col("vb"))).alias("rho"))
 
@@ -86,7 +87,7 @@ def softmax_weights(df: DataFrame, by: list[str], score: Column, mask: Column) -
 def pooled(df: DataFrame, by: list[str], p: str = "p", area: str = "area", beta: float = 5.0, alpha: float = 3.0, power: float = 4.0, mix: float = 0.5, share: float = 0.1, attention: str = "q", tie: str = "point") -> DataFrame:
     """Pooled scores of a bag: max, means, attention, top-k by points and by area, log-sum-exp, linear softmax, autopool, generalized mean, max-mean."""
     w = Window.partitionBy(*by)
-    df = top_area(df, by, p, area, share, tie)
+    df = top_area(dealt(df, by), by, p, area, share, tie)
     m = F.col(area) / F.sum(area).over(w)
     rows = df.withColumns({
         "m": m, "rank": F.row_number().over(w.orderBy(F.col(p).desc(), tie)), "n": F.count("*").over(w), "most": F.max(p).over(w),
