@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -17,6 +18,8 @@ from bagweave.operators.spatial import XYZ, by_rings, few_of_place, first_ring,
 
 #: Order of a bond by its category.
 BOND_ORDERS = {"single": 1.0, "double": 2.0, "triple": 3.0, "aromatic": 1.5, "none": 0.0}
+#: Rows of a block of directions, the least number of blocks, and cosines computed at once.
+BLOCK, LEAST_BLOCKS, SLICE = 25_000, 8, 4_000_000
 #: Fixed value: evidence for a bond, strongest first.
 BOND_SOURCES = ("explicit", "template", "peptide", "disulfide", "geometric")
 
@@ -182,22 +185,43 @@ def outside_cells(cells: DataFrame, by: str) -> DataFrame:
 def similar_directions(vectors: DataFrame, identifier: str, values: str, threshold: float) -> DataFrame:
     """src < dst: pairs whose cosine is ``threshold`` (above 0) or more, or minus that or less.
 
-    Directions so alike, one of them turned round where the cosine is negative, are within sqrt(2 - 2 threshold) of each other, and so are
-    their coordinates on any axes: cells on the three axes of most spread find all of them, and the cosine decides. The higher the threshold, the more the cells spare.
+    Rows fall into blocks by hash, and each pair of blocks is one group whose cosines are matrix products. In many dimensions cells would spare
+    little, so the work is that of all pairs; a task holds two blocks, and a row goes to as many groups as there are blocks.
     """
     unit = F.transform(values, lambda x: x.cast("double"))
     rows = vectors.select(F.col(identifier).alias("id"), unit.alias("v"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    rows = cut(rows.withColumn("length", length).select("id", F.transform("v", lambda x: x / F.greatest(F.col("length"), F.lit(1e-12))).alias("v")))
-    spread = rows.select(F.posexplode("v").alias("axis", "x")).groupBy("axis").agg(F.sum(F.col("x") * F.col("x")).alias("s")).orderBy(F.desc("s"), "axis").limit(len(XYZ)).collect()
-    axes = [r["axis"] for r in spread]
-    at = lambda v, k: v[axes[k]] if k < len(axes) else F.lit(0.0)
-    side = F.explode(F.array(F.lit(1.0), F.lit(-1.0)))
-    left = rows.withColumn("sign", side).select("id", "v", *((at(F.col("v"), k) * F.col("sign")).alias(c) for k, c in enumerate(XYZ)))
-    right = rows.select("id", "v", *(at(F.col("v"), k).alias(c) for k, c in enumerate(XYZ)))
-    near = near_pairs(left, right, math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9, F.col("a_id") < F.col("b_id"))
-    cosine = F.aggregate(F.zip_with("a_v", "b_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return near.filter(F.abs(cosine) >= threshold).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")).distinct()
+    rows = cut(rows.filter("v is not null").withColumn("length", length).select("id", F.transform("v", lambda x: x / F.greatest(F.col("length"), F.lit(1e-12))).alias("v")))
+    blocks = max(LEAST_BLOCKS, -(-rows.count() // BLOCK))
+    placed = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    group = F.least("own", "other") * blocks + F.greatest("own", "other")
+    kind = vectors.schema[identifier].dataType.simpleString()
+
+    def alike(t: pa.Table) -> pa.Table:
+        ids, own, other = t.column("id").combine_chunks(), t.column("own").to_numpy(), t.column("other").to_numpy()
+        if own.min() == own.max() and own[0] != other[0]:  # the other block is empty, and this one has a group of its own
+            return pa.table({"a": ids.slice(0, 0), "b": ids.slice(0, 0)})
+        if pc.count_distinct(pc.list_value_length(t.column("v"))).as_py() > 1:
+            raise ValueError("directions differ in their number of axes")
+        v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        first = np.flatnonzero(own == own.min())
+        second = np.flatnonzero(own == own.max())
+        found = [np.empty((2, 0), np.int64)]
+        step = max(1, SLICE // max(1, len(second)))
+        for s in range(0, len(first), step):
+            part = first[s : s + step]
+            i, j = np.nonzero(np.abs(v[part] @ v[second].T) >= threshold - 1e-9)
+            found.append(np.stack([part[i], second[j]]))
+        i, j = np.concatenate(found, 1)
+        i, j = (x[(i < j) | (own[i] != own[j])] for x in (i, j))  # within a block each pair once
+        cosine = np.zeros(len(i))
+        for k in range(v.shape[1]):  # in the order of the axes, as a plain sum
+            cosine += v[i, k] * v[j, k]
+        kept = np.abs(cosine) >= threshold
+        return pa.table({"a": ids.take(pa.array(i[kept])), "b": ids.take(pa.array(j[kept]))})
+
+    pairs = placed.withColumn("group", group).groupBy("group").applyInArrow(alike, f"a {kind}, b {kind}")
+    return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
 
 def independent_directions(vectors: DataFrame, identifier: str, values: str, score: str, threshold: float) -> DataFrame:

@@ -30,3 +30,19 @@ def test_refinement_without_strength_or_steps_gives_raw_values(spark):
     edges = spark.createDataFrame([(1, 2, 1.0)], "a long, b long, w double")
     for given in ({"strength": 0.0}, {"steps": 0}):
         assert sorted(map(tuple, fields.crf_refined(values, edges, **given).collect())) == [(1, 40.0), (2, -3.0)]
+
+
+def test_many_axes_are_compared_in_blocks(spark, monkeypatch):
+    """No joined pairs, whatever the blocks: also sliced, and some of them empty."""
+    x = np.random.default_rng(1).normal(0, 1, (300, 32))
+    x[100:120] = -x[:20]
+    df = spark.createDataFrame([(int(i), p.tolist()) for i, p in enumerate(x)], "id long, v array<double>").repartition(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.abs(u @ u.T) >= 0.45), strict=True) if i < j}
+    got = structures.similar_directions(df, "id", "v", 0.45)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 20
+    monkeypatch.setattr(structures, "BLOCK", 20)
+    monkeypatch.setattr(structures, "SLICE", 50)
+    assert {tuple(r) for r in structures.similar_directions(df, "id", "v", 0.45).collect()} == want
+    assert {tuple(r) for r in structures.similar_directions(df.limit(3), "id", "v", 0.45).collect()} <= want
