@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -139,21 +139,26 @@ def rigid_fits(pairs: DataFrame, by: str) -> DataFrame:
 
 
 def surface_normals(points: DataFrame, by: str, k: int = 8) -> DataFrame:
-    """Per point: the direction of least spread of its k nearest, turned away from the structure's centre."""
-
-    def normals(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("atom")
-        x = pdf[["x", "y", "z"]].to_numpy()
-        out, middle = np.empty_like(x), x.mean(0)
-        for b in range(0, len(x), 256):  # distances of a block to all; rows are in id order, so ties go to the lower id
-            d = ((x[b : b + 256, None] - x[None]) ** 2).sum(2)
-            for i, order in enumerate(np.argsort(d, axis=1, kind="stable")[:, : k + 1], b):
-                near = x[order]
-                n = np.linalg.eigh(np.cov((near - near.mean(0)).T))[1][:, 0]
-                out[i] = n if (x[i] - middle) @ n >= 0 else -n
-        return pd.DataFrame({"atom": pdf["atom"], "nx": out[:, 0], "ny": out[:, 1], "nz": out[:, 2]})
-
-    return grouped_kernel(points, by, normals, "atom long, nx double, ny double, nz double")
+    """Per point (atom): the direction of least spread of it and its k nearest in its structure, turned away from the structure's centre."""
+    from bagweave.operators.neighbours import all_neighbours
+
+    rows = points.select(F.struct(by).alias("structure"), "atom", *XYZ)  # a null structure is one too
+    place = F.array(*(F.col(c) for c in XYZ))
+    near = all_neighbours(rows, "structure", "atom", XYZ, k).join(rows.select(F.col("atom").alias("dst"), place.alias("p")), "dst").select(F.col("src").alias("atom"), "rank", "p")
+    sets = near.unionByName(rows.select("atom", F.lit(0).alias("rank"), place.alias("p"))).groupBy("atom").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "p"))), lambda r: r["p"])).alias("near"))
+    middles = rows.groupBy("structure").agg(F.array(*(F.avg(c) for c in XYZ)).alias("middle"))
+    whole = rows.join(F.broadcast(middles), "structure").select("atom", "middle").join(sets, "atom")
+
+    def normals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for size, own in pdf.groupby(pdf["near"].map(len)):
+                x, middle = np.stack(own["near"]).reshape(len(own), size // 3, 3), np.stack(own["middle"])
+                spread = x - x.mean(1, keepdims=True)
+                n = np.full((len(own), 3), np.nan) if size == 3 else np.linalg.eigh(np.einsum("mki,mkj->mij", spread, spread))[1][:, :, 0]
+                n = np.where((((x[:, 0] - middle) * n).sum(1) >= 0)[:, None], n, -n)
+                yield pd.DataFrame({"atom": own["atom"], "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2]})
+
+    return whole.mapInPandas(normals, "atom long, nx double, ny double, nz double")
 
 
 def outside_cells(cells: DataFrame, by: str) -> DataFrame:
