@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from bagweave.operators.graph import bounded_depths
 from bagweave.plans import registry
 
 
@@ -25,3 +26,22 @@ def test_path_codes_match_breadth_first_search(spark, tmp_path):
         expected |= {(source, dst, depth) for dst, depth in depths.items()}
     assert max(depth for _, _, depth in expected) == 31
     assert sorted((r["src"], r["dst"], r["depth"]) for r in registry.QUERIES["path_codes"](spark, str(tmp_path)).collect()) == sorted(expected)
+
+
+def test_depths_of_more_sources_than_a_row_has_bits(spark):
+    """Two rings of one graph, 1,500 sources in all: a row holds a block's bits, and the edges are not joined with pairs."""
+    n = 1500
+    links = [(i, i + 1) for i in range(n - 1)] + [(0, 99)] + [(3000, 3001)]
+    edges = spark.createDataFrame([*links, *((b, a) for a, b in links)], "src long, dst long")
+    sources = spark.createDataFrame([(i, -i) for i in [*range(n), 3000, 3001, 5000]], "id long, place long")
+    beside = {}
+    for a, b in [*links, *((b, a) for a, b in links)]:
+        beside.setdefault(a, []).append(b)
+    expected = set()
+    for source in [*range(n), 3000, 3001, 5000]:
+        depths, at = {source: 0}, [source]
+        for depth in range(1, 5):
+            at = [v for u in at for v in beside.get(u, []) if depths.setdefault(v, depth) == depth]
+        expected |= {(source, v, d) for v, d in depths.items()}
+    got = [tuple(r) for r in bounded_depths(edges, sources, 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
