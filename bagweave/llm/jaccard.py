@@ -420,6 +420,11 @@ class Forest:
         above.finish()
 
 
+def merged_tasks(rows: DataFrame) -> DataFrame:
+    """A union has the tasks of all its parts, and each would leave files in every shuffle that follows: as many as a shuffle has instead."""
+    return rows.coalesce(partitions(rows.sparkSession))
+
+
 def trees(entries: DataFrame) -> list[DataFrame]:
     """The nodes of all buckets' trees by level, from entries (token, cid, n, room, component, key, point).
 
@@ -432,7 +437,7 @@ def trees(entries: DataFrame) -> list[DataFrame]:
     tops, inner = nodes.filter("parent is null"), nodes.filter("parent is not null")
     many = tops.groupBy("token").count().filter("count > 1").select("token")
     split = tops.join(many, "token").select(nodes.columns).repartition("token").sortWithinPartitions("token", "key", "node")
-    nodes = cut(inner.unionAll(tops.join(many, "token", "left_anti").select(nodes.columns)).unionAll(split.mapInArrow(lambda b: packing(b, lambda out: Forest(out, FANOUT)), NODE)))
+    nodes = cut(merged_tasks(inner.unionAll(tops.join(many, "token", "left_anti").select(nodes.columns)).unionAll(split.mapInArrow(lambda b: packing(b, lambda out: Forest(out, FANOUT)), NODE))))
     height = nodes.agg(F.max("level")).first()[0]
     return [nodes.filter(F.col("level") == k) for k in range((height or 0) + 1)]
 
@@ -450,7 +455,7 @@ def upward(levels: list[DataFrame], percent: int) -> DataFrame:
     for low, high in zip(levels[:-1], levels[1:], strict=True):
         ends = low.select("token", "parent", F.col("center").alias("own")).join(high.select("token", F.col("node").alias("parent"), "center"), ["token", "parent"])
         rows = rows.unionAll(ends.select(*side("own", 0), *side("center", 1)))
-    return bounded(sized(rows.filter("a != b"), percent), ["a", "b"], percent).distinct()
+    return bounded(sized(merged_tasks(rows).filter("a != b"), percent), ["a", "b"], percent).distinct()
 
 
 def downward(levels: list[DataFrame], percent: int) -> DataFrame:
@@ -467,7 +472,7 @@ def downward(levels: list[DataFrame], percent: int) -> DataFrame:
             below = below.filter((100 * F.col("high1") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low1")) & ((100 + percent) * F.least("room1", "room2") >= percent * (F.col("low1") + F.col("low2"))))
             below = below.select("token", F.col("node1").alias("a"), F.col("node2").alias("b"), F.col("low1").alias("na"), F.col("low2").alias("nb"), F.col("box1").alias("pa"), F.col("box2").alias("pb"))
             roots = roots.unionAll(bounded(below, ["token", "a", "b"], percent))
-        met = cut(roots)
+        met = cut(merged_tasks(roots))
     leaves = levels[0].select("token", "node", "members")
     both = met.join(leaves.select("token", F.col("node").alias("a"), F.col("members").alias("m1")), ["token", "a"]).join(leaves.select("token", F.col("node").alias("b"), F.col("members").alias("m2")), ["token", "b"])
 
@@ -500,7 +505,7 @@ def verified(lists: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """
     many = pairs.groupBy(F.col("b").alias("center")).agg(F.ceil(F.count("*") / PAIRS_PER_TASK).alias("parts"))
     pairs = cut(pairs.join(many, F.col("b") == F.col("center")).select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("task")))
-    sides = pairs.select("task", F.col("a").alias("cid")).unionAll(pairs.select("task", F.col("b").alias("cid"))).distinct()
+    sides = pairs.select("task", F.explode(F.array("a", "b")).alias("cid")).distinct()
     if pairs.count() <= FEW:
         sides = F.broadcast(sides)
     none = F.lit(None)
@@ -524,7 +529,7 @@ def verified(lists: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                         right.append(b)
             yield batch("a b", pa.array(left, pa.int64()), pa.array(right, pa.int64()))
 
-    return rows.repartition("task").sortWithinPartitions("task", F.col("b").isNotNull()).mapInArrow(compare, "a long, b long")
+    return merged_tasks(rows).repartition("task").sortWithinPartitions("task", F.col("b").isNotNull()).mapInArrow(compare, "a long, b long")
 
 
 # --- the join ---------------------------------------------------------------------------------
@@ -555,7 +560,7 @@ def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     joined = cut(entries.join(groups, F.col("cid") == F.col("gid"), "left").withColumn("component", F.coalesce("component", "cid")).drop("gid"))
     several = joined.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2").select("token")
     more = cut(downward(trees(joined.join(several, "token")), percent))
-    links = links.unionAll(cut(verified(lists, more, percent)))
+    links = merged_tasks(links.unionAll(cut(verified(lists, more, percent))))
     groups = connected_components(links, "a", "b").select(F.col("id").alias("gid"), "component")
     linked = cut(classes.join(groups, F.col("cid") == F.col("gid"), "left").withColumn("component", F.coalesce("component", "cid")))
     least = cut(linked.groupBy("component").agg(F.min("first").alias("component_id")))  # by itself, so that a large component's classes may be split

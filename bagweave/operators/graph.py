@@ -10,6 +10,8 @@ from bagweave.functions.ranged import dealt, ranged_places
 
 #: Longs of a row's bits, and shares in which a block's rows are given away.
 WORDS, SHARES = 16, 32
+#: Edges that a task takes; no more make a round of one task, without a shuffle, however many partitions the session has.
+EDGES_PER_TASK = 20_000
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -18,22 +20,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Large-star: each vertex sends its larger neighbours to the least of its neighbourhood; small-star: its smaller
     ones and itself. Minima are partial aggregates joined back to the edges, so a hub's edges are never gathered. The
     number of rounds is logarithmic in the longest path. Self loops, repeated edges and null ends are allowed; the last are dropped.
+    A round has as many tasks as the edges left ask for: few edges dealt over all partitions would be files of some bytes each.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull())
     loops = e.filter("u = v").select("u").distinct()
     e = e.filter("u != v").distinct().transform(cut)
-    before = None
+    n, before = e.count(), None
     while True:
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        tasks = max(1, -(-n // EDGES_PER_TASK))
+        e, near = e.coalesce(tasks), F.broadcast if tasks == 1 else lambda small: small
+        both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(near(least), "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lower.select("u", F.col("m").alias("v")))
-        e = small.distinct().transform(cut)
+        small = large.join(near(lower), "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lower.select("u", F.col("m").alias("v")))
+        e = small.coalesce(tasks).distinct().transform(cut)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
-        before = now
+        n, before = now[0], now
+    e = e.coalesce(tasks)
     roots = e.select(F.col("v").alias("u"), "v").distinct()
     stars = e.unionAll(roots)
     alone = loops.join(stars, "u", "left_anti").select("u", F.col("u").alias("v"))
