@@ -20,7 +20,7 @@ def density_tree(df: DataFrame, identifier: str, columns: Sequence[str], min_sam
     """A minimum spanning tree of the population under mutual reachability: a, b, w. A member's core is the distance to its min_samples-th neighbour, or to its last."""
     own = df.select(identifier, *columns, F.lit(0).alias("_all"))
     cores = all_neighbours(own, "_all", identifier, columns, min_samples).groupBy("src").agg(F.max("d").alias("core"))
-    rows = cut(own.join(cores, F.col(identifier) == F.col("src"), "left").select(identifier, *columns, F.coalesce("core", F.lit(0.0)).alias("core")))
+    rows = cut(own.join(cores.hint("merge"), F.col(identifier) == F.col("src"), "left").select(identifier, *columns, F.coalesce("core", F.lit(0.0)).alias("core")))
     return spanning_tree(rows, identifier, columns, "core")
 
 
@@ -166,7 +166,7 @@ def stable_phenotypes(df: DataFrame, identifier: str, columns: Sequence[str], pr
     own = labels.filter(F.col("least") == grid[0]).select("id", F.coalesce("cluster", F.lit(-1)).alias("one"))
     agreement = None
     for size in grid[1:]:
-        both = own.join(labels.filter(F.col("least") == size).select("id", F.coalesce("cluster", F.lit(-1)).alias("two")), "id")
+        both = own.join(labels.filter(F.col("least") == size).select("id", F.coalesce("cluster", F.lit(-1)).alias("two")).hint("merge"), "id")
         one = adjusted_rand(both, "one", "two")
         agreement = one if agreement is None else agreement.unionAll(one)
     least = agreement.agg(F.min("ari").alias("ari")).first()["ari"]
@@ -177,7 +177,7 @@ def stable_phenotypes(df: DataFrame, identifier: str, columns: Sequence[str], pr
     if not robust:
         return noise, report
     name = F.when(F.col("one") >= 0, F.concat(F.lit(f"{prefix}_"), F.col("one").cast("string"))).otherwise(f"{prefix}_NOISE")
-    return df.select(identifier).join(own.withColumnRenamed("id", "_id"), F.col(identifier) == F.col("_id")).select(identifier, name.alias("phenotype")), report
+    return df.select(identifier).join(own.withColumnRenamed("id", "_id").hint("merge"), F.col(identifier) == F.col("_id")).select(identifier, name.alias("phenotype")), report
 
 
 def shortcut_baseline(df: DataFrame, label: str, numbers: Sequence[str], categories: Sequence[str], train: str) -> DataFrame:
